@@ -3,38 +3,41 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
 from ..defaults import CHUNK_OVERLAP, CHUNK_SIZE, EMBED_BATCH, EMBED_BUCKETS
 from ..schemas import PAGE_STRUCTS
 
-_TOKEN_BREAK = regex.compile(r"[^\p{L}\p{N}]+")
-_SENTENCE_BREAK = regex.compile(r"(?<=[.!?])[ \t\n\r\f\v]+")
+_TOKEN_BREAK = r"[^\p{L}\p{N}]+"
+_SENTENCE_BREAK = re.compile(r"(?<=[.!?])[ \t\n\r\f\v]+")
 
 
 def hash_embed(texts: Sequence[str], buckets: int = EMBED_BUCKETS) -> list[np.ndarray]:
-    """Stand-in for a model: hashed token counts, scaled to unit length."""
-    seen: dict[str, int] = {}
-    out = []
-    for text in texts:
-        counts = np.zeros(buckets)
-        for token in _TOKEN_BREAK.split((text or "").lower()):
-            if not token:
-                continue
-            slot = seen.get(token)
-            if slot is None:
-                slot = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % buckets
-                seen[token] = slot
-            counts[slot] += 1
-        norm = np.sqrt((counts * counts).sum())
-        out.append((counts / norm if norm else counts).astype(np.float32))
-    return out
+    """Stand-in for a model: hashed token counts, scaled to unit length.
+
+    Tokens are found and encoded by Arrow; each distinct one is hashed once.
+    """
+    lower = pc.utf8_lower(pa.array(["" if t is None else t for t in texts], pa.large_string()))
+    lists = pc.split_pattern_regex(lower, _TOKEN_BREAK)
+    row = pc.list_parent_indices(lists).to_numpy()
+    coded = pc.list_flatten(lists).dictionary_encode()
+    slot = np.array([
+        int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % buckets if token else -1
+        for token in coded.dictionary.to_pylist()
+    ], dtype=np.int64)[coded.indices.to_numpy()]
+    row, slot = row[slot >= 0], slot[slot >= 0]
+    counts = np.bincount(row * buckets + slot, minlength=len(texts) * buckets).astype(float)
+    counts = counts.reshape(len(texts), buckets)
+    norm = np.sqrt((counts * counts).sum(1, keepdims=True))
+    return list(np.divide(counts, norm, out=counts, where=norm > 0).astype(np.float32))
 
 
 def embedding_udf(

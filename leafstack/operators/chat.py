@@ -13,7 +13,7 @@ from ..functions import chat as ch
 from ..functions.text import file_name
 from ..functions.udfs import hash_embed
 from .documents import embed
-from .similarity import ann_topk, attach, topk
+from .similarity import ann_topk, topk
 
 
 def recent_requests(turns: DataFrame, keep: int = HISTORY_TURNS) -> DataFrame:
@@ -74,9 +74,8 @@ def retrieve(
     distinct = asked.dropDuplicates(["query_id"]).select("query_id", "query")
     vectors = embed(distinct, "query", fn, batch_size).select("query_id", "embedding")
     search = ann_topk if approximate else topk
-    found = search(vectors, chunks, k)
-    payload = attach(found, chunks, ["content", "url", "path", "page_number"])
-    return asked.drop("query").join(payload, "query_id").drop("query_id")
+    found = search(vectors, chunks, k, payload=["content", "url", "path", "page_number"])
+    return asked.drop("query").join(found, "query_id").drop("query_id")
 
 
 def context(found: DataFrame) -> DataFrame:

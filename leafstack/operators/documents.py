@@ -32,14 +32,15 @@ def rejected(parsed: DataFrame) -> DataFrame:
 def explode_pages(df: DataFrame, parser: Callable | None = None, content: str = "text") -> DataFrame:
     """One row per page ``(title, page_number, text)``, page numbers from 0.
 
-    Without a parser, ``content`` is text whose pages end in a form feed and
+    Without a parser, ``content`` is text with form feeds between its pages and
     ``title`` is kept. A document without pages gives no row.
     """
     if parser is None:
         keep = [c for c in df.columns if c not in (content, "page_number", "text")]
         return df.select(
             *keep,
-            F.posexplode(F.split(F.regexp_replace(content, r"\f\z", ""), "\f")).alias("page_number", "text"),
+            F.posexplode(F.split(F.regexp_replace(content, r"\f\z", ""), "\f"))
+            .alias("page_number", "text"),
         )
     parsed = df if "pages" in df.columns else parse_pages(df, parser, content)
     keep = [c for c in df.columns if c not in (content, "pages", "title", "page_number", "text")]
@@ -123,8 +124,15 @@ def preprocess(
     content: str = "text",
 ) -> DataFrame:
     """Files to embedded chunks; nothing here shuffles, so it also runs on a stream."""
-    pages = explode_pages(normalise_path(df), parser, content)
-    return final_chunks(embed(chunk(pages), fn=fn))
+    return final_chunks(embed(page_chunks(df, parser, chunk, content), fn=fn))
+
+
+def page_chunks(
+    df: DataFrame, parser: Callable | None = None,
+    chunk: Callable[[DataFrame], DataFrame] = chunk_sections, content: str = "text",
+) -> DataFrame:
+    """Files to chunks, not yet embedded: the place to give ids that need a sort."""
+    return chunk(explode_pages(normalise_path(df), parser, content))
 
 
 def page_counts(pages: DataFrame) -> DataFrame:

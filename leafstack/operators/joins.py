@@ -26,24 +26,31 @@ def _any_null(keys: list[str]) -> Column:
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """The target after a merge: matched rows take all source values, others are added.
 
-    A NULL in a key matches nothing, so such rows stay out of the join and
-    cannot pile up in one task. Two source rows with one key are an error,
-    raised by the task that sees them; the check uses the join's own shuffle.
+    A NULL in a key matches nothing; such rows get a hash of themselves as a
+    further key, so they spread over all tasks. Two source rows with one key
+    are an error, raised by the task that sees them; the check uses the join's
+    own shuffle.
     """
     columns = target.columns
-    source = source.select(*columns)
     lost = _any_null(keys)
-    # Marks come from the plan, not from a value column, so NULL values update too.
-    copies = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    fresh = source.filter(~lost).withColumn("__copies", copies).withColumn(
-        "__new",
-        F.when(F.col("__copies") > 1, F.raise_error(F.lit("more than one source row for a key")))
-        .otherwise(F.lit(True)),
-    ).drop("__copies").alias("s")
-    old = target.filter(~lost).alias("t")
-    match = reduce(lambda a, b: a & b, [F.col(f"s.{k}") == F.col(f"t.{k}") for k in keys])
-    merged = old.join(fresh, match, "full_outer").select(*[
+    salt = F.when(lost, F.xxhash64(*columns)).otherwise(F.lit(0).cast("bigint"))
+    place = [*keys, "__salt"]
+    copies = F.count(F.lit(1)).over(Window.partitionBy(*place))
+    # The marks are columns of their own, so that NULL values update too.
+    fresh = (
+        source.select(*columns).withColumn("__salt", salt).withColumn("__copies", copies)
+        .withColumn(
+            "__new",
+            F.when(
+                (F.col("__copies") > 1) & (F.col("__salt") == 0) & ~lost,
+                F.raise_error(F.lit("more than one source row for a key")).cast("boolean"),
+            ).otherwise(F.lit(True)),
+        )
+        .drop("__copies").alias("s")
+    )
+    old = target.withColumn("__salt", salt).alias("t")
+    match = reduce(lambda a, b: a & b, [F.col(f"s.{k}") == F.col(f"t.{k}") for k in place])
+    return old.join(fresh, match, "full_outer").select(*[
         F.when(F.col("s.__new"), F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
         for c in columns
     ])
-    return merged.unionByName(target.filter(lost)).unionByName(source.filter(lost))

@@ -48,12 +48,17 @@ def _rank(partial: DataFrame, k: int, metric: str) -> DataFrame:
     )
 
 
-def few_queries(queries: DataFrame, max_bytes: int = BROADCAST_VECTOR_BYTES) -> pa.Table | None:
-    """The queries if they fit the bound, else None; reads no more than the bound."""
-    width = queries.select(F.size("embedding").alias("n")).head()
-    most = max(1, max_bytes // (8 * max(1, width["n"]))) if width else 1
-    rows = queries.limit(most + 1).toArrow()
-    return rows if len(rows) <= most else None
+def few_queries(asked: DataFrame, max_bytes: int = BROADCAST_VECTOR_BYTES) -> pa.Table | None:
+    """The vectors of ``asked`` if they fit the bound, else None.
+
+    ``asked`` is counted first; it should be a written frame, so that neither
+    the count nor the read runs the embedding again.
+    """
+    rows = asked.count()
+    if not rows:
+        return asked.toArrow()
+    width = asked.select(F.size("embedding").alias("n")).head()["n"]
+    return asked.toArrow() if rows * width * 8 <= max_bytes else None
 
 
 def scan_topk(
@@ -252,21 +257,26 @@ def _grouped(chunks, k, metric, cells, skip_same):
 
 
 def ann_topk(
-    queries: DataFrame, chunks: DataFrame, k: int = TOP_K, metric: str = "l2",
-    where: Column | str | None = None, probes: int | None = None, cells: int | None = None,
-    skip_same: bool = False, block: int = SEARCH_BLOCK_ROWS, exact: bool = False,
+    queries: DataFrame, chunks: DataFrame, k: int = TOP_K, where: Column | str | None = None,
+    metric: str = "l2", skip_same: bool = False, payload: list[str] | None = None,
+    probes: int | None = None, cells: int | None = None, block: int = SEARCH_BLOCK_ROWS,
 ) -> DataFrame:
     """Approximate top-k: each query looks into the ``probes`` nearest cells.
 
     About sqrt(n) cells are made, and by default a third of them, at most 32,
-    are visited. With ``exact`` the answer of this first visit bounds a second
-    one that leaves out only cells that cannot matter.
+    are visited.
     """
     assert metric in _METRICS, metric
     if where is not None:
         chunks = chunks.filter(where)
-    leaders, held, stats = _grouped(chunks, k, metric, cells, skip_same)
     asked = settled(_vectors(queries, "query_id"))
+    found = _visit_cells(asked, chunks, k, metric, skip_same, probes, cells, block, exact=False)
+    return _attach(found, chunks, payload)
+
+
+def _visit_cells(asked, chunks, k, metric, skip_same, probes, cells, block, exact):
+    """Visit the nearest cells; with ``exact``, then all that the answer so far leaves possible."""
+    leaders, held, stats = _grouped(chunks, k, metric, cells, skip_same)
     if not stats:
         return _rank(
             asked.select("query_id", F.lit(0).cast("bigint").alias("id"), F.lit(0.0).alias("key"))
@@ -296,21 +306,27 @@ def ann_topk(
 
 def topk(
     queries: DataFrame, chunks: DataFrame, k: int = TOP_K, where: Column | str | None = None,
-    metric: str = "l2", skip_same: bool = False, max_bytes: int = BROADCAST_VECTOR_BYTES,
+    metric: str = "l2", skip_same: bool = False, payload: list[str] | None = None,
+    max_bytes: int = BROADCAST_VECTOR_BYTES, block: int = SEARCH_BLOCK_ROWS,
 ) -> DataFrame:
-    """Exact top-k. The plan depends on whether the queries fit ``max_bytes``."""
+    """Exact top-k. The plan depends on whether the queries fit ``max_bytes``.
+
+    ``payload`` names columns of ``chunks`` to add to the chunks found.
+    """
     assert metric in _METRICS, metric
     if where is not None:
         chunks = chunks.filter(where)
-    queries = _vectors(queries, "query_id")
-    rows = few_queries(queries, max_bytes)
-    if rows is not None:
-        return scan_topk(
-            rows, queries.schema["query_id"].dataType, chunks, k, metric, skip_same
-        )
-    return ann_topk(queries, chunks, k, metric, skip_same=skip_same, exact=True)
-
-
-def attach(found: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:
-    """Payload columns of the chunks found."""
-    return found.join(chunks.select("id", *columns), "id")
+    asked = settled(_vectors(queries, "query_id"))
+    rows = few_queries(asked, max_bytes)
+    if rows is None:
+        found = _visit_cells(asked, chunks, k, metric, skip_same, None, None, block, exact=True)
+        return _attach(found, chunks, payload)
+    found = scan_topk(rows, asked.schema["query_id"].dataType, chunks, k, metric, skip_same)
+    # k rows for each of the counted queries: their number is bounded like the queries.
+    return _attach(found, chunks, payload, bounded=True)
+
+
+def _attach(found, chunks, payload, bounded=False):
+    if not payload:
+        return found
+    return (F.broadcast(found) if bounded else found).join(chunks.select("id", *payload), "id")

@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import documents as ops
-from ..sources import load
+from ..sources import load, spread
 from . import fixtures as fx
 
 
+def _texts(spark, sf):
+    return spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
 def b1_normalise_path(spark, sf):
     return ops.normalise_path(fx.manual_pages(spark, sf)).select("doc_id", "url", "path")
 
@@ -28,11 +32,11 @@ def b3_sections(spark, sf):
 
 
 def b4_sentences(spark, sf):
-    return _numbered(ops.chunk_sentences(load(spark, sf, "documents").select("doc_id", "text")))
+    return _numbered(ops.chunk_sentences(_texts(spark, sf)))
 
 
 def b5_windows(spark, sf):
-    return _numbered(ops.chunk_windows(load(spark, sf, "documents").select("doc_id", "text")))
+    return _numbered(ops.chunk_windows(_texts(spark, sf)))
 
 
 def b6_clean(spark, sf):
@@ -55,7 +59,7 @@ def b8_with_headings(spark, sf):
 
 
 def b10_embed(spark, sf):
-    vectors = ops.embed(load(spark, sf, "documents").select("doc_id", "text"), "text")
+    vectors = ops.embed(_texts(spark, sf), "text")
     return vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "w")).filter(
         "w > 0"
     ).select(

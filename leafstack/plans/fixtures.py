@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.feedback import dedupe_assessments
 from ..operators.windows import latest_per_key
-from ..sources import load
+from ..sources import load, spread
 
 SPAN = 200
 
@@ -63,7 +63,8 @@ def manual_md(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("| Item | Name |"), F.lit("|---|---|"), F.concat(F.lit("| 1 | "), "lang", F.lit(" |")),
         F.lit(ticks), F.lit("# not a heading"), F.lit(ticks), F.lit("### End"), F.col("lang"),
     ]
-    return load(spark, sf, "documents").select("doc_id", F.concat_ws("\n", *lines).alias("text"))
+    docs = spread(load(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
+    return docs.select("doc_id", F.concat_ws("\n", *lines).alias("text"))
 
 
 MANUAL_MD = """manual_md as (

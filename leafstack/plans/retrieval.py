@@ -56,8 +56,8 @@ def d7_ann_topk(spark, sf):
 
 
 def _metrics(spark, sf):
-    found = similarity.topk(label_queries(spark, sf), vectors(spark, sf))
-    ranked = similarity.attach(found, vectors(spark, sf), ["label"]).select(
+    found = similarity.topk(label_queries(spark, sf), vectors(spark, sf), payload=["label"])
+    ranked = found.select(
         F.col("query_id").alias("question"), "rank", F.col("label").cast("bigint").alias("source")
     )
     truth = load(spark, sf, "embeddings").select(

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import changes, windows
-from ..operators.documents import assign_ids, chunk_windows, preprocess
+from ..operators.documents import assign_ids, chunk_windows, embed, page_chunks
 from ..operators.joins import lookup
 from ..schemas import CHUNKS, PARTS
 from ..session import scratch_path
-from ..sources import ensure_chunks, ensure_parts, load, qualified, view
+from ..sources import ensure_chunks, ensure_parts, load, qualified, spread, view
 from . import fixtures as fx
 
 
@@ -19,9 +19,8 @@ def a5_chunk_table(spark, sf):
     """Create the chunk table, fill it from the manuals and read it back."""
     name = f"chunks_{uuid.uuid4().hex}"
     ensure_chunks(spark, name, scratch_path(spark, "chunks"))
-    rows = preprocess(fx.manual_files(spark, sf))
-    rows = assign_ids(rows, ["path", "page_number", "content"])
-    rows.select(*CHUNKS.fieldNames()).write.insertInto(name)
+    rows = assign_ids(page_chunks(fx.manual_files(spark, sf)), ["path", "page_number", "chunk_no"])
+    embed(rows).select(*CHUNKS.fieldNames()).write.insertInto(name)
     return spark.table(qualified(name)).select(
         "path", "title", "url", "page_number", F.length("content").cast("bigint").alias("n_chars"),
         F.size("embedding").cast("bigint").alias("width"),
@@ -48,7 +47,8 @@ def a8_view(spark, sf):
 
 
 def b9_ids(spark, sf):
-    rows = chunk_windows(load(spark, sf, "documents").select("doc_id", "text"))
+    docs = spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    rows = chunk_windows(docs)
     return assign_ids(rows.select("doc_id", "chunk_no"), ["doc_id", "chunk_no"]).select(
         "id", "doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no")
     )

@@ -34,6 +34,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan over all cores, if its files give fewer splits than there are cores.
+
+    For scans ahead of heavy row work. A table of many files or row groups
+    has enough splits and is left as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def view(df: DataFrame, name: str) -> DataFrame:
     """Name a frame for SQL and give it back."""
     df.createOrReplaceTempView(name)

@@ -37,18 +37,14 @@ def _pages(raw: DataFrame, parser: Callable | None) -> DataFrame:
     return explode_pages(text)
 
 
-def _chunks(raw, parser, chunk, fn):
-    return embed(chunk(_pages(raw, parser)), fn=fn)
-
-
 def ingest_chunks(
     spark: SparkSession, raw: str, table: str, checkpoint: str, parser: Callable | None = None,
     chunk: Callable[[DataFrame], DataFrame] = chunk_sections, fn: Callable = hash_embed,
     location: str | None = None,
 ) -> StreamingQuery:
     """New rows of the raw table to embedded chunks with hashed ids; no state, no shuffle."""
-    rows = hash_ids(_chunks(read_table_stream(spark, raw), parser, chunk, fn), _PLACE)
-    return write_stream(rows.select(*CHUNKS.fieldNames()), table, checkpoint, location)
+    rows = hash_ids(chunk(_pages(read_table_stream(spark, raw), parser)), _PLACE)
+    return write_stream(embed(rows, fn=fn).select(*CHUNKS.fieldNames()), table, checkpoint, location)
 
 
 def ingest_numbered_chunks(
@@ -69,8 +65,8 @@ def ingest_numbered_chunks(
             before = session.read.schema(CHUNKS.add("batch_id", "long")).parquet(folder)
             row = before.filter(F.col("batch_id") < batch_id).agg(F.max("id").alias("m")).head()
             last = row["m"] or 0
-        rows = assign_ids(_chunks(batch, parser, chunk, fn), _PLACE, last + 1)
-        rows.select(*CHUNKS.fieldNames()).write.mode("overwrite").parquet(
+        rows = assign_ids(chunk(_pages(batch, parser)), _PLACE, last + 1)
+        embed(rows, fn=fn).select(*CHUNKS.fieldNames()).write.mode("overwrite").parquet(
             f"{folder}/batch_id={batch_id}"
         )
 
