@@ -85,17 +85,18 @@ def guided_questions(
     """A question per assembly that lists its parts as bullets.
 
     ``template`` takes the action, the part name and the bullets. An assembly
-    with more than ``limit`` parts gets several questions, numbered by
-    ``part``, that list about ``limit`` parts each. Assemblies without a name
+    with more than ``limit`` rows gets several questions, numbered by
+    ``part``, that list at most about ``limit`` parts each. Assemblies without a name
     or without parts get none.
     """
     action = F.lit(action) if isinstance(action, str) else action
     chosen = parts.filter(
         F.col("part_name").isNotNull() & (F.col("part_name") != "") & F.col("designation").isNotNull()
-    ).select("assembly_id", "part_name", "item_number", "designation").distinct()
+    ).select("assembly_id", "part_name", "item_number", "designation")
+    # Equal rows fall into one part, so the set per part removes all duplicates.
     chosen = add_part(chosen, ["assembly_id", "part_name"], ["item_number", "designation"], limit)
     bullets = F.transform(
-        F.array_sort(F.collect_list(F.struct("item_number", "designation"))),
+        F.array_sort(F.collect_set(F.struct("item_number", "designation"))),
         lambda p: F.concat(F.lit("- "), p["designation"]),
     )
     return chosen.groupBy("assembly_id", "part_name", "part").agg(bullets.alias("bullets")).select(

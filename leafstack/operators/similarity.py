@@ -25,6 +25,7 @@ from ..functions.vectors import TopK, matrix, prepare, squared
 from ..session import settled
 
 _METRICS = ("l2", "cosine")
+PROBES = 32
 
 
 def _vectors(df: DataFrame, id_col: str) -> DataFrame:
@@ -263,8 +264,9 @@ def ann_topk(
 ) -> DataFrame:
     """Approximate top-k: each query looks into the ``probes`` nearest cells.
 
-    About sqrt(n) cells are made, and by default a third of them, at most 32,
-    are visited.
+    About sqrt(n) cells are made. Vectors with structure need few visits; on
+    vectors spread evenly over a sphere no grouping helps, and ``probes`` has
+    to be a large share of the cells for the same recall.
     """
     assert metric in _METRICS, metric
     if where is not None:
@@ -283,7 +285,7 @@ def _visit_cells(asked, chunks, k, metric, skip_same, probes, cells, block, exac
             .limit(0), k, metric,
         )
     shipped = asked.sparkSession.sparkContext.broadcast(leaders)
-    count = min(len(leaders), probes or max(1, min(32, math.ceil(len(leaders) / 3))))
+    count = min(len(leaders), probes or PROBES)
     first = _search(
         settled(_probes(asked, shipped, stats, count, metric)), held, stats, k, metric,
         skip_same, block,

@@ -29,7 +29,7 @@ def ingest_raw(
 def _pages(raw: DataFrame, parser: Callable | None) -> DataFrame:
     raw = normalise_path(raw.select("path", "content"))
     if parser is not None:
-        return explode_pages(raw, parser)
+        return explode_pages(raw, parser, "content")
     text = raw.select(
         "path", "url", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("title"),
         F.decode("content", "UTF-8").alias("text"),
@@ -62,7 +62,7 @@ def ingest_numbered_chunks(
         session = batch.sparkSession
         last = 0
         if batch_id > 0:
-            before = session.read.schema(CHUNKS.add("batch_id", "long")).parquet(folder)
+            before = session.read.schema("id bigint, batch_id bigint").parquet(folder)
             row = before.filter(F.col("batch_id") < batch_id).agg(F.max("id").alias("m")).head()
             last = row["m"] or 0
         rows = assign_ids(chunk(_pages(batch, parser)), _PLACE, last + 1)
