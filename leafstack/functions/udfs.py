@@ -45,7 +45,8 @@ def embedding_udf(
 ):
     """Series-to-series function; ``fn`` sees at most ``batch_size`` texts at a time.
 
-    Order is kept and an error of ``fn`` fails the task.
+    Order is kept and an error of ``fn`` fails the task. It is marked as not
+    deterministic, so that a filter on the vector does not run it a second time.
     """
 
     @F.pandas_udf(ArrayType(FloatType()))
@@ -55,7 +56,7 @@ def embedding_udf(
             vectors.extend(fn(contents.iloc[start:start + batch_size].tolist()))
         return pd.Series(vectors, dtype=object)
 
-    return embed
+    return embed.asNondeterministic()
 
 
 def chunker_udf(chunker: Callable[[str], list[str]]):

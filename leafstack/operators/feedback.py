@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .skew import left_join_many
 from .windows import collect_retrieval, latest_per_key
 
 
@@ -39,10 +40,18 @@ def dedupe_assessments(assessments: DataFrame, strict: bool = False) -> DataFram
         F.col("request_id").alias("request_id2"), F.col("source").alias("source2"),
         "retrieval_assessments",
     )
+    # A full join, put together so that the many rows of a hot request can be split:
+    # retrieval rows with the one text row of their key, then text rows without any.
     same = (F.col("request_id") == F.col("request_id2")) & (
         F.col("source.id") == F.col("source2.id")
     )
-    merged = text.join(retrieval, same, "full")
+    paired = retrieval.join(text, same, "left")
+    keys = retrieval.select("request_id2", F.col("source2.id").alias("id2")).distinct()
+    alone = text.join(
+        keys, (F.col("request_id") == F.col("request_id2")) & (F.col("source.id") == F.col("id2")),
+        "left_anti",
+    )
+    merged = paired.unionByName(alone, allowMissingColumns=True)
     if not strict:
         merged = merged.withColumn("request_id", F.coalesce("request_id", "request_id2"))
         merged = merged.withColumn("source", F.coalesce("source", "source2"))
@@ -50,9 +59,8 @@ def dedupe_assessments(assessments: DataFrame, strict: bool = False) -> DataFram
 
 
 def requests_with_feedback(requests: DataFrame, latest: DataFrame) -> DataFrame:
-    return requests.join(
-        latest, requests["databricks_request_id"] == latest["request_id"], "left"
-    )
+    """Every request with its rows of ``latest``, if any."""
+    return left_join_many(requests, latest, {"databricks_request_id": "request_id"})
 
 
 def eval_set(requests: DataFrame, latest: DataFrame) -> DataFrame:

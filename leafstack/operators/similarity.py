@@ -109,8 +109,14 @@ def first_copies(chunks: DataFrame, copies: int) -> DataFrame:
 
 def sample_leaders(chunks: DataFrame, cells: int) -> np.ndarray:
     """``cells`` vectors, picked by the hash of the id: dense regions get more of them."""
-    rows = chunks.orderBy(F.xxhash64("id"), "id").limit(cells).select("embedding").collect()
-    return np.array([r["embedding"] for r in rows], dtype=np.float64)
+    picked = chunks.orderBy(F.xxhash64("id"), "id").limit(cells).select("embedding")
+    return matrix(picked.toArrow().column("embedding"))
+
+
+def _slices(rows: int, leaders: np.ndarray):
+    """Row ranges whose distances to all leaders take some 30 MB."""
+    step = max(1, (1 << 22) // len(leaders))
+    return ((i, min(rows, i + step)) for i in range(0, rows, step))
 
 
 def _nearest_leaders(vectors, leaders, count):
@@ -127,8 +133,8 @@ def assign_cells(chunks: DataFrame, leaders: np.ndarray, metric: str) -> DataFra
     def assign(batches):
         for batch in batches:
             vectors = prepare(matrix(batch.column(1)), metric)
-            for i in range(0, len(vectors), 1024):
-                part = vectors[i:i + 1024]
+            for i, j in _slices(len(vectors), shipped.value):
+                part = vectors[i:j]
                 d = squared(part, shipped.value)
                 cell = d.argmin(1)
                 yield pa.RecordBatch.from_arrays(
@@ -164,8 +170,8 @@ def _probes(queries: DataFrame, shipped, stats, count: int | None, metric: str)
             radius[cell] = r
         for batch in batches:
             vectors = prepare(matrix(batch.column(1)), metric)
-            for i in range(0, len(vectors), 1024):
-                part = vectors[i:i + 1024]
+            for i, stop in _slices(len(vectors), leaders):
+                part = vectors[i:stop]
                 if count is not None:
                     cells, _ = _nearest_leaders(part, leaders, count)
                     rows = np.repeat(np.arange(len(part)), cells.shape[1])

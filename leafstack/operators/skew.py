@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..defaults import LIST_PART_ROWS
@@ -47,10 +50,10 @@ def number_rows(
     partitions before, a table of one row per partition.
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    by_range = [partitions, *cols] if partitions else cols
     placed = settled(
-        df.repartitionByRange(n, *cols)
+        df.repartitionByRange(*by_range)
         .sortWithinPartitions(*cols)
         .withColumn("__pid", F.spark_partition_id())
         .withColumn("__seq", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
@@ -66,3 +69,19 @@ def number_rows(
         .withColumn(name, F.col("__base") + F.col("__seq"))
         .drop("__pid", "__seq", "__base")
     )
+
+
+def left_join_many(left: DataFrame, right: DataFrame, on: dict[str, str]) -> DataFrame:
+    """Left join of rows that are unique by key with a side where a key may be hot.
+
+    A left outer join cannot split the right side of a hot key, an inner join
+    can. So the matches come from an inner join, and the rows without a match
+    from an anti join with the distinct keys, which combine on the map side.
+    ``on`` maps left to right key names; no other names may be shared.
+    """
+    keys = right.select(*[F.col(b).alias(f"__{b}") for b in on.values()]).distinct()
+    same = [F.col(a) == F.col(b) for a, b in on.items()]
+    seen = [F.col(a) == F.col(f"__{b}") for a, b in on.items()]
+    matched = left.join(right, reduce(and_, same), "inner")
+    alone = left.join(keys, reduce(and_, seen), "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)

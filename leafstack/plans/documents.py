@@ -81,6 +81,20 @@ def c6_known_paths(spark, sf):
     return ops.known_paths(ops.normalise_path(fx.manual_pages(spark, sf)).select("path"))
 
 
+def k2_chunker_udf(spark, sf):
+    """A user's chunker: the lines of a document."""
+    return _numbered(ops.chunk_with(_texts(spark, sf), lambda t: t.split("\n")))
+
+
+def k3_parser_udf(spark, sf):
+    """A user's parser that reads pages from text."""
+    def parser(content):
+        return [("parsed", i, page) for i, page in enumerate(content.split("\f"))]
+
+    pages = ops.explode_pages(fx.manual_files(spark, sf), parser, "text")
+    return pages.select("path", "title", F.col("page_number").cast("int").alias("page_number"), "text")
+
+
 def h2_file_names(spark, sf):
     return fx.manual_pages(spark, sf).select(
         "doc_id", tx.file_name(F.col("path")).alias("file"), tx.file_stem(F.col("path")).alias("stem")
@@ -90,7 +104,7 @@ def h2_file_names(spark, sf):
 QUERIES = {f.__name__: f for f in (
     b1_normalise_path, b2_explode_pages, b3_sections, b4_sentences, b5_windows, b6_clean, b7_prose,
     b7_tables, b8_with_headings, b10_embed, b11_final_chunks, b12_page_counts, c6_known_paths,
-    h2_file_names,
+    h2_file_names, k2_chunker_udf, k3_parser_udf,
 )}
 
 _SECTIONS = """fenced as (select *, regexp_matches(line, '^\\s*```') as fence from md_lines),
@@ -174,6 +188,11 @@ from vec_cnt vec join vec_nrm using (doc_id)""",
     ),
     "b12_page_counts": fx.with_ctes("select path, count(*) as pages from manuals group by path", fx.MANUALS),
     "c6_known_paths": fx.with_ctes("select distinct path from manuals", fx.MANUALS),
+    "k2_chunker_udf": """select doc_id, unnest(range(0, len(l))) as chunk_no, unnest(l) as content
+from (select doc_id, string_split(text, chr(10)) as l from documents)""",
+    "k3_parser_udf": fx.with_ctes(
+        "select url as path, 'parsed' as title, page_number::int as page_number, text from manuals", fx.MANUALS
+    ),
     "h2_file_names": fx.with_ctes(
         "select doc_id, split_part(path, '/', -1) as file, replace(split_part(path, '/', -1), '.pdf', '') as stem from manuals",
         fx.MANUALS,

@@ -25,7 +25,7 @@ def with_ctes(select: str, *ctes: str) -> str:
 def _in_manuals(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents").select("doc_id", "text", "source", "lang")
     title = F.concat_ws("-", "source", F.expr(f"doc_id div {SPAN}").cast("string"))
-    return docs.withColumn("title", title)
+    return spread(docs.withColumn("title", title), "title")
 
 
 def manual_pages(spark: SparkSession, sf: str) -> DataFrame:

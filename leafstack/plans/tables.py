@@ -4,17 +4,34 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from ..operators import changes, windows
 from ..operators.documents import assign_ids, chunk_windows, embed, page_chunks
 from ..operators.joins import lookup
 from ..schemas import CHUNKS, PARTS
 from ..session import scratch_path
-from ..sources import ensure_chunks, ensure_parts, load, qualified, spread, view
+from ..sources import (
+    ensure_chunks, ensure_parts, ensure_schema, from_rows, load, qualified, spread, view,
+)
 from . import fixtures as fx
 
 
+def a4_schema(spark, sf):
+    """A table in a schema of its own; the current schema is set back after."""
+    before = spark.catalog.currentDatabase()
+    schema = f"manuals_{uuid.uuid4().hex}"
+    try:
+        ensure_schema(spark, f"`{schema}`", scratch_path(spark, "schema"))
+        ensure_schema(spark, schema)
+        load(spark, sf, "documents").groupBy("source").agg(
+            F.count(F.lit(1)).alias("documents")
+        ).write.saveAsTable("sources")
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+    return spark.table(qualified(f"{schema}.sources"))
+
+
 def a5_chunk_table(spark, sf):
     """Create the chunk table, fill it from the manuals and read it back."""
     name = f"chunks_{uuid.uuid4().hex}"
@@ -46,6 +63,16 @@ def a8_view(spark, sf):
     )
 
 
+def a9_from_rows(spark, sf):
+    """Rows made on the driver, joined to a table."""
+    names = from_rows(
+        spark, [("en", "English"), ("fr", "French"), ("de", "German"), ("es", "Spanish")],
+        T.StructType([T.StructField("lang", T.StringType()), T.StructField("name", T.StringType())]),
+    )
+    docs = load(spark, sf, "documents").select("doc_id", "lang")
+    return docs.join(names, "lang", "left").select("doc_id", "name")
+
+
 def b9_ids(spark, sf):
     docs = spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     rows = chunk_windows(docs)
@@ -124,11 +151,14 @@ def h8_json_decode(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    a5_chunk_table, a6_part_table, a7_scan, a8_view, b9_ids, d4_lookup, e1_latest, e4_union,
+    a4_schema, a5_chunk_table, a6_part_table, a7_scan, a8_view, a9_from_rows, b9_ids, d4_lookup, e1_latest, e4_union,
     e5_change_feed, e6_sync_index, e7_latest_version, e8_distinct, e8_limit, h8_json_decode,
 )}
 
 ORACLES = {
+    "a4_schema": "select source, count(*) as documents from documents group by source",
+    "a9_from_rows": """select doc_id, case lang when 'en' then 'English' when 'fr' then 'French'
+  when 'de' then 'German' when 'es' then 'Spanish' end as name from documents""",
     "a5_chunk_table": fx.with_ctes(
         "select path, title, url, page_number::int as page_number, length(text) as n_chars, 64::bigint as width from manuals",
         fx.MANUALS,

@@ -42,14 +42,26 @@ def read_version(
     return spark.read.schema(schema).parquet(f"{root}/version={version}")
 
 
+def expire_versions(spark: SparkSession, root: str, keep: int) -> list[int]:
+    """Delete all complete versions but the newest ``keep``; gives the deleted ones."""
+    jvm = spark.sparkContext._jvm
+    old = _done(spark, root)[:-keep]
+    for version in old:
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/version={version}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return old
+
+
 def upsert_stream(
     pages: DataFrame, root: str, checkpoint: str, keys: list[str] = PART_KEYS,
     extract: Callable[[DataFrame], DataFrame] = extract_listing, schema: StructType = PARTS,
+    keep: int = 2,
 ) -> StreamingQuery:
     """Merge what ``extract`` finds in each micro-batch into the table at ``root``.
 
     Batch N reads the newest version below N and writes version N. If N is
     complete, a repeated batch does nothing; if it was cut off, it is replaced.
+    The newest ``keep`` versions stay, at least the one being read.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -58,6 +70,7 @@ def upsert_stream(
             return
         target = read_version(spark, root, schema, before=batch_id)
         write_version(upsert(target, extract(batch), keys), root, batch_id)
+        expire_versions(spark, root, max(keep, 2))
 
     query = (
         pages.writeStream.trigger(availableNow=True)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from leafstack.operators.changes import change_feed, sync_index
 from leafstack.operators.joins import lookup, upsert
-from leafstack.operators.skew import add_part
+from leafstack.operators.skew import add_part, left_join_many
 from leafstack.operators.windows import collect_retrieval, latest_per_key, latest_version
 
 T = "k int, j string, v string"
@@ -96,3 +96,10 @@ def test_collected_lists_stay_whole(spark):
     assert len(out) == 10
     ids = [x["event_id"] for r in out for x in r["retrieval_assessments"]]
     assert sorted(ids) == list(range(500))
+
+
+def test_left_join_many(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, a string")
+    right = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z"), (None, "n")], "rk int, b string")
+    joined = left_join_many(left, right, {"k": "rk"})
+    assert rows(joined) == rows(left.join(right, left["k"] == right["rk"], "left"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from leafstack.schemas import CHUNKS, EVAL_QUESTIONS, PARTS
 from leafstack.sources import ensure_chunks, ensure_parts, ensure_schema, from_rows, qualified
 from leafstack.streaming import (
-    committed_version, ingest_numbered_chunks, ingest_raw, load_all, read_version, upsert_stream,
+    committed_version, expire_versions, ingest_numbered_chunks, ingest_raw, load_all, read_version, upsert_stream,
     write_version,
 )
 
@@ -112,6 +112,8 @@ def test_streaming_upsert(spark, tmp_path):
     last.unlink()
     (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
     assert run() == second and committed_version(spark, root) == version
+    assert sorted(p.name for p in (tmp_path / "parts").iterdir()) == ["version=0", "version=1"]
+    assert expire_versions(spark, root, 1) == [0] and run() == second
 
 
 def test_unfinished_version_is_not_read(spark, tmp_path):
