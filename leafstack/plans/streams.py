@@ -102,9 +102,9 @@ def j4_upsert_stream(spark, sf):
         spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 100)
         .option("pathGlobFilter", "pages.parquet").parquet(sf)
     )
-    upsert_stream(stream, f"{root}/table", f"{root}/progress")
-    # A second pass over the same pages: every row is matched and nothing is added.
-    upsert_stream(stream, f"{root}/table", f"{root}/progress")
+    upsert_stream(stream, f"{root}/table", f"{root}/progress", buckets=8)
+    # A second stream over the same pages: every row is matched and nothing is added.
+    upsert_stream(stream, f"{root}/table", f"{root}/again", buckets=8)
     return read_version(spark, f"{root}/table", PARTS)
 
 

@@ -1,7 +1,9 @@
 from .ingest import ingest_chunks, ingest_numbered_chunks, ingest_raw, load_all
-from .upserts import committed_version, expire_versions, read_version, upsert_stream, write_version
+from .upserts import (
+    bucket_of, committed_version, expire_versions, read_version, upsert_stream, write_version,
+)
 
 __all__ = [
     "ingest_chunks", "ingest_numbered_chunks", "ingest_raw", "load_all",
-    "committed_version", "expire_versions", "read_version", "upsert_stream", "write_version",
+    "bucket_of", "committed_version", "expire_versions", "read_version", "upsert_stream", "write_version",
 ]

@@ -13,6 +13,7 @@ from ..operators.documents import (
 )
 from ..schemas import CHUNKS
 from ..sources import qualified, read_files_stream, read_table_stream, write_stream
+from ..sources.paths import levels, stream_number
 
 _PLACE = ["path", "page_number", "chunk_no"]
 
@@ -53,21 +54,22 @@ def ingest_numbered_chunks(
 ) -> StreamingQuery:
     """As ``ingest_chunks``, with unique consecutive ids that go on from batch to batch.
 
-    Each batch owns the directory ``batch_id=N``. A batch that is run again
-    counts from the batches before it and replaces its own directory, so its
-    rows and ids come out the same.
+    Each batch owns a directory of ``folder``, by stream and batch. A batch
+    that is run again counts from the others and replaces its own directory,
+    so its rows and ids come out the same.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
+        stream = stream_number(session, checkpoint)
         last = 0
-        if batch_id > 0:
-            before = session.read.schema("id bigint, batch_id bigint").parquet(folder)
-            row = before.filter(F.col("batch_id") < batch_id).agg(F.max("id").alias("m")).head()
-            last = row["m"] or 0
+        if levels(session, f"{folder}/stream=*"):
+            ids = session.read.schema("id bigint, stream bigint, batch_id bigint").parquet(folder)
+            mine = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
+            last = ids.filter(~mine).agg(F.max("id").alias("m")).head()["m"] or 0
         rows = assign_ids(chunk(_pages(batch, parser)), _PLACE, last + 1)
         embed(rows, fn=fn).select(*CHUNKS.fieldNames()).write.mode("overwrite").parquet(
-            f"{folder}/batch_id={batch_id}"
+            f"{folder}/stream={stream}/batch_id={batch_id}"
         )
 
     query = (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from leafstack.schemas import CHUNKS, EVAL_QUESTIONS, PARTS
 from leafstack.sources import ensure_chunks, ensure_parts, ensure_schema, from_rows, qualified
 from leafstack.streaming import (
-    committed_version, expire_versions, ingest_numbered_chunks, ingest_raw, load_all, read_version, upsert_stream,
+    bucket_of, committed_version, expire_versions, ingest_numbered_chunks, ingest_raw, load_all, read_version, upsert_stream,
     write_version,
 )
 
@@ -79,6 +79,8 @@ def test_numbered_ids_go_on_and_survive_a_retry(spark, tmp_path):
     (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
     run()
     assert ids() == [(1, "x"), (2, "y"), (3, "z"), (4, "w")]
+    ingest_numbered_chunks(spark, raw, out, str(tmp_path / "p_again"))
+    assert [i for i, _ in ids()] == list(range(1, 9))
 
 
 def page(n, items):
@@ -104,27 +106,42 @@ def test_streaming_upsert(spark, tmp_path):
     first = [("http://h/1", 1, "a"), ("http://h/1", 2, "b"), ("http://h/2", 1, "c")]
     assert run() == first
     assert run() == first
-    spark.createDataFrame([page(1, ["A"]), page(3, ["d"])], SCHEMA).write.mode("append").parquet(folder)
-    second = [("http://h/1", 1, "A"), ("http://h/1", 2, "b"), ("http://h/2", 1, "c"), ("http://h/3", 1, "d")]
+    spark.createDataFrame([page(1, ["A"]), page(4, ["d"])], SCHEMA).write.mode("append").parquet(folder)
+    second = [("http://h/1", 1, "A"), ("http://h/1", 2, "b"), ("http://h/2", 1, "c"), ("http://h/4", 1, "d")]
     assert run() == second
     version = committed_version(spark, root)
     last = max((tmp_path / "progress" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
     last.unlink()
     (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
     assert run() == second and committed_version(spark, root) == version
-    assert sorted(p.name for p in (tmp_path / "parts").iterdir()) == ["version=0", "version=1"]
-    assert expire_versions(spark, root, 1) == [0] and run() == second
+    # Only the buckets of pages 1 and 4 were written again.
+    pages = spark.createDataFrame([("http://h/1",), ("http://h/2",), ("http://h/4",)], "u string")
+    one, two, three = (r["b"] for r in pages.select(bucket_of("u").alias("b")).collect())
+    written = {p.name for p in (tmp_path / "parts" / "buckets=64" / "version=1").glob("*/*/bucket=*")}
+    assert two not in (one, three), (one, two, three)
+    assert written == {f"bucket={one}", f"bucket={three}"}
+    assert expire_versions(spark, root, 1) == 1 and run() == second
+    # A stream that starts over is not taken for a repeated one.
+    stream = spark.readStream.schema(SCHEMA).parquet(folder)
+    spark.createDataFrame([page(5, ["e"])], SCHEMA).write.mode("append").parquet(folder)
+    upsert_stream(stream.filter("page_id = 5"), root, str(tmp_path / "progress2"))
+    assert ("http://h/5", 1, "e") in run() and len(run()) == len(second) + 1
+    with pytest.raises(ValueError, match="has 64 buckets"):
+        write_version(read_version(spark, root, PARTS), root, 9, "qr_code_url", 32)
 
 
 def test_unfinished_version_is_not_read(spark, tmp_path):
     root = str(tmp_path / "t")
     rows = spark.createDataFrame([(1, "n", "d", "c", "m", "u")], PARTS)
-    write_version(rows, root, 0)
-    (tmp_path / "t" / "version=1").mkdir()
-    (tmp_path / "t" / "version=1" / "part-0.parquet").write_text("cut off")
+    write_version(rows, root, 0, "qr_code_url")
+    base = tmp_path / "t" / "buckets=64"
+    bucket = next((base / "version=0").glob("*/*/bucket=*")).name
+    cut = base / "version=1" / "stream=5" / "batch=0" / bucket
+    cut.mkdir(parents=True)
+    (cut / "part-0.parquet").write_text("cut off")
     assert committed_version(spark, root) == 0
     assert read_version(spark, root, PARTS).count() == 1
-    assert read_version(spark, root, PARTS, before=0).count() == 0
+    assert read_version(spark, str(tmp_path / "none"), PARTS).count() == 0
 
 
 def test_catalog_objects(spark):
