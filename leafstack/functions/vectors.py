@@ -9,6 +9,7 @@ import pyarrow as pa
 DIGITS = 9
 _PAIR_SLICE = 1 << 17
 _CELLS = 1 << 22
+_HALF_ULP = 2.0 ** -24
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -45,12 +46,30 @@ def _exact(a, b, rows, cols, metric):
     return np.round(out, DIGITS) + 0.0
 
 
+def first_copies(ids: np.ndarray, vectors: np.ndarray, copies: int) -> np.ndarray:
+    """Rows that are among the first ``copies`` by id of their vector."""
+    order = np.argsort(ids, kind="stable")
+    rows = np.ascontiguousarray(vectors[order])
+    _, same = np.unique(rows.view(np.void(rows.shape[1] * rows.itemsize).dtype).ravel(),
+                        return_inverse=True)
+    by_copy = np.argsort(same, kind="stable")
+    same = same[by_copy]
+    place = np.arange(len(same)) - np.searchsorted(same, same, side="left")
+    return order[by_copy[place < copies]]
+
+
 class TopK:
-    """The k nearest seen so far for each query of a block."""
+    """The k nearest seen so far for each query of a block.
+
+    A product in single precision is the filter: what it cannot rule out by
+    more than its rounding error is computed again in double precision.
+    """
 
     def __init__(self, queries: np.ndarray, query_ids, k: int, metric: str, skip_same: bool):
         self.q = prepare(queries, metric)
-        self.qid = query_ids
+        self.q32 = self.q.astype(np.float32)
+        self.size = (self.q * self.q).sum(1) if len(self.q) else np.zeros(0)
+        self.qid = np.asarray(query_ids) if skip_same else query_ids
         self.k, self.metric, self.skip_same = k, metric, skip_same
         self.key = np.full((len(queries), k), np.inf)
         self.id = np.full((len(queries), k), np.iinfo(np.int64).max)
@@ -58,6 +77,10 @@ class TopK:
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         if not len(ids) or not len(self.q):
             return
+        if len(self.q) > 64:
+            # Copies of one vector tie for every query; only the lowest ids can be answers.
+            keep = first_copies(ids, vectors, self.k + self.skip_same)
+            ids, vectors = ids[keep], vectors[keep]
         vectors = prepare(vectors, self.metric)
         step = max(1, _CELLS // len(self.q))
         for i in range(0, len(ids), step):
@@ -65,19 +88,27 @@ class TopK:
 
     def _add(self, ids, c):
         q, k = self.q, self.k
+        size = (c * c).sum(1)
+        near = self.q32 @ c.T.astype(np.float32)
         if self.metric == "l2":
-            near = squared(q, c)
-            scale = (q * q).sum(1) + (c * c).sum(1).max()
+            # Squared distance without the part that is the query's own.
+            near *= -2
+            near += size.astype(np.float32)
+            limit = self.key[:, -1] - self.size
         else:
-            near = 1.0 - q @ c.T
-            scale = np.ones(len(q))
+            np.negative(near, out=near)
+            limit = self.key[:, -1] - 1.0
         if self.skip_same:
-            near[np.asarray(self.qid)[:, None] == ids[None, :]] = np.inf
-        # The product form is only a filter with some slack; what passes is computed again.
-        limit = self.key[:, -1]
-        if near.shape[1] > k:
-            limit = np.minimum(limit, np.partition(near, k - 1, axis=1)[:, k - 1])
-        rows, cols = np.nonzero((near <= (limit + 1e-8 * (1.0 + scale))[:, None]) & (near < np.inf))
+            near[self.qid[:, None] == ids[None, :]] = np.inf
+        slack = (4 * q.shape[1] + 32) * _HALF_ULP * (1.0 + self.size + size.max())
+        if np.isinf(limit).any():
+            limit = self._narrow(near, limit)
+        mask = near <= (limit + slack)[:, None]
+        if np.count_nonzero(mask) > 8 * k * len(q):
+            limit = self._narrow(near, limit)
+            mask = near <= (limit + slack)[:, None]
+        mask &= near < np.inf
+        rows, cols = np.nonzero(mask)
         if not len(rows):
             return
         held_rows, held = np.nonzero(self.key < np.inf)
@@ -91,6 +122,13 @@ class TopK:
         self.key[row[best], place[best]] = key[best]
         self.id[row[best], place[best]] = cid[best]
 
+    def _narrow(self, near, limit):
+        """The limit, or the k-th nearest of this block with its error if that is less."""
+        if near.shape[1] <= self.k:
+            return limit
+        kth = np.partition(near, self.k - 1, axis=1)[:, self.k - 1].astype(np.float64)
+        return np.minimum(limit, kth)
+
     def table(self) -> pa.RecordBatch:
         """What is held, as (query row, id, key)."""
         rows, cols = np.nonzero(self.key < np.inf)
