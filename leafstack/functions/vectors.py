@@ -21,6 +21,27 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
 
+def pack(vectors: np.ndarray) -> pa.Array:
+    """Vectors as a binary column, which Spark moves without looking inside."""
+    data = np.ascontiguousarray(vectors, dtype="<f4")
+    ends = np.arange(len(data) + 1, dtype=np.int32) * (data.shape[1] * 4)
+    return pa.Array.from_buffers(
+        pa.binary(), len(data), [None, pa.py_buffer(ends), pa.py_buffer(data)]
+    )
+
+
+def unpack(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n = len(column)
+    if not n:
+        return np.zeros((0, 0))
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + n + 1]
+    data = np.frombuffer(column.buffers()[2], "<f4", (ends[-1] - ends[0]) // 4, ends[0])
+    return data.reshape(n, -1).astype(np.float64)
+
+
 def prepare(vectors: np.ndarray, metric: str) -> np.ndarray:
     """Vectors as the metric needs them: unchanged, or of unit length."""
     if metric == "l2":
@@ -65,7 +86,12 @@ class TopK:
     more than its rounding error is computed again in double precision.
     """
 
-    def __init__(self, queries: np.ndarray, query_ids, k: int, metric: str, skip_same: bool):
+    def __init__(
+        self, queries: np.ndarray, query_ids, k: int, metric: str, skip_same: bool,
+        most: np.ndarray | float = np.inf,
+    ):
+        """``most`` is the largest key worth finding, per query."""
+        self.most = np.broadcast_to(most, len(queries)).astype(np.float64)
         self.q = prepare(queries, metric)
         self.q32 = self.q.astype(np.float32)
         self.size = (self.q * self.q).sum(1) if len(self.q) else np.zeros(0)
@@ -94,10 +120,10 @@ class TopK:
             # Squared distance without the part that is the query's own.
             near *= -2
             near += size.astype(np.float32)
-            limit = self.key[:, -1] - self.size
+            limit = self._most() - self.size
         else:
             np.negative(near, out=near)
-            limit = self.key[:, -1] - 1.0
+            limit = self._most() - 1.0
         if self.skip_same:
             near[self.qid[:, None] == ids[None, :]] = np.inf
         slack = (4 * q.shape[1] + 32) * _HALF_ULP * (1.0 + self.size + size.max())
@@ -122,6 +148,9 @@ class TopK:
         self.key[row[best], place[best]] = key[best]
         self.id[row[best], place[best]] = cid[best]
 
+    def _most(self):
+        return np.minimum(self.key[:, -1], self.most)
+
     def _narrow(self, near, limit):
         """The limit, or the k-th nearest of this block with its error if that is less."""
         if near.shape[1] <= self.k:
@@ -131,7 +160,7 @@ class TopK:
 
     def table(self) -> pa.RecordBatch:
         """What is held, as (query row, id, key)."""
-        rows, cols = np.nonzero(self.key < np.inf)
+        rows, cols = np.nonzero((self.key < np.inf) & (self.key <= self.most[:, None]))
         return pa.RecordBatch.from_arrays(
             [pa.array(rows.astype(np.int32)), pa.array(self.id[rows, cols]),
              pa.array(self.key[rows, cols])],

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..defaults import BROADCAST_VECTOR_BYTES, SEARCH_BLOCK_ROWS, TOP_K
-from ..functions.vectors import TopK, matrix, prepare, squared
+from ..functions.vectors import TopK, matrix, pack, prepare, squared, unpack
 from ..session import settled
 
 _METRICS = ("l2", "cosine")
@@ -100,10 +100,12 @@ def first_copies(chunks: DataFrame, copies: int) -> DataFrame:
     this loses nothing, and a vector that fills a third of the table shrinks
     to ``k`` rows before the shuffle.
     """
-    same = Window.partitionBy("embedding").orderBy("id")
+    # The digest comes first, so that sorting seldom has to compare whole vectors.
+    same = Window.partitionBy("__digest", "embedding").orderBy("id")
     return (
-        _vectors(chunks, "id").withColumn("__n", F.row_number().over(same))
-        .filter(F.col("__n") <= copies).drop("__n")
+        _vectors(chunks, "id").withColumn("__digest", F.xxhash64("embedding"))
+        .withColumn("__n", F.row_number().over(same))
+        .filter(F.col("__n") <= copies).drop("__n", "__digest")
     )
 
 
@@ -132,36 +134,38 @@ def assign_cells(chunks: DataFrame, leaders: np.ndarray, metric: str) -> DataFra
 
     def assign(batches):
         for batch in batches:
-            vectors = prepare(matrix(batch.column(1)), metric)
+            raw = matrix(batch.column(1))
+            vectors = prepare(raw, metric)
             for i, j in _slices(len(vectors), shipped.value):
                 part = vectors[i:j]
                 d = squared(part, shipped.value)
                 cell = d.argmin(1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, len(part)), batch.column(1).slice(i, len(part)),
+                    [batch.column(0).slice(i, len(part)), pack(raw[i:j]),
                      pa.array(cell.astype(np.int32)),
                      pa.array(np.sqrt(d[np.arange(len(part)), cell]))],
-                    names=["id", "embedding", "cell", "distance"],
+                    names=["id", "vector", "cell", "distance"],
                 )
 
-    return chunks.mapInArrow(
-        assign, "id bigint, embedding array<float>, cell int, distance double"
-    )
+    return chunks.mapInArrow(assign, "id bigint, vector binary, cell int, distance double")
 
 
 def _probes(queries: DataFrame, shipped, stats, count: int | None, metric: str) -> DataFrame:
-    """Queries with the cells to visit.
+    """Queries with the cells to visit; ``queries`` has the largest key to look for as ``most``.
 
     With ``count``, the nearest cells. Without, every cell that could hold a
-    vector within ``bound``: the distance to the leader less the cell's radius
+    vector within that key: the distance to the leader less the cell's radius
     is a lower bound on the distance to its vectors.
     """
     id_type = queries.schema["query_id"].dataType
     schema = T.StructType([
         T.StructField("query_id", id_type),
-        T.StructField("embedding", T.ArrayType(T.FloatType())),
+        T.StructField("vector", T.BinaryType()),
         T.StructField("cell", T.IntegerType()),
+        T.StructField("most", T.DoubleType()),
     ])
+    # Under l2 the key is the squared distance; on unit vectors it is half of it.
+    stretch = 1.0 if metric == "l2" else 2.0
 
     def visit(batches):
         leaders = shipped.value
@@ -169,7 +173,8 @@ def _probes(queries: DataFrame, shipped, stats, count: int | None, metric: str)
         for cell, _, r in stats:
             radius[cell] = r
         for batch in batches:
-            vectors = prepare(matrix(batch.column(1)), metric)
+            raw = matrix(batch.column(1))
+            vectors = prepare(raw, metric)
             for i, stop in _slices(len(vectors), leaders):
                 part = vectors[i:stop]
                 if count is not None:
@@ -177,16 +182,16 @@ def _probes(queries: DataFrame, shipped, stats, count: int | None, metric: str)
                     rows = np.repeat(np.arange(len(part)), cells.shape[1])
                     cells = cells.ravel()
                 else:
-                    bound = np.asarray(batch.column(2).slice(i, len(part)), dtype=np.float64)
+                    bound = np.sqrt(np.asarray(batch.column(2).slice(i, len(part))) * stretch)
                     reach = bound[:, None] + radius[None, :] + 1e-6
                     rows, cells = np.nonzero(np.sqrt(squared(part, leaders)) <= reach)
-                take = pa.array(rows + i)
                 for j in range(0, len(rows), 4096):
-                    some = take.slice(j, 4096)
+                    some = rows[j:j + 4096] + i
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(some), batch.column(1).take(some),
-                         pa.array(cells[j:j + 4096].astype(np.int32))],
-                        names=["query_id", "embedding", "cell"],
+                        [batch.column(0).take(pa.array(some)), pack(raw[some]),
+                         pa.array(cells[j:j + 4096].astype(np.int32)),
+                         batch.column(2).take(pa.array(some))],
+                        names=["query_id", "vector", "cell", "most"],
                     )
 
     return queries.mapInArrow(visit, schema)
@@ -216,13 +221,13 @@ def _search(
         probes.join(blocks, "cell")
         .withColumn("qb", F.pmod(F.xxhash64("query_id"), "q_blocks").cast("int"))
         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("c_blocks") - 1)))
-        .select("cell", "qb", "cb", "query_id", "embedding")
+        .select("cell", "qb", "cb", "query_id", "vector", "most")
     )
     right = (
         cells.join(blocks, "cell")
         .withColumn("cb", F.pmod(F.xxhash64("id"), "c_blocks").cast("int"))
         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
-        .select("cell", "qb", "cb", "id", "embedding")
+        .select("cell", "qb", "cb", "id", "vector")
     )
     schema = T.StructType([
         T.StructField("query_id", id_type), T.StructField("id", T.LongType()),
@@ -231,10 +236,10 @@ def _search(
 
     def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
         ids = asked.column("query_id").combine_chunks()
-        best = TopK(matrix(asked.column("embedding")), ids.to_pylist() if skip_same else ids,
-                    k, metric, skip_same)
+        best = TopK(unpack(asked.column("vector")), ids.to_pylist() if skip_same else ids,
+                    k, metric, skip_same, asked.column("most").to_numpy())
         if len(asked) and len(held):
-            best.add(np.asarray(held.column("id"), dtype=np.int64), matrix(held.column("embedding")))
+            best.add(np.asarray(held.column("id"), dtype=np.int64), unpack(held.column("vector")))
         found = best.table()
         return pa.Table.from_arrays(
             [ids.take(found.column(0)), found.column(1), found.column(2)],
@@ -292,21 +297,19 @@ def _visit_cells(asked, chunks, k, metric, skip_same, probes, cells, block, exac
         )
     shipped = asked.sparkSession.sparkContext.broadcast(leaders)
     count = min(len(leaders), probes or PROBES)
-    first = _search(
-        settled(_probes(asked, shipped, stats, count, metric)), held, stats, k, metric,
-        skip_same, block,
+    near = settled(
+        _probes(asked.withColumn("most", F.lit(float("inf"))), shipped, stats, count, metric)
     )
+    first = _search(near, held, stats, k, metric, skip_same, block)
     if not exact:
         return _rank(first, k, metric)
     nearest = Window.partitionBy("query_id").orderBy("key", "id")
-    # Under l2 the key is the squared distance; on unit vectors it is half of it.
-    far = F.sqrt(F.col("key") * (1.0 if metric == "l2" else 2.0))
     bounds = (
         first.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") == k)
-        .select("query_id", far.alias("bound"))
+        .select("query_id", F.col("key").alias("most"))
     )
-    bounded = asked.join(bounds, "query_id", "left").withColumn(
-        "bound", F.coalesce("bound", F.lit(float("inf")))
+    bounded = asked.join(bounds, "query_id", "left").select(
+        "query_id", "embedding", F.coalesce("most", F.lit(float("inf"))).alias("most")
     )
     again = settled(_probes(bounded, shipped, stats, None, metric))
     return _rank(_search(again, held, stats, k, metric, skip_same, block), k, metric)
