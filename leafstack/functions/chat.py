@@ -14,14 +14,14 @@ def message(role: Column | str, content: Column) -> Column:
 
 def last_question(messages: Column) -> Column:
     """Content of the last message, whatever its role."""
-    return F.element_at(messages, -1)["content"]
+    return F.try_element_at(messages, F.lit(-1))["content"]
 
 
 def history(messages: Column, turns: int = HISTORY_TURNS) -> Column:
     """The tail of ``turns`` messages, without the last one if it is the user's."""
     size = F.size(messages)
     first = F.greatest(size - turns, F.lit(0))
-    own = F.when(F.element_at(messages, -1)["role"] == "user", 1).otherwise(0)
+    own = F.when(F.try_element_at(messages, F.lit(-1))["role"] == "user", 1).otherwise(0)
     return F.slice(messages, first + 1, size - first - own)
 
 

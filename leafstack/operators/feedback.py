@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .skew import left_join_many
 from .windows import collect_retrieval, latest_per_key
 
+# The id column of the request log; every function that reads it takes another name.
+REQUEST_KEY = "logged_request_id"
+
 
 def rating(assessment: str | Column = "text_assessment", name: str = "answer_correct") -> Column:
     """The rating; NULL, hence neither equal nor unequal to anything, if there is none."""
@@ -58,12 +61,14 @@ def dedupe_assessments(assessments: DataFrame, strict: bool = False) -> DataFram
     return merged.select(*text.columns, "retrieval_assessments")
 
 
-def requests_with_feedback(requests: DataFrame, latest: DataFrame) -> DataFrame:
+def requests_with_feedback(
+    requests: DataFrame, latest: DataFrame, key: str = REQUEST_KEY
+) -> DataFrame:
     """Every request with its rows of ``latest``, if any."""
-    return left_join_many(requests, latest, {"databricks_request_id": "request_id"})
+    return left_join_many(requests, latest, {key: "request_id"})
 
 
-def eval_set(requests: DataFrame, latest: DataFrame) -> DataFrame:
+def eval_set(requests: DataFrame, latest: DataFrame, key: str = REQUEST_KEY) -> DataFrame:
     """Evaluation rows of the rated requests: one join and one pass for all ratings."""
     value = rating()
     kind = (
@@ -72,7 +77,7 @@ def eval_set(requests: DataFrame, latest: DataFrame) -> DataFrame:
         .when((value != "positive") & (value != "negative"), "no_feedback_provided")
     )
     joined = latest.join(
-        requests, latest["request_id"] == requests["databricks_request_id"], "inner"
+        requests, latest["request_id"] == requests[key], "inner"
     )
     return joined.withColumn("type", kind).filter(F.col("type").isNotNull()).select(
         "request_id", "request",
@@ -95,7 +100,9 @@ def approved_context(assessments: DataFrame) -> DataFrame:
     )
 
 
-def eval_set_documented(requests: DataFrame, assessments: DataFrame) -> DataFrame:
+def eval_set_documented(
+    requests: DataFrame, assessments: DataFrame, key: str = REQUEST_KEY
+) -> DataFrame:
     """Evaluation rows of all requests: edits win over responses, unrated requests stay."""
     value = rating()
     text = latest_text(assessments).select(
@@ -104,12 +111,12 @@ def eval_set_documented(requests: DataFrame, assessments: DataFrame) -> DataFram
     )
     context = approved_context(assessments)
     rows = requests.join(
-        text, requests["databricks_request_id"] == text["request_id"], "left"
+        text, requests[key] == text["request_id"], "left"
     ).drop("request_id").join(
-        context, requests["databricks_request_id"] == context["request_id"], "left"
+        context, requests[key] == context["request_id"], "left"
     )
     return rows.select(
-        F.col("databricks_request_id").alias("request_id"),
+        F.col(key).alias("request_id"),
         "request",
         F.when(F.col("rating") == "positive", F.coalesce("edit", "response"))
         .when(F.col("rating") == "negative", F.col("edit")).alias("expected_response"),

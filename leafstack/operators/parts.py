@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..defaults import GUIDED_TEMPLATE, LIST_PART_ROWS
-from ..functions.text import file_stem
+from ..functions.text import file_name, file_stem
 from .joins import upsert
 from .skew import add_part
 
@@ -52,9 +52,9 @@ def scrape(pages: DataFrame, target: DataFrame | None = None) -> DataFrame:
 
 
 def with_assembly(parts: DataFrame) -> DataFrame:
-    """Add ``assembly_id``, the number at the end of the assembly's address."""
+    """Add ``assembly_id``, the number at the end of the assembly's address, if it is one."""
     return parts.withColumn(
-        "assembly_id", F.element_at(F.split("qr_code_url", "/"), -1).cast("bigint")
+        "assembly_id", file_name(F.col("qr_code_url")).try_cast("bigint")
     )
 
 

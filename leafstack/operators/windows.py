@@ -42,6 +42,6 @@ def collect_retrieval(assessments: DataFrame, limit: int = LIST_PART_ROWS) -> Da
 
 
 def latest_version(df: DataFrame, name: str = "name", version: str = "version") -> DataFrame:
-    """The row with the highest numeric version of each name."""
-    number = F.col(version).cast("bigint")
+    """The highest version of each name as a number; versions that are none do not count."""
+    number = F.col(version).try_cast("bigint")
     return df.groupBy(name).agg(F.max_by(version, number).alias(version))

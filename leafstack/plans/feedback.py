@@ -25,7 +25,7 @@ def _flat(df):
 def d1_requests_with_feedback(spark, sf):
     joined = ops.requests_with_feedback(fx.request_logs(spark, sf), fx.deduped(spark, sf))
     return joined.select(
-        "databricks_request_id", F.md5("response").alias("response"),
+        "logged_request_id", F.md5("response").alias("response"),
         F.col("source.id").alias("source_id"), ops.rating().alias("rating"),
         _events(F.col("retrieval_assessments")).alias("events"),
     )
@@ -34,7 +34,7 @@ def d1_requests_with_feedback(spark, sf):
 def d2_rated_requests(spark, sf):
     latest = ops.latest_text(fx.assessment_logs(spark, sf))
     requests = fx.request_logs(spark, sf)
-    return latest.join(requests, latest["request_id"] == requests["databricks_request_id"]).select(
+    return latest.join(requests, latest["request_id"] == requests["logged_request_id"]).select(
         "request_id", ops.rating().alias("rating"), F.md5("request").alias("request")
     )
 
@@ -95,13 +95,13 @@ _FLAT = "select request_id, source_id, ts, rating, suggested, events from dedupe
 
 ORACLES = {
     "d1_requests_with_feedback": fx.with_ctes(
-        """select databricks_request_id, md5(response) as response, source_id, rating, events
-from request_logs left join deduped on databricks_request_id = request_id""",
+        """select logged_request_id, md5(response) as response, source_id, rating, events
+from request_logs left join deduped on logged_request_id = request_id""",
         fx.REQUEST_LOGS, *_DEDUPE, fx.dedupe_sql(False),
     ),
     "d2_rated_requests": fx.with_ctes(
         """select request_id, rating, md5(request) as request
-from latest_text join request_logs on databricks_request_id = request_id""",
+from latest_text join request_logs on logged_request_id = request_id""",
         fx.REQUEST_LOGS, fx.ASSESSMENTS, fx.LATEST_TEXT,
     ),
     "d3_full_join_strict": fx.with_ctes(_FLAT, *_DEDUPE, fx.dedupe_sql(True)),
@@ -124,24 +124,24 @@ from assessments where rating is not null""",
     "f3_dedupe": fx.with_ctes(_FLAT, *_DEDUPE, fx.dedupe_sql(False)),
     "f4_eval_set": fx.with_ctes(
         """select request_id, request, response as expected_response, 'thumbs_up' as type, source_id as user_id
-from deduped join request_logs on databricks_request_id = request_id where rating = 'positive'
+from deduped join request_logs on logged_request_id = request_id where rating = 'positive'
 union all select request_id, request, nullif(suggested, ''), 'thumbs_down', source_id
-from deduped join request_logs on databricks_request_id = request_id where rating = 'negative'
+from deduped join request_logs on logged_request_id = request_id where rating = 'negative'
 union all select request_id, request, nullif(suggested, ''), 'no_feedback_provided', source_id
-from deduped join request_logs on databricks_request_id = request_id
+from deduped join request_logs on logged_request_id = request_id
 where rating <> 'negative' and rating <> 'positive'""",
         fx.REQUEST_LOGS, *_DEDUPE, fx.dedupe_sql(True),
     ),
     "f5_eval_set_documented": fx.with_ctes(
-        """select r.databricks_request_id as request_id, request,
+        """select r.logged_request_id as request_id, request,
   case rating when 'positive' then coalesce(nullif(suggested, ''), response)
     when 'negative' then nullif(suggested, '') end as expected_response,
   case rating when 'positive' then 'thumbs_up' when 'negative' then 'thumbs_down'
     else 'no_feedback_provided' end as type,
   source_id as user_id, uris as expected_retrieved_context
-from request_logs r left join latest_text t on r.databricks_request_id = t.request_id
+from request_logs r left join latest_text t on r.logged_request_id = t.request_id
 left join (select request_id, string_agg(distinct doc_uri, ',' order by doc_uri) as uris from assessments
-  where is_retrieval and doc_rating = 'positive' group by request_id) g on g.request_id = r.databricks_request_id""",
+  where is_retrieval and doc_rating = 'positive' group by request_id) g on g.request_id = r.logged_request_id""",
         fx.REQUEST_LOGS, fx.ASSESSMENTS, fx.LATEST_TEXT,
     ),
 }

@@ -153,13 +153,13 @@ def request_logs(spark: SparkSession, sf: str) -> DataFrame:
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response")
     )
     return user.join(reply, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("databricks_request_id"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("logged_request_id"),
         "request", "response",
     )
 
 
 REQUEST_LOGS = """request_logs as (
-  select u.conv_id * 1000 + u.turn as databricks_request_id, u.text as request, a.text as response
+  select u.conv_id * 1000 + u.turn as logged_request_id, u.text as request, a.text as response
   from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant'
   where u.role = 'user')"""
 

@@ -28,12 +28,13 @@ def ingest_raw(
 
 
 def _pages(raw: DataFrame, parser: Callable | None) -> DataFrame:
+    """Pages of the files, by a parser or as text; a file that is neither gives none."""
     raw = normalise_path(raw.select("path", "content"))
     if parser is not None:
         return explode_pages(raw, parser, "content")
     text = raw.select(
         "path", "url", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("title"),
-        F.decode("content", "UTF-8").alias("text"),
+        F.try_validate_utf8(F.col("content").cast("string")).alias("text"),
     )
     return explode_pages(text)
 

@@ -26,6 +26,11 @@ def test_history_lengths(spark, last):
         assert r["question"] == messages[-1][1]
 
 
+def test_empty_request(spark):
+    row = ops.parse_requests(requests(spark, [])).head()
+    assert (row["question"], row["history"], row["prompt_history"]) == (None, [], [])
+
+
 def test_recent_requests_equal_the_whole(spark):
     rows = [(c, t, "user" if t % 2 else "assistant", f"{c}-{t}") for c, n in ((1, 3), (2, 40)) for t in range(n)]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
@@ -102,3 +107,8 @@ def test_hot_assembly_is_asked_in_parts(spark):
     assert len(out) == 10
     bullets = [b for r in out for b in r["question"].split("\n")[2:]]
     assert sorted(bullets) == sorted(f"- d{i}" for i in range(1000))
+
+
+def test_assembly_ids(spark):
+    df = spark.createDataFrame([("http://h/12",), ("http://h/x",)], "qr_code_url string")
+    assert [r["assembly_id"] for r in parts.with_assembly(df).collect()] == [12, None]

@@ -70,7 +70,7 @@ def test_latest(spark):
 
 
 def test_latest_version_is_numeric(spark):
-    df = spark.createDataFrame([("m", "9"), ("m", "10"), ("n", "2")], "name string, version string")
+    df = spark.createDataFrame([("m", "9"), ("m", "10"), ("m", "beta"), ("n", "2")], "name string, version string")
     assert rows(latest_version(df)) == [("m", "10"), ("n", "2")]
 
 

@@ -43,6 +43,7 @@ def test_two_stage_load_takes_new_files_only(spark, tmp_path):
 def test_failing_documents_do_not_stop_the_load(spark, tmp_path):
     files, root = tmp_path / "in", str(tmp_path / "out")
     put(files, good="fine", bad="broken")
+    (files / "junk.txt").write_bytes(b"\xff\xfe\x00")
 
     def parser(content):
         text = bytes(content).decode()
@@ -53,7 +54,10 @@ def test_failing_documents_do_not_stop_the_load(spark, tmp_path):
     raw, chunks = name("raw"), name("chunks")
     load_all(spark, str(files), raw, chunks, root, "*.txt", parser=parser)
     assert [r["content"] for r in spark.table(chunks).collect()] == ["fine"]
-    assert spark.table(raw).count() == 2
+    assert spark.table(raw).count() == 3
+    plain_raw, plain = name("raw"), name("chunks")
+    load_all(spark, str(files), plain_raw, plain, str(tmp_path / "plain"), "*.txt")
+    assert sorted(r["content"] for r in spark.table(plain).collect()) == ["broken", "fine"]
 
 
 def test_numbered_ids_go_on_and_survive_a_retry(spark, tmp_path):
