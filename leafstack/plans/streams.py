@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import PARTS
 from ..session import scratch_path
-from ..sources import ensure_chunks, load, qualified, read_table_stream, write_stream
+from ..sources import load, qualified, read_table_stream, write_stream
 from ..streaming import (
     ingest_numbered_chunks, ingest_raw, load_all, read_version, upsert_stream,
 )

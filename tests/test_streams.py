@@ -1,7 +1,6 @@
 import uuid
 
 import pytest
-from pyspark.sql import functions as F
 
 from leafstack.schemas import CHUNKS, EVAL_QUESTIONS, PARTS
 from leafstack.sources import ensure_chunks, ensure_parts, ensure_schema, from_rows, qualified
