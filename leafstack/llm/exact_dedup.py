@@ -118,10 +118,10 @@ def exact_duplicates(
     equal) one stays and all count. An empty table gives no rows; other
     columns are ignored.
     """
-    named = identities(documents, id_col, text_col, block_bytes)
-    groups = named.groupBy("level", "name").agg(
+    named = settled(identities(documents, id_col, text_col, block_bytes))
+    groups = settled(named.groupBy("level", "name").agg(
         F.max("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size")
-    )
+    ))
     return (
         named.join(groups, ["level", "name"])
         .select("doc_id", "keep_id", "group_size", "sha", F.explode(F.sequence(F.lit(1), F.col("n_rows"))).alias("nth"))
