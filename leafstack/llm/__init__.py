@@ -1,8 +1,8 @@
 """Operators for training-data corpora and their registered queries."""
 
-from . import exact_dedup, mixing, simhash, token_files
+from . import exact_dedup, language, mixing, quality, simhash, token_files
 
-_MODULES = (exact_dedup, mixing, simhash, token_files)
+_MODULES = (exact_dedup, language, mixing, quality, simhash, token_files)
 
 
 def llm_queries() -> dict:
