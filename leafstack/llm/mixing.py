@@ -27,6 +27,12 @@ MOST_COPIES = 2
 BINS = 4096
 FINE_ROWS = 10_000
 ROUNDS = 4
+#: Up to so many sources, a table with a row per source is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_SOURCES = 20_000
+
+
+def _sent(per_source: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(per_source) if few else per_source
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_COPIES) -> DataFrame:
@@ -60,7 +66,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_COPIES)
     return numbered.withColumn("target", F.when(above, cap.cast("double")).otherwise(fair))
 
 
-def _cuts(docs: DataFrame, need: DataFrame) -> DataFrame:
+def _cuts(docs: DataFrame, need: DataFrame, few: bool) -> DataFrame:
     """``source, is_null, cut``: documents with a lower ``order`` than the cut are taken.
 
     ``docs`` has ``source, is_null, size, order`` (0 to 1), ``need`` the words
@@ -69,7 +75,7 @@ def _cuts(docs: DataFrame, need: DataFrame) -> DataFrame:
     keys = ["source", "is_null"]
     open_ = need.select(*keys, "need", F.lit(0.0).alias("low"), F.lit(1.0).alias("width"))
     for step in range(ROUNDS + 1):
-        inside = docs.join(open_, keys).filter((F.col("order") >= F.col("low")) & (F.col("order") < F.col("low") + F.col("width")))
+        inside = docs.join(_sent(open_, few), keys).filter((F.col("order") >= F.col("low")) & (F.col("order") < F.col("low") + F.col("width")))
         last = step == ROUNDS or step and inside.groupBy(*keys).count().filter(F.col("count") > FINE_ROWS).isEmpty()
         place = F.col("order") if last else F.floor((F.col("order") - F.col("low")) / F.col("width") * BINS)
         sums = inside.groupBy(*keys, "need", "low", "width", place.alias("place")).agg(F.sum("size").alias("words"))
@@ -115,11 +121,12 @@ def mix(
     sources = settled(targets(
         docs.groupBy(*keys).agg(F.sum("size").alias("source_size")), weights, share, most
     ))
-    scales = _scales(docs, sources, most)
+    few = sources.count() <= BROADCAST_SOURCES
+    scales = _scales(docs, sources, most, few)
     expected = F.least(F.lit(float(most)), F.col("scale") * F.col("doc_weight"))
     odds = F.col("u") * (1 - F.col("p"))
     drawn = settled(
-        docs.join(scales, keys)
+        docs.join(_sent(scales, few), keys)
         .withColumn("expected", expected).withColumn("certain", F.floor("expected"))
         .withColumn("p", F.col("expected") - F.col("certain"))
         .withColumn("order", F.when(F.col("p") > 0, odds / (odds + (1 - F.col("u")) * F.col("p"))))
@@ -128,22 +135,22 @@ def mix(
     need = drawn.groupBy(*keys).agg(
         F.max("target").alias("target"), F.sum(F.col("certain") * F.col("size")).alias("words")
     ).select(*keys, (F.col("target") - F.col("words")).alias("need"))
-    cuts = _cuts(drawn.filter("p > 0 and size > 0").select(*keys, "size", "order"), need)
+    cuts = _cuts(drawn.filter("p > 0 and size > 0").select(*keys, "size", "order"), need, few)
     extra = F.when(F.col("p") > 0, (F.col("order") < F.coalesce(F.col("cut"), F.lit(2.0))).cast("bigint"))
     return (
-        drawn.join(cuts, keys, "left")
+        drawn.join(_sent(cuts, few), keys, "left")
         .withColumn("copies", F.col("certain") + F.coalesce(extra, F.lit(0)))
         .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
-def _scales(docs: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+def _scales(docs: DataFrame, sources: DataFrame, most: int, few: bool) -> DataFrame:
     """Add ``scale``: expected copies per unit of document weight, so that a source's words meet its target."""
     keys = ["source", "is_null"]
     scales, full = sources.withColumn("scale", F.lit(0.0)), -1
     while True:
         capped = F.col("scale") * F.col("doc_weight") >= most
-        sums = docs.join(scales, keys).groupBy(*keys, "source_size", "target").agg(
+        sums = docs.join(_sent(scales, few), keys).groupBy(*keys, "source_size", "target").agg(
             F.coalesce(F.sum(F.when(capped, F.col("size") * most)), F.lit(0)).alias("whole"),
             F.sum(F.when(~capped, F.col("size") * F.col("doc_weight"))).alias("open"),
             F.count(F.when(capped, 1)).alias("n"), F.max("scale").alias("old"),
