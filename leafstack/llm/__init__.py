@@ -1,8 +1,8 @@
 """Operators for training-data corpora and their registered queries."""
 
-from . import exact_dedup, language, mixing, quality, simhash, token_files, toxicity
+from . import contamination, exact_dedup, language, mixing, quality, simhash, token_files, toxicity
 
-_MODULES = (exact_dedup, language, mixing, quality, simhash, token_files, toxicity)
+_MODULES = (contamination, exact_dedup, language, mixing, quality, simhash, token_files, toxicity)
 
 
 def llm_queries() -> dict:
