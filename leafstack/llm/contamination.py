@@ -101,6 +101,34 @@ def occurrences(
     return reduce(DataFrame.unionByName, found)
 
 
+def _hits(documents, benchmark, id_col, text_col, item_col, item_text_col, window, gram):
+    """The items' windows, the distinct ones, whether these are few, and their places in documents (None without any)."""
+    if window - gram < 1 or SEGMENT + window > _PLACES:
+        raise ValueError("a window must be longer than a gram and a segment below 1023 words")
+    of_items = settled(_benchmark_windows(benchmark, item_col, item_text_col, window))
+    runs = settled(of_items.select("run").distinct().withColumn("run_id", F.monotonically_increasing_id()))
+    lengths = {r["n"]: r["count"] for r in runs.groupBy(F.size("run").alias("n")).count().collect()}
+    few = sum(lengths.values()) <= BROADCAST_WINDOWS
+    if not lengths:
+        return of_items, runs, few, None
+    found = occurrences(documents, runs, id_col, text_col, window, gram, sorted(lengths), few)
+    return of_items, runs, few, settled(found.distinct())
+
+
+def clean_documents(
+    documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM,
+) -> DataFrame:
+    """The rows of ``documents`` without a window of the benchmark, with all columns."""
+    _, _, _, hits = _hits(documents, benchmark, id_col, text_col, item_col, item_text_col, window, gram)
+    if hits is None:
+        return documents
+    found = hits.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    rows = documents.select(F.struct("*").alias("row"), F.col(id_col).alias("__doc"), F.xxhash64(text_col).alias("__text"))
+    same = F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
+    return rows.join(found, same, "left_anti").select("row.*")
+
+
 def contamination(
     documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM,
@@ -113,22 +141,16 @@ def contamination(
     An empty table gives no rows, an empty benchmark clean ones; other columns
     are ignored.
     """
-    if window - gram < 1 or SEGMENT + window > _PLACES:
-        raise ValueError("a window must be longer than a gram and a segment below 1023 words")
-    of_items = settled(_benchmark_windows(benchmark, item_col, item_text_col, window))
-    runs = settled(of_items.select("run").distinct().withColumn("run_id", F.monotonically_increasing_id()))
-    lengths = {r["n"]: r["count"] for r in runs.groupBy(F.size("run").alias("n")).count().collect()}
+    of_items, runs, few, hits = _hits(documents, benchmark, id_col, text_col, item_col, item_text_col, window, gram)
     keys = ["doc_id", "text_key"]
     counted = documents.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), count_words(F.col(text_col)).alias("n_words")
     )
-    if not lengths:
+    if hits is None:
         return counted.select(
             "doc_id", "n_words", F.lit(0).cast("bigint").alias("n_hit"), F.lit(0).cast("bigint").alias("n_items"),
             F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"),
         )
-    few = sum(lengths.values()) <= BROADCAST_WINDOWS
-    hits = settled(occurrences(documents, runs, id_col, text_col, window, gram, sorted(lengths), few).distinct())
     end = F.col("start") + F.col("length")
     covered = F.max(end).over(
         Window.partitionBy(*keys).orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)

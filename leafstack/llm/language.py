@@ -19,11 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .arrow import bodies, slices
+from .arrow import slices
 from .common import remainder, table
-from .sampling import held_out, sample
+from .sampling import sample
 from .texts import pieces
 
 DOCS_PER_LANGUAGE = 800
@@ -262,19 +263,11 @@ def learn_languages(
     return fit(Lattice(vocab), {lang: dict(sorted(words.items())) for lang, words in sorted(counts.items())})
 
 
-def languages(
-    documents: DataFrame, vocab_path: str, modulus: int = 4, held: int = 2, id_col: str = "doc_id",
-    text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE,
-    doc_bytes: int = DOC_BYTES,
+def tagged(
+    documents: DataFrame, vocab_path: str, *passed: Column, modulus: int = 4, held: int = 2, id_col: str = "doc_id",
+    text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, doc_bytes: int = DOC_BYTES,
 ) -> DataFrame:
-    """One row per input row: ``doc_id, held_out, lang_pred, score``.
-
-    ``score`` is the posterior of the predicted language with equal priors;
-    in a tie the first language in code point order is taken. NULL texts and
-    texts without a letter, and all texts if nothing could be learned, are
-    ``und`` with score 0. NULL ids are scored and neither learned from nor
-    held out. An empty table gives no rows; other columns are ignored.
-    """
+    """The columns ``passed`` of every row, with ``lang_pred`` and ``score``."""
     vocab = vocabulary(vocab_path)
     names, probs = learn_languages(
         documents, vocab, modulus, held, id_col, text_col, lang_col, docs_per_language, doc_bytes
@@ -296,17 +289,42 @@ def languages(
                     found.append(names[best])
                     scores.append(float(1 / np.exp(logs - logs[best]).sum()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(found, pa.string()), pa.array(scores, pa.float64())],
-                ["doc_id", "held_out", "lang_pred", "score"],
+                [*batch.columns[1:], pa.array(found, pa.string()), pa.array(scores, pa.float64())],
+                [*batch.schema.names[1:], "lang_pred", "score"],
             )
 
-    rows = bodies(documents, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "body", held_out(modulus, held).alias("held_out")).mapInArrow(
-        predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double"
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    rows = documents.select(text.alias("body"), *passed)
+    schema = StructType([*rows.schema.fields[1:], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(predict, schema)
+
+
+def languages(
+    documents: DataFrame, vocab_path: str, modulus: int = 4, held: int = 2, id_col: str = "doc_id",
+    text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE,
+    doc_bytes: int = DOC_BYTES,
+) -> DataFrame:
+    """One row per input row: ``doc_id, held_out, lang_pred, score``.
+
+    ``score`` is the posterior of the predicted language with equal priors;
+    in a tie the first language in code point order is taken. NULL texts and
+    texts without a letter, and all texts if nothing could be learned, are
+    ``und`` with score 0. NULL ids are scored and neither learned from nor
+    held out. An empty table gives no rows; other columns are ignored.
+    """
+    return tagged(
+        documents, vocab_path, F.col(id_col).alias("doc_id"), F.coalesce(remainder(F.col(id_col), modulus) == held, F.lit(False)).alias("held_out"),
+        modulus=modulus, held=held, id_col=id_col, text_col=text_col, lang_col=lang_col,
+        docs_per_language=docs_per_language, doc_bytes=doc_bytes,
     )
 
 
+def recognised(documents: DataFrame, vocab_path: str, least: float = 0.5) -> DataFrame:
+    """The rows of ``documents`` whose language is recognised with a score of ``least`` or more, with all columns."""
+    found = tagged(documents, vocab_path, F.struct("*").alias("row"))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents."""
     return languages(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -14,7 +14,7 @@ the bin that crosses, so that one source may hold any share of the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from ..operators.skew import number_rows
@@ -96,54 +96,82 @@ def _cuts(docs: DataFrame, need: DataFrame, few: bool) -> DataFrame:
         ))
 
 
-def mix(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weight_col: str | None = None, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: int = 7,
-) -> DataFrame:
-    """One row per input row: ``doc_id, size, source_size, target, copies, taken``.
-
-    ``size`` counts the words of a text, 0 for NULL. ``weight_col`` (positive
-    numbers) makes the expected copies within a source unequal; without it all
-    documents of a source have the same. NULL sources are one source. Repeated
-    rows have the same random number and are taken alike. Without words all
-    targets are 0. An empty table gives no rows; other columns are ignored.
-    """
+def _drawn(documents: DataFrame, id_col, text_col, source_col, weight_col, seed, *passed: Column) -> DataFrame:
+    """The columns ``passed`` with ``source, is_null, size, doc_weight`` and the uniform number ``u`` of a document."""
     weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0)
     text_id = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
     ticket = F.conv(F.substring(F.md5(text_id.cast("binary")), 1, 13), 16, 10).cast("bigint")
-    docs = settled(documents.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.col(source_col).isNull().alias("is_null"),
+    return documents.select(
+        *passed, F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.col(source_col).isNull().alias("is_null"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("size"),
         weight.alias("doc_weight"), ((ticket + 0.5) / 2.0**52).alias("u"),
-    ))
-    keys = ["source", "is_null"]
-    sources = settled(targets(
-        docs.groupBy(*keys).agg(F.sum("size").alias("source_size")), weights, share, most
-    ))
-    few = sources.count() <= BROADCAST_SOURCES
-    scales = _scales(docs, sources, most, few)
+    )
+
+
+def _ranked(docs: DataFrame, per_source: DataFrame, few: bool, most: int) -> DataFrame:
+    """Add the certain copies, the chance ``p`` of one more and, where there is one, the rank ``order``."""
     expected = F.least(F.lit(float(most)), F.col("scale") * F.col("doc_weight"))
     odds = F.col("u") * (1 - F.col("p"))
-    drawn = settled(
-        docs.join(_sent(scales, few), keys)
+    return (
+        docs.join(_sent(per_source, few), ["source", "is_null"])
         .withColumn("expected", expected).withColumn("certain", F.floor("expected"))
         .withColumn("p", F.col("expected") - F.col("certain"))
         .withColumn("order", F.when(F.col("p") > 0, odds / (odds + (1 - F.col("u")) * F.col("p"))))
-        .drop("doc_weight", "u", "scale", "expected")
     )
-    need = drawn.groupBy(*keys).agg(
+
+
+def _copies() -> Column:
+    extra = F.when(F.col("p") > 0, (F.col("order") < F.coalesce(F.col("cut"), F.lit(2.0))).cast("bigint"))
+    return F.col("certain") + F.coalesce(extra, F.lit(0))
+
+
+def source_plan(docs: DataFrame, weights, share: float, most: int) -> tuple[DataFrame, bool]:
+    """A row per source with ``source_size, target, scale, cut``, and whether these are few enough to broadcast."""
+    keys = ["source", "is_null"]
+    sources = settled(targets(
+        docs.groupBy(*keys).agg(F.sum("size").alias("source_size")), weights, share, most
+    ))
+    few = sources.count() <= BROADCAST_SOURCES
+    scales = settled(_scales(docs, sources, most, few))
+    ranked = _ranked(docs, scales, few, most)
+    need = ranked.groupBy(*keys).agg(
         F.max("target").alias("target"), F.sum(F.col("certain") * F.col("size")).alias("words")
     ).select(*keys, (F.col("target") - F.col("words")).alias("need"))
-    cuts = _cuts(drawn.filter("p > 0 and size > 0").select(*keys, "size", "order"), need, few)
-    extra = F.when(F.col("p") > 0, (F.col("order") < F.coalesce(F.col("cut"), F.lit(2.0))).cast("bigint"))
-    return (
-        drawn.join(_sent(cuts, few), keys, "left")
-        .withColumn("copies", F.col("certain") + F.coalesce(extra, F.lit(0)))
-        .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    cuts = _cuts(ranked.filter("p > 0 and size > 0").select(*keys, "size", "order"), settled(need), few)
+    return settled(scales.join(cuts, keys, "left")), few
+
+
+def mix(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weight_col: str | None = None, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: int = 7,
+) -> DataFrame:
+    """One row per input row: ``doc_id, size, source_size, target, copies, taken``.
+
+    ``size`` counts the words of a text, 0 for NULL. ``weight_col`` (positive
+    numbers) makes the expected copies within a source unequal; without it all
+    documents of a source have the same. NULL sources are one source. Repeated
+    rows have the same random number and are taken alike. Without words all
+    targets are 0. An empty table gives no rows; other columns are ignored.
+    """
+    docs = settled(_drawn(documents, id_col, text_col, source_col, weight_col, seed, F.col(id_col).alias("doc_id")))
+    plan, few = source_plan(docs, weights, share, most)
+    return _ranked(docs, plan, few, most).withColumn("copies", _copies()).select(
+        "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
+def mixed_documents(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weight_col: str | None = None, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: int = 7,
+) -> DataFrame:
+    """The rows of the mix with all columns, each as often as it is taken."""
+    sizes = settled(_drawn(documents, id_col, text_col, source_col, weight_col, seed))
+    plan, few = source_plan(sizes, weights, share, most)
+    rows = _drawn(documents, id_col, text_col, source_col, weight_col, seed, F.struct("*").alias("row"))
+    rows = _ranked(rows, plan, few, most).withColumn("copies", _copies().cast("int"))
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
+
+
 def _scales(docs: DataFrame, sources: DataFrame, most: int, few: bool) -> DataFrame:
     """Add ``scale``: expected copies per unit of document weight, so that a source's words meet its target."""
     keys = ["source", "is_null"]

@@ -26,6 +26,7 @@ from ..session import settled
 from .arrow import bodies, slices
 from .common import table
 from .components import components
+from .texts import pieces
 
 WORDS = 3
 SEED = 42
@@ -34,25 +35,12 @@ TILE_HOMES = 4096
 PIECE_BYTES = 1 << 20
 SLICE_BYTES = 4 << 20
 CELLS = 1 << 22
-SPACES = b" \t\n\x0b\x0c\r"
-
-
-def _pieces(body: bytes, size: int) -> Iterator[bytes]:
-    """The text cut at white space into pieces of about ``size`` bytes."""
-    start = 0
-    while len(body) - start > size:
-        stop = start + size
-        while stop < len(body) and body[stop] not in SPACES:
-            stop += 1
-        yield body[start:stop]
-        start = stop
-    yield body[start:]
 
 
 def shingle_hashes(body: bytes, words: int = WORDS, seed: int = SEED, piece: int = PIECE_BYTES) -> Iterator[list[int]]:
     """Hashes of all word shingles, a list per piece; a text of fewer words has one, without words none."""
     digest, kept, seen = xxhash.xxh64_intdigest, [], 0
-    for part in _pieces(body, piece):
+    for part in pieces(body, piece):
         kept += part.lower().split()
         seen += len(kept)
         if len(kept) >= words:
@@ -84,14 +72,17 @@ def fingerprints_of(texts: list[bytes], words: int = WORDS, seed: int = SEED) ->
 def fingerprints(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED
 ) -> DataFrame:
-    """``doc_id, fp`` (bigint) of every row; texts without words have 0."""
+    """``doc_id, text_key, fp`` of every row; texts without words have 0, ``text_key`` is a hash of the text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "body", SLICE_BYTES):
             fps = fingerprints_of(batch.column("body").to_pylist(), words, seed).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), pa.array(fps)], ["doc_id", "text_key", "fp"]
+            )
 
-    return bodies(documents, id_col, text_col).mapInArrow(read, "doc_id bigint, fp bigint")
+    rows = bodies(documents, id_col, text_col, F.xxhash64(text_col).alias("text_key"))
+    return rows.mapInArrow(read, "doc_id bigint, text_key bigint, fp bigint")
 
 
 def _syndrome(bits31: np.ndarray) -> np.ndarray:
@@ -220,6 +211,22 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, tile_homes: int = TIL
     return placed.select("anchor", "tile", "visit", "fp").mapInArrow(compare, "a bigint, b bigint").filter("a != b")
 
 
+def near_groups(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+    seed: int = SEED, distance: int = DISTANCE,
+) -> DataFrame:
+    """One row per input row: ``doc_id, text_key, fp, component, component_id``; ``component`` is never NULL."""
+    fps = settled(fingerprints(documents, id_col, text_col, words, seed))
+    nodes = settled(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    labels = components(near_links(nodes, distance))
+    placed = settled(nodes.join(labels, F.col("fp") == F.col("node"), "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("component")
+    ))
+    ids = settled(placed.groupBy("component").agg(F.min("least").alias("component_id")))
+    named = settled(placed.join(ids, "component").select("fp", "component", "component_id"))
+    return fps.join(named, "fp")
+
+
 def near_duplicates(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
     seed: int = SEED, distance: int = DISTANCE,
@@ -232,19 +239,30 @@ def near_duplicates(
     Repeated rows come out as often as they come in. An empty table gives no
     rows; other columns are ignored.
     """
-    fps = settled(fingerprints(documents, id_col, text_col, words, seed))
-    nodes = settled(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = components(near_links(nodes, distance))
-    placed = settled(nodes.join(labels, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    ))
-    ids = settled(placed.groupBy("component").agg(F.min("least").alias("component_id")))
-    named = placed.join(ids, "component").select("fp", "component_id")
-    return fps.join(named, "fp").select(
+    return near_groups(documents, id_col, text_col, words, seed, distance).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``documents`` that stay: one of each component, with all columns.
+
+    The smallest id stays, NULL ids last; between texts of one id the smaller
+    hash, and one of repeated rows.
+    """
+    groups = near_groups(documents, id_col, text_col)
+    best = settled(groups.groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best"),
+        F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id", "text_key").alias("n_texts"),
+    ))
+    stays = best.select(F.col("best.doc_id").alias("__id"), F.col("best.text_key").alias("__key"))
+    rows = documents.select(F.struct("*").alias("row"), F.col(id_col).alias("__doc"), F.xxhash64(text_col).alias("__text"))
+    kept = rows.join(stays, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_semi")
+    if not best.filter("n_texts < n").isEmpty():
+        kept = kept.dropDuplicates(["__doc", "__text"])
+    return kept.select("row.*")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates over all documents: three-word shingles, at most three differing bits."""
     return near_duplicates(table(spark, sf_dir, "documents"))
