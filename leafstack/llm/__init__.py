@@ -1,8 +1,8 @@
 """Operators for training-data corpora and their registered queries."""
 
-from . import contamination, exact_dedup, language, licenses, mixing, quality, simhash, token_files, toxicity
+from . import contamination, exact_dedup, language, licenses, mixing, quality, simhash, suffix_dedup, token_files, toxicity
 
-_MODULES = (contamination, exact_dedup, language, licenses, mixing, quality, simhash, token_files, toxicity)
+_MODULES = (contamination, exact_dedup, language, licenses, mixing, quality, simhash, suffix_dedup, token_files, toxicity)
 
 
 def llm_queries() -> dict:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import scratch_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,3 +22,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; NULL for a NULL id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
+
+
+def landed(df: DataFrame, label: str) -> DataFrame:
+    """The frame written as Parquet below the shared folder and read back: small on disk, lineage cut."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
