@@ -389,9 +389,12 @@ QUERIES = {"op3_substring_dedup": op3_substring_dedup}
 
 ORACLES = {"op3_substring_dedup": """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-s as (
-  select doc_id, p, substr(h, 2 * p + 1, 100) as string
-  from (select doc_id, h, unnest(range(0, len(h) // 2 - 49)) as p from d where len(h) >= 100)
+c as (
+  select doc_id, k, substr(h, 1000 * k + 1, 1098) as part
+  from (select doc_id, h, unnest(range(0, len(h) // 1000 + 1)) as k from d)
+), s as (
+  select doc_id, 500 * k + q as p, substr(part, 2 * q + 1, 100) as string
+  from (select doc_id, k, part, unnest(range(0, least(500, len(part) // 2 - 49))) as q from c where len(part) >= 100)
 ), late as (
   select doc_id, p from s join (select string, min(doc_id) as least from s group by string having count(*) > 1) using (string)
   where doc_id > least
