@@ -37,7 +37,7 @@ WORD_DIM, CHAR_DIM, STATES = 8, 8, 8
 CHAR_BUCKETS = 1 << 12
 LEAST_DOCS = 5
 CLEAN_PER_TOXIC = 4
-EPOCHS, BATCH, RATE = 4, 256, 0.01
+STEPS, BATCH, RATE = 180, 256, 0.01
 SLICE_BYTES = 2 << 20
 CACHED_WORDS = 200_000
 BATCH_WINDOWS = 2048
@@ -188,12 +188,12 @@ class Network:
         return g, d_inputs
 
 
-def _train(net: Network, items: list[list[bytes]], y: np.ndarray, epochs: int, seed: int = 9) -> None:
-    """Adam on mini-batches of windows (lists of words)."""
+def _train(net: Network, items: list[list[bytes]], y: np.ndarray, steps: int, seed: int = 9) -> None:
+    """Adam on mini-batches of windows (lists of words), for at least ``steps`` of them."""
     rng, step = np.random.default_rng(seed), 0
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(items))
         for start in range(0, len(items), BATCH):
             part = order[start:start + BATCH]
@@ -284,7 +284,7 @@ class Model:
         return np.where(np.isinf(highest), self.base, 1 / (1 + np.exp(-np.clip(self.slope * highest + self.shift, -30, 30))))
 
 
-def fit(texts: list[bytes], y: np.ndarray, weights: tuple[float, float] = (1.0, 1.0), epochs: int = EPOCHS) -> Model:
+def fit(texts: list[bytes], y: np.ndarray, weights: tuple[float, float] = (1.0, 1.0), steps: int = STEPS) -> Model:
     """Train on labelled texts; ``weights`` undo the sampling of the classes (0, 1) in the calibration."""
     shares = [weights[0] * float((y == 0).sum()), weights[1] * float((y == 1).sum())]
     base = (shares[1] + 0.5) / (sum(shares) + 1.0)
@@ -316,7 +316,7 @@ def fit(texts: list[bytes], y: np.ndarray, weights: tuple[float, float] = (1.0,
         items += [words[s:s + WINDOW] for s in chosen]
         marks += [label] * len(chosen)
     net = Network({w: i for i, w in enumerate(often)}, odds)
-    _train(net, items, np.array(marks), epochs)
+    _train(net, items, np.array(marks), steps)
     scorer = Scorer(net)
     highest = np.concatenate([scorer.highest(texts[i:i + 500]) for i in range(0, len(texts), 500)])
     seen = ~np.isinf(highest)
