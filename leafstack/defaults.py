@@ -25,7 +25,6 @@ GUIDED_TEMPLATE = (
 )
 
 # Bounds behind size checks. Each one switches to another exact plan when passed.
-LIST_PART_ROWS = 10_000
 BROADCAST_VECTOR_BYTES = 64 * 1024 * 1024
 SEARCH_BLOCK_ROWS = 8_192
 EMBED_BUCKETS = 64

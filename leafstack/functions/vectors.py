@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-# Distances are compared after rounding, so that equal ones tie and the id decides.
-DIGITS = 9
+# Keys are compared after cutting their rounding error, so that equal ones tie and the id decides:
+# distances to this share of themselves, cosines (at most 1) to the same share of 1.
+TIE = 2.0 ** -40
 _PAIR_SLICE = 1 << 17
 _CELLS = 1 << 22
 _HALF_ULP = 2.0 ** -24
@@ -17,6 +18,9 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
+    sizes = np.asarray(column.value_lengths())
+    if n and (sizes != sizes[0]).any():
+        raise ValueError("vectors of unequal width")
     flat = np.asarray(column.flatten(), dtype=np.float64)
     return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
@@ -38,6 +42,8 @@ def unpack(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         return np.zeros((0, 0))
     column = column.cast(pa.binary())
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + n + 1]
+    if (np.diff(ends) != ends[1] - ends[0]).any():
+        raise ValueError("vectors of unequal width")
     data = np.frombuffer(column.buffers()[2], "<f4", (ends[-1] - ends[0]) // 4, ends[0])
     return data.reshape(n, -1).astype(np.float64)
 
@@ -64,7 +70,10 @@ def _exact(a, b, rows, cols, metric):
             out[i:i + _PAIR_SLICE] = ((x - y) ** 2).sum(1)
         else:
             out[i:i + _PAIR_SLICE] = 1.0 - (x * y).sum(1)
-    return np.round(out, DIGITS) + 0.0
+    if metric == "l2":
+        part, exponent = np.frexp(out)
+        return np.ldexp(np.round(part / TIE) * TIE, exponent)
+    return np.round(out / TIE) * TIE + 0.0
 
 
 def first_copies(ids: np.ndarray, vectors: np.ndarray, copies: int) -> np.ndarray:

@@ -39,5 +39,7 @@ def sync_index(index: DataFrame | None, changes: DataFrame, keys: list[str]) ->
     live = changes.filter(F.col("change").isin("insert", "update_post")).drop("change")
     if index is None:
         return live
-    touched = changes.filter(F.col("change").isin("update_pre", "delete")).select(*keys)
-    return index.join(touched, keys, "left_anti").unionByName(live)
+    touched = changes.filter(F.col("change").isin("update_pre", "delete"))
+    touched = touched.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return index.join(touched, same, "left_anti").unionByName(live)

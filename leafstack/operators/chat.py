@@ -19,7 +19,7 @@ from .similarity import ann_topk, topk
 def recent_requests(turns: DataFrame, keep: int = HISTORY_TURNS) -> DataFrame:
     """Long-form turns as requests ``conv_id, messages`` with the last ``keep`` turns.
 
-    Nothing downstream looks further back, and the limit per conversation also
+    ``keep`` is the number of turns given to ``parse_requests``, and the limit per conversation also
     runs before the shuffle: a conversation of any length sends ``keep`` rows
     per task and ends as a short array.
     """
@@ -33,11 +33,14 @@ def recent_requests(turns: DataFrame, keep: int = HISTORY_TURNS) -> DataFrame:
     )
 
 
-def parse_requests(requests: DataFrame) -> DataFrame:
-    """Add question, history and the history a prompt shows."""
+def parse_requests(requests: DataFrame, turns: int = HISTORY_TURNS) -> DataFrame:
+    """Add question, history and the history a prompt shows.
+
+    ``recent_requests`` must keep at least as many turns.
+    """
     return (
         requests.withColumn("question", ch.last_question(F.col("messages")))
-        .withColumn("history", ch.history(F.col("messages")))
+        .withColumn("history", ch.history(F.col("messages"), turns))
         .withColumn("prompt_history", ch.prompt_history(F.col("history")))
     )
 
@@ -139,7 +142,9 @@ def response_json(answers: DataFrame, references: DataFrame) -> DataFrame:
     empty = F.from_json(F.lit("[]"), "array<struct<content:string,doc_uri:string,page_number:int>>")
     return rows.select(
         "conv_id",
-        F.to_json(F.struct("answer", F.coalesce("references", empty).alias("references")))
+        F.to_json(
+            F.struct("answer", F.coalesce("references", empty).alias("references")), {"ignoreNullFields": "false"}
+        )
         .alias("response"),
     )
 

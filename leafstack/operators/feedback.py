@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .skew import left_join_many
-from .windows import collect_retrieval, latest_per_key
+from .windows import collect_retrieval, latest_per_key, retrieval_keys
 
 # The id column of the request log; every function that reads it takes another name.
 REQUEST_KEY = "logged_request_id"
@@ -28,44 +27,48 @@ def latest_text(assessments: DataFrame) -> DataFrame:
     return latest_per_key(
         assessments.filter(F.col("text_assessment").isNotNull()),
         ["request_id"],
-        [F.col("timestamp").desc(), F.col("source.id").desc(), F.col("step_id").desc()],
+        [F.col("timestamp").desc(), F.col("source.id").desc(), F.col("step_id").desc(),
+         rating().desc(), F.col("text_assessment.suggested_output").desc()],
     )
 
 
+def _reviewed(retrieval: DataFrame) -> DataFrame:
+    return retrieval.select(
+        F.col("request_id").alias("request_id2"), F.col("source").alias("source2"),
+        *[c for c in retrieval.columns if c == "retrieval_assessments"],
+    )
+
+
+_SAME_REVIEW = "request_id = request_id2 and source.id = source2.id"
+
+
 def dedupe_assessments(assessments: DataFrame, strict: bool = False) -> DataFrame:
     """Latest text assessment beside the retrieval lists of the same reviewer.
 
     ``strict`` keeps the key columns of the text side only, so that rows with
     retrieval assessments alone have NULL keys; otherwise both sides fill them.
+    Both sides are aggregated by their keys before they meet: a key has one
+    text row and a row per step.
     """
     text = latest_text(assessments).drop("retrieval_assessment", "step_id")
-    retrieval = collect_retrieval(assessments).select(
-        F.col("request_id").alias("request_id2"), F.col("source").alias("source2"),
-        "retrieval_assessments",
-    )
-    # A full join, put together so that the many rows of a hot request can be split:
-    # retrieval rows with the one text row of their key, then text rows without any.
-    same = (F.col("request_id") == F.col("request_id2")) & (
-        F.col("source.id") == F.col("source2.id")
-    )
-    paired = retrieval.join(text, same, "left")
-    keys = retrieval.select("request_id2", F.col("source2.id").alias("id2")).distinct()
-    alone = text.join(
-        keys, (F.col("request_id") == F.col("request_id2")) & (F.col("source.id") == F.col("id2")),
-        "left_anti",
-    )
-    merged = paired.unionByName(alone, allowMissingColumns=True)
+    merged = text.join(_reviewed(collect_retrieval(assessments)), F.expr(_SAME_REVIEW), "full_outer")
     if not strict:
         merged = merged.withColumn("request_id", F.coalesce("request_id", "request_id2"))
         merged = merged.withColumn("source", F.coalesce("source", "source2"))
     return merged.select(*text.columns, "retrieval_assessments")
 
 
+def rated_assessments(assessments: DataFrame) -> DataFrame:
+    """The text rows of ``dedupe_assessments``, as often as there, without the lists."""
+    text = latest_text(assessments).drop("retrieval_assessment", "step_id")
+    return text.join(_reviewed(retrieval_keys(assessments)), F.expr(_SAME_REVIEW), "left").select(*text.columns)
+
+
 def requests_with_feedback(
     requests: DataFrame, latest: DataFrame, key: str = REQUEST_KEY
 ) -> DataFrame:
     """Every request with its rows of ``latest``, if any."""
-    return left_join_many(requests, latest, {key: "request_id"})
+    return requests.join(latest, requests[key] == latest["request_id"], "left")
 
 
 def eval_set(requests: DataFrame, latest: DataFrame, key: str = REQUEST_KEY) -> DataFrame:
@@ -90,8 +93,8 @@ def eval_set(requests: DataFrame, latest: DataFrame, key: str = REQUEST_KEY) ->
 def approved_context(assessments: DataFrame) -> DataFrame:
     """Sources of the chunks that reviewers approved, per request.
 
-    Distinct pairs are formed before the list, so its length is bounded by the
-    chunks shown with a request, not by the number of reviews.
+    Distinct pairs are formed before the list: its length is the number of
+    different sources approved for the request, not the number of reviews.
     """
     good = assessments.filter(F.col("retrieval_assessment.rating") == "positive")
     pairs = good.select("request_id", F.col("retrieval_assessment.doc_uri").alias("uri")).distinct()
@@ -138,8 +141,8 @@ def to_eval_rows(answers: DataFrame) -> DataFrame:
     )
 
 
-def retriever_metrics(ranked: DataFrame, truth: DataFrame, k: int = 3) -> DataFrame:
-    """Precision, recall and ndcg at k per question.
+def retriever_metrics(ranked: DataFrame, truth: DataFrame, k: int = 3, digits: int | None = 6) -> DataFrame:
+    """Precision, recall and ndcg at k per question, rounded to ``digits`` (None: not at all).
 
     ``ranked`` has ``question, rank, source``; ``truth`` has ``question,
     source``. Only the k ranked rows of a question meet its truth, by an equal
@@ -163,16 +166,18 @@ def retriever_metrics(ranked: DataFrame, truth: DataFrame, k: int = 3) -> DataFr
         lambda total, i: total + F.lit(1.0) / F.log2(i + 1),
     )
     shown = F.coalesce("shown", F.lit(0))
-    share = lambda top, base: F.round(F.when(base > 0, top / base).otherwise(0.0), 6)
+    share = lambda top, base: F.when(base > 0, top / base).otherwise(0.0)
+    shown_as = lambda c: F.coalesce(c if digits is None else F.round(c, digits), F.lit(0.0))
     return wanted.join(per, "question", "left").select(
         "question",
-        F.coalesce(share(F.col("hits"), shown), F.lit(0.0)).alias("precision"),
-        F.coalesce(share(F.col("found"), F.col("wanted")), F.lit(0.0)).alias("recall"),
-        F.coalesce(F.round(F.col("dcg") / ideal, 6), F.lit(0.0)).alias("ndcg"),
+        shown_as(share(F.col("hits"), shown)).alias("precision"),
+        shown_as(share(F.col("found"), F.col("wanted"))).alias("recall"),
+        shown_as(F.col("dcg") / ideal).alias("ndcg"),
     )
 
 
 def mean_metrics(per_question: DataFrame) -> DataFrame:
+    """Means over all questions; ``per_question`` should not be rounded, the means are."""
     return per_question.agg(*[
         F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "ndcg")
     ])

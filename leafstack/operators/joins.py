@@ -39,14 +39,14 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     # The marks are columns of their own, so that NULL values update too.
     fresh = (
         source.select(*columns).withColumn("__salt", salt).withColumn("__copies", copies)
-        .withColumn(
-            "__new",
+        # A filter, so that the check runs whatever columns are read.
+        .filter(
             F.when(
                 (F.col("__copies") > 1) & (F.col("__salt") == 0) & ~lost,
                 F.raise_error(F.lit("more than one source row for a key")).cast("boolean"),
-            ).otherwise(F.lit(True)),
+            ).otherwise(F.lit(True))
         )
-        .drop("__copies").alias("s")
+        .withColumn("__new", F.lit(True)).drop("__copies").alias("s")
     )
     old = target.withColumn("__salt", salt).alias("t")
     match = reduce(lambda a, b: a & b, [F.col(f"s.{k}") == F.col(f"t.{k}") for k in place])

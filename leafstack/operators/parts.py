@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..defaults import GUIDED_TEMPLATE, LIST_PART_ROWS
+from ..defaults import GUIDED_TEMPLATE
 from ..functions.text import file_name, file_stem
 from .joins import upsert
-from .skew import add_part
 
 _LINK = 'href="([^"]*)"'
 _ITEM = r'<li><a href="([^"]*)">([^<]*)</a></li>'
@@ -80,27 +79,23 @@ def parts_by_assembly(parts: DataFrame) -> DataFrame:
 
 def guided_questions(
     parts: DataFrame, action: str | Column = "replace", template: str = GUIDED_TEMPLATE,
-    limit: int = LIST_PART_ROWS,
 ) -> DataFrame:
     """A question per assembly that lists its parts as bullets.
 
-    ``template`` takes the action, the part name and the bullets. An assembly
-    with more than ``limit`` rows gets several questions, numbered by
-    ``part``, that list at most about ``limit`` parts each. Assemblies without a name
-    or without parts get none.
+    ``template`` takes the action, the part name and the bullets. There is one
+    question per assembly and part name at any size; duplicates are removed in
+    each task first. Assemblies without a name or without parts get none.
     """
     action = F.lit(action) if isinstance(action, str) else action
     chosen = parts.filter(
         F.col("part_name").isNotNull() & (F.col("part_name") != "") & F.col("designation").isNotNull()
     ).select("assembly_id", "part_name", "item_number", "designation")
-    # Equal rows fall into one part, so the set per part removes all duplicates.
-    chosen = add_part(chosen, ["assembly_id", "part_name"], ["item_number", "designation"], limit)
     bullets = F.transform(
         F.array_sort(F.collect_set(F.struct("item_number", "designation"))),
         lambda p: F.concat(F.lit("- "), p["designation"]),
     )
-    return chosen.groupBy("assembly_id", "part_name", "part").agg(bullets.alias("bullets")).select(
-        "assembly_id", "part",
+    return chosen.groupBy("assembly_id", "part_name").agg(bullets.alias("bullets")).select(
+        "assembly_id",
         F.format_string(
             template, action, F.col("part_name"), F.array_join("bullets", "\n")
         ).alias("question"),

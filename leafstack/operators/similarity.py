@@ -29,7 +29,8 @@ PROBES = 32
 
 
 def _vectors(df: DataFrame, id_col: str) -> DataFrame:
-    return df.select(id_col, "embedding").filter(
+    """Ids and vectors, in single precision in every plan."""
+    return df.select(id_col, F.col("embedding").cast("array<float>").alias("embedding")).filter(
         F.col(id_col).isNotNull() & F.col("embedding").isNotNull()
     )
 
@@ -55,10 +56,12 @@ def few_queries(asked: DataFrame, max_bytes: int = BROADCAST_VECTOR_BYTES) -> pa
     ``asked`` is counted first; it should be a written frame, so that neither
     the count nor the read runs the embedding again.
     """
-    rows = asked.count()
+    size = F.size("embedding")
+    rows, width, least = asked.agg(F.count(F.lit(1)), F.max(size), F.min(size)).first()
     if not rows:
         return asked.toArrow()
-    width = asked.select(F.size("embedding").alias("n")).head()["n"]
+    if width != least:
+        raise ValueError("vectors of unequal width")
     return asked.toArrow() if rows * width * 8 <= max_bytes else None
 
 
@@ -258,7 +261,8 @@ def _grouped(chunks, k, metric, cells, skip_same):
         return None, None, []
     width = len(distinct.select("embedding").head()[0])
     most = max(1, BROADCAST_VECTOR_BYTES // (8 * max(1, width)))
-    leaders = prepare(sample_leaders(distinct, min(cells or math.isqrt(total), most)), metric)
+    wanted = cells or min(math.isqrt(total), most)
+    leaders = prepare(sample_leaders(distinct, wanted), metric)
     held = settled(assign_cells(distinct, leaders, metric))
     stats = [
         (r["cell"], r["n"], r["r"])
@@ -275,9 +279,10 @@ def ann_topk(
 ) -> DataFrame:
     """Approximate top-k: each query looks into the ``probes`` nearest cells.
 
-    About sqrt(n) cells are made. Vectors with structure need few visits; on
-    vectors spread evenly over a sphere no grouping helps, and ``probes`` has
-    to be a large share of the cells for the same recall.
+    About sqrt(n) cells are made unless ``cells`` says otherwise. Vectors with
+    structure need few visits; on vectors spread evenly over a sphere no
+    grouping helps, and ``probes`` has to be a large share of the cells for
+    the same recall. A query whose cells hold fewer than k vectors visits all.
     """
     assert metric in _METRICS, metric
     if where is not None:
@@ -302,6 +307,14 @@ def _visit_cells(asked, chunks, k, metric, skip_same, probes, cells, block, exac
     )
     first = _search(near, held, stats, k, metric, skip_same, block)
     if not exact:
+        first = settled(first)
+        full = first.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
+        short = settled(asked.join(full, "query_id", "left_anti"))
+        if count < len(leaders) and not short.isEmpty():
+            every = settled(_probes(short.withColumn("most", F.lit(float("inf"))), shipped, stats, len(leaders), metric))
+            first = first.join(full, "query_id", "left_semi").unionByName(
+                _search(every, held, stats, k, metric, skip_same, block)
+            )
         return _rank(first, k, metric)
     nearest = Window.partitionBy("query_id").orderBy("key", "id")
     bounds = (
@@ -333,11 +346,9 @@ def topk(
         found = _visit_cells(asked, chunks, k, metric, skip_same, None, None, block, exact=True)
         return _attach(found, chunks, payload)
     found = scan_topk(rows, asked.schema["query_id"].dataType, chunks, k, metric, skip_same)
-    # k rows for each of the counted queries: their number is bounded like the queries.
-    return _attach(found, chunks, payload, bounded=True)
+    return _attach(found, chunks, payload)
 
 
-def _attach(found, chunks, payload, bounded=False):
-    if not payload:
-        return found
-    return (F.broadcast(found) if bounded else found).join(chunks.select("id", *payload), "id")
+def _attach(found, chunks, payload):
+    """Payload columns by a plain join: whether an answer is small enough to broadcast is left to Spark."""
+    return found.join(chunks.select("id", *payload), "id") if payload else found

@@ -1,45 +1,12 @@
-"""Helpers that keep groups and numberings bounded when a key is hot."""
+"""Numbering of rows without a window over all of them."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..defaults import LIST_PART_ROWS
 from ..session import settled
 
 
-def add_part(
-    df: DataFrame, keys: list[str], spread: list[str], limit: int = LIST_PART_ROWS
-) -> DataFrame:
-    """Add ``part``: 0 for usual keys, and a spread over enough parts for hot ones.
-
-    A key with more than ``limit`` rows gets ``ceil(rows / limit)`` parts,
-    filled by a hash of ``spread``. Counting combines on the map side, and
-    only the hot keys, at most ``rows / limit`` of them, are joined back.
-    """
-    hot = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > limit)
-        .select(
-            *[F.col(k).alias(f"__h_{k}") for k in keys],
-            F.ceil(F.col("__n") / limit).cast("int").alias("__parts"),
-        )
-    )
-    match = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"__h_{k}"))
-        match = same if match is None else match & same
-    salt = F.pmod(F.xxhash64(*spread), F.coalesce(F.col("__parts"), F.lit(1)))
-    return (
-        df.join(hot, match, "left")
-        .withColumn("part", salt.cast("int"))
-        .drop("__parts", *[f"__h_{k}" for k in keys])
-    )
-
-
 def number_rows(
     df: DataFrame, order: list[str | Column], name: str, start: int = 0, partitions: int | None = None
 ) -> DataFrame:
@@ -69,19 +36,3 @@ def number_rows(
         .withColumn(name, F.col("__base") + F.col("__seq"))
         .drop("__pid", "__seq", "__base")
     )
-
-
-def left_join_many(left: DataFrame, right: DataFrame, on: dict[str, str]) -> DataFrame:
-    """Left join of rows that are unique by key with a side where a key may be hot.
-
-    A left outer join cannot split the right side of a hot key, an inner join
-    can. So the matches come from an inner join, and the rows without a match
-    from an anti join with the distinct keys, which combine on the map side.
-    ``on`` maps left to right key names; no other names may be shared.
-    """
-    keys = right.select(*[F.col(b).alias(f"__{b}") for b in on.values()]).distinct()
-    same = [F.col(a) == F.col(b) for a, b in on.items()]
-    seen = [F.col(a) == F.col(f"__{b}") for a, b in on.items()]
-    matched = left.join(right, reduce(and_, same), "inner")
-    alone = left.join(keys, reduce(and_, seen), "left_anti")
-    return matched.unionByName(alone, allowMissingColumns=True)

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..defaults import LIST_PART_ROWS
-from .skew import add_part
-
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in ``order``.
@@ -18,20 +15,28 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return df.withColumn("__rank", rank).filter(F.col("__rank") == 1).drop("__rank")
 
 
-def collect_retrieval(assessments: DataFrame, limit: int = LIST_PART_ROWS) -> DataFrame:
-    """Retrieval assessments per request, reviewer and step, as sorted lists.
-
-    A group above ``limit`` rows is given as several rows with lists of about
-    that size, numbered by ``part``; no row is dropped.
-    """
-    rows = assessments.filter(F.col("retrieval_assessment").isNotNull()).select(
+def retrieval_rows(assessments: DataFrame) -> DataFrame:
+    """Retrieval assessments in long form, one row each: what later steps should read."""
+    return assessments.filter(F.col("retrieval_assessment").isNotNull()).select(
         "request_id", "source", "step_id", "timestamp", "retrieval_assessment",
         F.col("source.id").alias("source_id"),
     )
+
+
+def retrieval_keys(assessments: DataFrame) -> DataFrame:
+    """One row per request, reviewer and step with retrieval assessments, without their lists."""
     keys = ["request_id", "source_id", "step_id"]
-    rows = add_part(rows, keys, ["timestamp", "retrieval_assessment"], limit)
+    return retrieval_rows(assessments).groupBy(*keys).agg(F.max("source").alias("source")).drop("source_id")
+
+
+def collect_retrieval(assessments: DataFrame) -> DataFrame:
+    """Retrieval assessments per request, reviewer and step, as one sorted list each.
+
+    There is one row per key at any size: the list is the output, so its
+    length is the key's own. Rows of a key are gathered in each task first.
+    """
     return (
-        rows.groupBy(*keys, "part")
+        retrieval_rows(assessments).groupBy("request_id", "source_id", "step_id")
         .agg(
             F.max("timestamp").alias("timestamp"),
             F.max("source").alias("source"),

@@ -77,7 +77,7 @@ def f3_dedupe(spark, sf):
 
 
 def f4_eval_set(spark, sf):
-    return ops.eval_set(fx.request_logs(spark, sf), fx.deduped(spark, sf, strict=True))
+    return ops.eval_set(fx.request_logs(spark, sf), ops.rated_assessments(fx.assessment_logs(spark, sf)))
 
 
 def f5_eval_set_documented(spark, sf):

@@ -211,7 +211,7 @@ ASSESSMENTS = """assessments as (
 
 LATEST_TEXT = """latest_text as (
   select * from (select *, row_number() over (partition by request_id
-      order by ts desc, source_id desc, step_id desc) as rn from assessments where rating is not null)
+      order by ts desc, source_id desc, step_id desc, rating desc, suggested desc) as rn from assessments where rating is not null)
   where rn = 1)"""
 
 RETRIEVAL = """retrieval as (

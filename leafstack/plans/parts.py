@@ -23,12 +23,11 @@ def c2_listing(spark, sf):
 
 
 def c3_scrape(spark, sf):
-    """All pages merged into a list that was made from the English pages before."""
+    """All pages merged into a list that was made from the English pages before, and is outdated."""
     pages = load(spark, sf, "pages").select("url", "html")
     before = ops.scrape(pages.filter(F.col("html").contains('<html lang="en">')))
     before = before.withColumn("designation", F.lit("outdated"))
-    german = pages.filter(~F.col("html").contains('<html lang="fr">'))
-    return ops.scrape(german, before)
+    return ops.scrape(pages, before)
 
 
 def c4_assembly_options(spark, sf):
@@ -36,11 +35,16 @@ def c4_assembly_options(spark, sf):
 
 
 def c5_parts_of(spark, sf):
+    """The parts of one assembly."""
+    return ops.parts_of(_assemblies(spark, sf), 7)
+
+
+def c5_parts_by_assembly(spark, sf):
     return ops.parts_by_assembly(_assemblies(spark, sf))
 
 
 def c7_guided_questions(spark, sf):
-    return ops.guided_questions(_assemblies(spark, sf)).drop("part")
+    return ops.guided_questions(_assemblies(spark, sf))
 
 
 def d5_upsert(spark, sf):
@@ -53,7 +57,7 @@ def d5_upsert(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    c1_links, c2_listing, c3_scrape, c4_assembly_options, c5_parts_of, c7_guided_questions, d5_upsert,
+    c1_links, c2_listing, c3_scrape, c4_assembly_options, c5_parts_of, c5_parts_by_assembly, c7_guided_questions, d5_upsert,
 )}
 
 LISTING = """items as (
@@ -75,11 +79,14 @@ ORACLES = {
     select url, regexp_extract_all(html, 'href="([^"]*)"', 1) as links from pages))
 select concat(replace(split_part(url, '/', -1), '.pdf', ''), '_', n) as key, trim(link) as link from l""",
     "c2_listing": fx.with_ctes(f"select {_COLUMNS} from listing", LISTING),
-    "c3_scrape": fx.with_ctes(f"select {_COLUMNS} from listing where lang <> 'fr'", LISTING),
+    "c3_scrape": fx.with_ctes(f"select {_COLUMNS} from listing", LISTING),
     "c4_assembly_options": fx.with_ctes(
         "select distinct part_name as label, assembly_id as value, part_code from part_lists", fx.PART_LISTS
     ),
     "c5_parts_of": fx.with_ctes(
+        "select distinct item_number, designation from part_lists where assembly_id = 7", fx.PART_LISTS
+    ),
+    "c5_parts_by_assembly": fx.with_ctes(
         "select distinct assembly_id, item_number, designation from part_lists", fx.PART_LISTS
     ),
     "c7_guided_questions": fx.with_ctes(

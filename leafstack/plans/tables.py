@@ -88,7 +88,7 @@ def d4_lookup(spark, sf):
 
 
 def e1_latest(spark, sf):
-    events = load(spark, sf, "events").filter(F.col("event_type") != "error")
+    events = load(spark, sf, "events")
     return windows.latest_per_key(
         events.select("user_id", "event_id", "ts", "event_type"), ["user_id"],
         [F.col("ts").desc(), F.col("event_id").desc()],
@@ -176,7 +176,7 @@ select row_number() over (order by doc_id, st) as id, doc_id, st // 490 as chunk
 from orders left join customer on o_custkey = c_custkey""",
     "e1_latest": """select user_id, event_id, ts, event_type from (
   select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn
-  from events where event_type <> 'error') where rn = 1""",
+  from events) where rn = 1""",
     "e4_union": """select 'document' as kind, doc_id as id, md5(text) as digest from documents
 union all select 'turn', conv_id * 1000 + turn, md5(text) from conversations
 union all select 'item', item_id, md5(text) from benchmark""",

@@ -37,8 +37,9 @@ def build_session(master: str | None = None, app: str = "leafstack", **extra: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can read, taken from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a laptop) a temporary folder is
-    set, once per Spark context.
+    Only where a local master runs without one (tests, a laptop) a temporary
+    folder is set, once per Spark context; elsewhere that is an error, as
+    executors could not see it.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,6 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="leafstack-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 

@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from leafstack.operators import feedback
 from leafstack.operators.changes import change_feed, sync_index
 from leafstack.operators.joins import lookup, upsert
-from leafstack.operators.skew import add_part, left_join_many
+from leafstack.operators.parts import guided_questions
 from leafstack.operators.windows import collect_retrieval, latest_per_key, latest_version
 
 T = "k int, j string, v string"
@@ -74,32 +75,39 @@ def test_latest_version_is_numeric(spark):
     assert rows(latest_version(df)) == [("m", "10"), ("n", "2")]
 
 
-def test_hot_key_is_split_and_whole(spark):
-    hot = spark.range(900).selectExpr("1L key", "id v")
-    cold = spark.range(300).selectExpr("id + 10 key", "id v")
-    null = spark.range(300).selectExpr("cast(null as bigint) key", "id v")
-    df = add_part(hot.union(cold).union(null), ["key"], ["v"], limit=100)
-    assert df.count() == 1500
-    sizes = {(r["key"], r["part"]): r["count"] for r in df.groupBy("key", "part").count().collect()}
-    assert len([1 for k, _ in sizes if k == 1]) == 9
-    assert len([1 for k, _ in sizes if k is None]) == 3
-    assert max(sizes.values()) < 160
-    assert all(p == 0 for k, p in sizes if k not in (1, None))
-
-
-def test_collected_lists_stay_whole(spark):
-    df = spark.range(500).selectExpr(
+@pytest.mark.parametrize("n", [9_999, 10_001, 60_000])
+def test_one_row_per_key_at_any_size(spark, n):
+    """One hot request: lists, de-duplicated rows, evaluation rows and joins keep their number of rows."""
+    kinds = "struct<doc_uri:string,rating:string,event_id:bigint>"
+    text = spark.sql("""select 7L request_id, named_struct('id', 1L) source, 0L step_id, timestamp_seconds(5) timestamp,
+        named_struct('ratings', map('answer_correct', named_struct('value', 'positive')), 'suggested_output', '') text_assessment""")
+    hot = spark.range(n).selectExpr(
         "7L request_id", "named_struct('id', 1L) source", "0L step_id", "timestamp_seconds(id) timestamp",
         "named_struct('doc_uri', 'd', 'rating', 'positive', 'event_id', id) retrieval_assessment",
     )
-    out = collect_retrieval(df, limit=50).collect()
-    assert len(out) == 10
-    ids = [x["event_id"] for r in out for x in r["retrieval_assessments"]]
-    assert sorted(ids) == list(range(500))
+    logs = text.withColumn("retrieval_assessment", F.lit(None).cast(kinds)).unionByName(hot, allowMissingColumns=True)
+    listed = collect_retrieval(logs).collect()
+    assert len(listed) == 1 and [x["event_id"] for x in listed[0]["retrieval_assessments"]] == list(range(n))
+    requests = spark.createDataFrame([(7, "q", "a"), (8, "q", "a")], "logged_request_id bigint, request string, response string")
+    merged = feedback.dedupe_assessments(logs)
+    assert [len(r["retrieval_assessments"]) for r in merged.collect()] == [n]
+    assert feedback.requests_with_feedback(requests, merged).count() == 2
+    assert feedback.dedupe_assessments(logs, strict=True).count() == 1
+    assert rows(feedback.eval_set(requests, feedback.rated_assessments(logs))) == [(7, "q", "a", "thumbs_up", 1)]
+    parts = spark.range(n).selectExpr("1L assembly_id", "'p' part_name", "id item_number", "concat('d', id) designation")
+    asked = guided_questions(parts.union(parts)).collect()
+    assert len(asked) == 1 and asked[0]["question"].count("- d") == n
+
+
+def test_sync_with_null_key(spark):
+    old = spark.createDataFrame([(None, "a"), (1, "b")], "k int, v string")
+    new = spark.createDataFrame([(None, "A"), (1, "b")], "k int, v string")
+    created = sync_index(None, change_feed(old.limit(0), old, ["k"]), ["k"])
+    assert rows(sync_index(created, change_feed(old, new, ["k"]), ["k"])) == sorted([(None, "A"), (1, "b")], key=str)
 
 
-def test_left_join_many(spark):
-    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, a string")
-    right = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z"), (None, "n")], "rk int, b string")
-    joined = left_join_many(left, right, {"k": "rk"})
-    assert rows(joined) == rows(left.join(right, left["k"] == right["rk"], "left"))
+def test_double_source_rows_fail_whatever_is_read(spark):
+    target = spark.createDataFrame([(1, "a")], "k int, v string")
+    source = spark.createDataFrame([(1, "b"), (1, "c")], "k int, v string")
+    with pytest.raises(Exception, match="more than one source row"):
+        upsert(target, source, ["k"]).count()

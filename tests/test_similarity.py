@@ -18,13 +18,13 @@ def brute(queries, chunks, k, metric="l2", skip_same=False):
     c = np.asarray(chunks, np.float32).astype(float)
     if metric == "l2":
         key = ((q[:, None] - c[None]) ** 2).sum(2)
-        score = 1 / (1 + np.round(key, 9))
+        score = 1 / (1 + key)
     else:
         nq, nc = np.linalg.norm(q, axis=1)[:, None], np.linalg.norm(c, axis=1)[None]
         with np.errstate(divide="ignore", invalid="ignore"):
             key = 1 - np.nan_to_num((q @ c.T) / (nq * nc))
-        score = 1 - np.round(key, 9)
-    key = np.round(key, 9)
+        key = np.round(key, 12)
+        score = 1 - key
     out = set()
     for i in range(len(q)):
         ids = [j for j in np.lexsort((np.arange(len(c)), key[i])) if not (skip_same and i == j)]
@@ -112,3 +112,28 @@ def test_few_probes_suffice_on_clusters(spark):
 def test_all_cells_are_exact(spark, data):
     _, c = data
     assert recall(spark, c[:300], probes=1000, block=20) == 1.0
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 26, 0])
+def test_doubles_and_tiny_vectors(spark, max_bytes):
+    """Both plans compare single-precision vectors by their whole distances."""
+    rng = np.random.default_rng(5)
+    for scale in (1.0, 1e-7):
+        c, q = rng.normal(size=(60, 2)) * scale, rng.normal(size=(3, 2)) * scale
+        chunks = frame(spark, c).withColumn("embedding", F.col("embedding").cast("array<double>"))
+        found = sim.topk(frame(spark, q, name="query_id"), chunks, 3, max_bytes=max_bytes)
+        assert {x[:3] for x in answer(found)} == {x[:3] for x in brute(q, c, 3)}
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 26, 0])
+def test_unequal_widths_fail(spark, max_bytes):
+    chunks = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0, 4.0, 5.0])], SCHEMA).coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0])], "query_id bigint, embedding array<float>")
+    with pytest.raises(Exception, match="unequal width|mismatch"):
+        sim.topk(queries, chunks, 1, max_bytes=max_bytes).collect()
+
+
+def test_short_answers_visit_more_cells(spark, data):
+    _, c = data
+    found = sim.ann_topk(frame(spark, c[:5], name="query_id"), frame(spark, c[600:]), 30, probes=1, cells=150)
+    assert found.groupBy("query_id").count().filter("count < 30").count() == 0
