@@ -288,13 +288,17 @@ def ann_topk(
     if where is not None:
         chunks = chunks.filter(where)
     asked = settled(_vectors(queries, "query_id"))
-    found = _visit_cells(asked, chunks, k, metric, skip_same, probes, cells, block, exact=False)
-    return _attach(found, chunks, payload)
+    grouped = _grouped(chunks, k, metric, cells, skip_same)
+    return _attach(visit_cells(asked, grouped, k, metric, skip_same, probes, block, exact=False), chunks, payload)
+
 
+def visit_cells(asked, grouped, k, metric, skip_same, probes, block, exact):
+    """Visit the nearest cells; with ``exact``, then all that the answer so far leaves possible.
 
-def _visit_cells(asked, chunks, k, metric, skip_same, probes, cells, block, exact):
-    """Visit the nearest cells; with ``exact``, then all that the answer so far leaves possible."""
-    leaders, held, stats = _grouped(chunks, k, metric, cells, skip_same)
+    ``grouped`` has the leaders, the vectors with their cells, and per cell its
+    number, size and radius.
+    """
+    leaders, held, stats = grouped
     if not stats:
         return _rank(
             asked.select("query_id", F.lit(0).cast("bigint").alias("id"), F.lit(0.0).alias("key"))
@@ -343,8 +347,8 @@ def topk(
     asked = settled(_vectors(queries, "query_id"))
     rows = few_queries(asked, max_bytes)
     if rows is None:
-        found = _visit_cells(asked, chunks, k, metric, skip_same, None, None, block, exact=True)
-        return _attach(found, chunks, payload)
+        grouped = _grouped(chunks, k, metric, None, skip_same)
+        return _attach(visit_cells(asked, grouped, k, metric, skip_same, None, block, exact=True), chunks, payload)
     found = scan_topk(rows, asked.schema["query_id"].dataType, chunks, k, metric, skip_same)
     return _attach(found, chunks, payload)
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import feedback, similarity
+from ..operators import changes, feedback, similarity, vector_index
+from ..session import scratch_path
 from ..sources import load
 from . import fixtures as fx
 
@@ -60,6 +61,21 @@ def d7_ann_all_cells(spark, sf):
     return _answer(similarity.ann_topk(label_queries(spark, sf), vectors(spark, sf), probes=1 << 30))
 
 
+def e6_sync_vectors(spark, sf):
+    """A stored index brought from one version of the vectors to the next, then searched exactly.
+
+    Vectors of label 7 leave, those of label 3 come, those of label 5 change sign.
+    """
+    rows = vectors(spark, sf)
+    old = rows.filter("label != 3").select("id", "embedding")
+    moved = F.when(F.col("label") == 5, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    new = rows.filter("label != 7").select("id", moved.alias("embedding"))
+    root = scratch_path(spark, "index")
+    vector_index.create_index(old, root)
+    vector_index.sync(spark, root, changes.change_feed(old, new, ["id"]))
+    return _answer(vector_index.search(label_queries(spark, sf), root))
+
+
 def _metrics(spark, sf, digits=6):
     found = similarity.topk(label_queries(spark, sf), vectors(spark, sf), payload=["label"])
     ranked = found.select(
@@ -80,7 +96,7 @@ def f7_mean_metrics(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    d6_topk, d6_topk_cosine, d6_topk_filtered, d6_topk_grouped, d7_ann_topk, d7_ann_all_cells, f7_retriever_metrics,
+    d6_topk, d6_topk_cosine, d6_topk_filtered, d6_topk_grouped, d7_ann_topk, d7_ann_all_cells, e6_sync_vectors, f7_retriever_metrics,
     f7_mean_metrics,
 )}
 
@@ -117,6 +133,12 @@ ORACLES = {
     "d6_topk": _L2_TOPK,
     "d6_topk_grouped": _L2_TOPK,
     "d7_ann_all_cells": _L2_TOPK,
+    "e6_sync_vectors": fx.with_ctes(
+        _TOPK.format(score="1 / (1 + key)"), _QUERY,
+        """changed as (select vec_id, label, case when label = 5 then list_transform(embedding, lambda x: -x) else embedding end as embedding
+  from embeddings where label <> 7)""",
+        _ranked(_L2, 3).replace("from embeddings)", "from changed)"),
+    ),
     "d6_topk_cosine": fx.with_ctes(_TOPK.format(score="1 - key"), _QUERY, _ranked(_COSINE, 3)),
     "d6_topk_filtered": fx.with_ctes(
         _TOPK.format(score="1 / (1 + key)"), _QUERY, _ranked(_L2, 5, "c.label >= 3")

@@ -98,6 +98,11 @@ def expire_versions(spark: SparkSession, root: str, keep: int) -> int:
     old = [(b, v) for b, versions in _held(spark, base).items() for v in versions[:-keep]]
     for bucket, version in old:
         delete(spark, f"{_folder(base, version, *done[version])}/bucket={bucket}")
+    # A version none of whose buckets is left goes whole, so that listings do not grow.
+    held = {v for versions in _held(spark, base).values() for v in versions}
+    for version in sorted(done)[:-1]:
+        if version not in held:
+            delete(spark, f"{base}/version={version}")
     return len(old)
 
 
