@@ -90,6 +90,25 @@ def parser_udf(parser: Callable[[object], list[tuple]]):
     return pages
 
 
+def parser_error_udf(parser: Callable[[object], list[tuple]]):
+    """Iterator function: what went wrong with a file's content, NULL if it was parsed."""
+
+    def error(content):
+        try:
+            for _, number, _ in parser(content):
+                int(number)
+        except Exception as e:
+            return f"{type(e).__name__}: {e}"
+        return None
+
+    @F.pandas_udf("string")
+    def errors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for contents in batches:
+            yield contents.map(error)
+
+    return errors
+
+
 def sentence_chunks(
     text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
 ) -> list[str]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..defaults import CHUNK_OVERLAP, CHUNK_SIZE, EMBED_BATCH, PATH_SCHEME
 from ..functions import text as tx
-from ..functions.udfs import chunker_udf, embedding_udf, hash_embed, parser_udf, sentence_chunks
+from ..functions.udfs import chunker_udf, embedding_udf, hash_embed, parser_error_udf, parser_udf, sentence_chunks
 from .skew import number_rows
 
 
@@ -29,6 +29,16 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("pages").isNull()).drop("pages")
 
 
+def reject_rows(files: DataFrame, parser: Callable | None = None, content: str = "content") -> DataFrame:
+    """``path, error`` of the files that give no pages: the parser's error, or that they are no UTF-8 text."""
+    if parser is None:
+        bad = F.col(content).isNull() | F.try_validate_utf8(F.col(content).cast("string")).isNull()
+        error = F.when(bad, F.lit("not UTF-8 text"))
+    else:
+        error = parser_error_udf(parser)(content)
+    return files.select("path", error.alias("error")).filter(F.col("error").isNotNull())
+
+
 def explode_pages(df: DataFrame, parser: Callable | None = None, content: str = "text") -> DataFrame:
     """One row per page ``(title, page_number, text)``, page numbers from 0.
 

@@ -10,7 +10,7 @@ from ..schemas import PARTS
 from ..session import scratch_path
 from ..sources import load, qualified, read_table_stream, write_stream
 from ..streaming import (
-    ingest_numbered_chunks, ingest_raw, load_all, read_version, upsert_stream,
+    ingest_numbered_chunks, ingest_raw, ingest_rejects, load_all, read_version, upsert_stream,
 )
 from . import fixtures as fx
 from .parts import LISTING
@@ -82,6 +82,20 @@ def j2_ingest_chunks(spark, sf):
     return _chunk_rows(spark.read.parquet(ensure))
 
 
+def j2_rejects(spark, sf):
+    """Manuals that a parser refuses, with its words."""
+
+    def short_only(content):
+        if len(content) > 10_000:
+            raise ValueError("more than 10000 bytes")
+        return [("", 0, content.decode())]
+
+    root, table = _raw(spark, sf)
+    rejects = _name("rejects")
+    ingest_rejects(spark, table, rejects, f"{root}/rejects_progress", short_only, f"{root}/rejects")
+    return spark.table(qualified(rejects)).select(_title(), "error")
+
+
 def j3_load_all(spark, sf):
     """French manuals first, then the others: each run takes up its new files only."""
     root = scratch_path(spark, "load")
@@ -109,7 +123,7 @@ def j4_upsert_stream(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    a1_file_stream, a2_table_stream, a3_append_once, j1_ingest_raw, j2_ingest_chunks, j3_load_all,
+    a1_file_stream, a2_table_stream, a3_append_once, j1_ingest_raw, j2_ingest_chunks, j2_rejects, j3_load_all,
     j4_upsert_stream,
 )}
 
@@ -130,6 +144,9 @@ ORACLES = {
     "a2_table_stream": fx.with_ctes("select title, strlen(text) as length from files", fx.MANUALS, _FILES),
     "a3_append_once": fx.with_ctes("select title, count(*) as rows from files group by title", fx.MANUALS, _FILES),
     "j2_ingest_chunks": _CHUNKS,
+    "j2_rejects": fx.with_ctes(
+        "select title, 'ValueError: more than 10000 bytes' as error from files where strlen(text) > 10000", fx.MANUALS, _FILES
+    ),
     "j3_load_all": _CHUNKS,
     "j4_upsert_stream": fx.with_ctes(
         "select item_number, part_number, designation, part_code, part_name, qr_code_url from listing", LISTING

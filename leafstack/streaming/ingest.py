@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.udfs import hash_embed
 from ..operators.documents import (
-    assign_ids, chunk_sections, embed, explode_pages, hash_ids, known_paths, normalise_path,
+    assign_ids, chunk_sections, embed, explode_pages, hash_ids, known_paths, normalise_path, reject_rows,
 )
 from ..schemas import CHUNKS
 from ..sources import qualified, read_files_stream, read_table_stream, write_stream
@@ -39,6 +39,15 @@ def _pages(raw: DataFrame, parser: Callable | None) -> DataFrame:
     return explode_pages(text)
 
 
+def ingest_rejects(
+    spark: SparkSession, raw: str, table: str, checkpoint: str, parser: Callable | None = None,
+    location: str | None = None,
+) -> StreamingQuery:
+    """New rows of the raw table that give no pages to a table of ``path, error``, whichever stage makes the chunks."""
+    rows = normalise_path(read_table_stream(spark, raw).select("path", "content"))
+    return write_stream(reject_rows(rows, parser), table, checkpoint, location)
+
+
 def ingest_chunks(
     spark: SparkSession, raw: str, table: str, checkpoint: str, parser: Callable | None = None,
     chunk: Callable[[DataFrame], DataFrame] = chunk_sections, fn: Callable = hash_embed,
@@ -57,21 +66,23 @@ def ingest_numbered_chunks(
 
     Each batch owns a directory of ``folder``, by stream and batch. A batch
     that is run again counts from the others and replaces its own directory,
-    so its rows and ids come out the same.
+    so its rows and ids come out the same. The last id of each batch is kept
+    in a small file (``folder/_last``), so that a batch reads no earlier chunks.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         stream = stream_number(session, checkpoint)
         last = 0
-        if levels(session, f"{folder}/stream=*"):
-            ids = session.read.schema("id bigint, stream bigint, batch_id bigint").parquet(folder)
+        if levels(session, f"{folder}/_last/stream=*"):
+            ids = session.read.schema("last bigint, stream bigint, batch_id bigint").parquet(f"{folder}/_last")
             mine = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
-            last = ids.filter(~mine).agg(F.max("id").alias("m")).head()["m"] or 0
+            last = ids.filter(~mine).agg(F.max("last").alias("m")).head()["m"] or 0
         rows = assign_ids(chunk(_pages(batch, parser)), _PLACE, last + 1)
-        embed(rows, fn=fn).select(*CHUNKS.fieldNames()).write.mode("overwrite").parquet(
-            f"{folder}/stream={stream}/batch_id={batch_id}"
-        )
+        place = f"stream={stream}/batch_id={batch_id}"
+        embed(rows, fn=fn).select(*CHUNKS.fieldNames()).write.mode("overwrite").parquet(f"{folder}/{place}")
+        written = session.read.schema(CHUNKS).parquet(f"{folder}/{place}")
+        written.agg(F.coalesce(F.max("id"), F.lit(last)).alias("last")).write.mode("overwrite").parquet(f"{folder}/_last/{place}")
 
     query = (
         read_table_stream(spark, raw).writeStream.trigger(availableNow=True)
