@@ -46,7 +46,7 @@ GROUP_BYTES = 4 << 20
 PASS_ROWS = 2_000_000
 LAST = (1 << 63) - 1
 
-PARSE = "trigger bigint, name bigint, doc bigint, rep int, start bigint, stop bigint, kind tinyint, spread bigint"
+PARSE = "trigger bigint, name bigint, doc bigint, rep int, start bigint, stop bigint, kind tinyint"
 SETTLED, PHRASE, HOT = 1, 0, 2
 
 
@@ -102,7 +102,6 @@ def _parse(rows: DataFrame, length: int, trigger: int, hot: np.ndarray) -> DataF
             stop = np.maximum.reduceat(stop, first)
             row, start, ah, name = row[first], start[first], ah[first], name[first]
             kind = np.where(np.isin(ah, hot), HOT, PHRASE) if len(hot) else np.full(len(row), PHRASE)
-            spread = np.where(kind == HOT, ah ^ name, ah)
             both = np.concatenate([row, gone[0]])
             n = len(gone[0])
             away = (ids[gone[0]].view(np.uint64) + gone[1].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -110,8 +109,8 @@ def _parse(rows: DataFrame, length: int, trigger: int, hot: np.ndarray) -> DataF
                 pa.array(np.concatenate([ah, away]).view(np.int64)), pa.array(np.concatenate([name, np.zeros(n, np.uint64)]).view(np.int64)),
                 pa.array(ids[both]), pa.array(reps[both].astype(np.int32)),
                 pa.array(np.concatenate([start, gone[1]]) - base[both]), pa.array(np.concatenate([stop, gone[2]]) - base[both]),
-                pa.array(np.concatenate([kind, np.full(n, SETTLED)]).astype(np.int8)), pa.array(np.concatenate([spread, away]).view(np.int64)),
-            ], ["trigger", "name", "doc", "rep", "start", "stop", "kind", "spread"])
+                pa.array(np.concatenate([kind, np.full(n, SETTLED)]).astype(np.int8)),
+            ], ["trigger", "name", "doc", "rep", "start", "stop", "kind"])
 
     return rows.mapInArrow(read, PARSE)
 
@@ -179,7 +178,9 @@ def _sweep(parse: DataFrame) -> DataFrame:
                     [pa.array(kinds), *map(pa.array, columns)], ["kind", "trigger", "doc", "rep", "start", "stop"]
                 )
 
-    placed = parse.repartition("spread").sortWithinPartitions("trigger", "name", "doc")
+    # a hot trigger's phrases are dealt out one by one
+    spread = F.when(F.col("kind") == HOT, F.col("trigger").bitwiseXOR(F.col("name"))).otherwise(F.col("trigger"))
+    placed = parse.repartition(spread).sortWithinPartitions("trigger", "name", "doc")
     return placed.mapInArrow(read, "kind tinyint, trigger bigint, doc bigint, rep int, start bigint, stop bigint")
 
 
