@@ -12,8 +12,9 @@ from ..defaults import (
 from ..functions import chat as ch
 from ..functions.text import file_name
 from ..functions.udfs import hash_embed
+from . import vector_index
 from .documents import embed
-from .similarity import ann_topk, topk
+from .similarity import PROBES, ann_topk, topk
 
 
 def recent_requests(turns: DataFrame, keep: int = HISTORY_TURNS) -> DataFrame:
@@ -64,9 +65,13 @@ def query_text(
 def retrieve(
     parsed: DataFrame, chunks: DataFrame, k: int = TOP_K, fn: Callable = hash_embed,
     rewrite: Callable = ch.joined_rewrite, approximate: bool = False, batch_size: int = EMBED_BATCH,
+    index: str | None = None,
 ) -> DataFrame:
     """The k chunks for each of the three questions of every request.
 
+    With ``index``, the folder of a stored index of the chunks' vectors, that
+    is searched, and of ``chunks`` only the payload is read.
+
     Equal query texts are embedded and searched once: a text that many
     conversations share costs one search. Results come back by the digest of
     the text.
@@ -76,8 +81,12 @@ def retrieve(
     )
     distinct = asked.dropDuplicates(["query_id"]).select("query_id", "query")
     vectors = embed(distinct, "query", fn, batch_size).select("query_id", "embedding")
-    search = ann_topk if approximate else topk
-    found = search(vectors, chunks, k, payload=["content", "url", "path", "page_number"])
+    payload = ["content", "url", "path", "page_number"]
+    if index is not None:
+        found = vector_index.search(vectors, index, k, PROBES if approximate else None)
+        found = found.join(chunks.select("id", *payload), "id")
+    else:
+        found = (ann_topk if approximate else topk)(vectors, chunks, k, payload=payload)
     return asked.drop("query").join(found, "query_id").drop("query_id")
 
 

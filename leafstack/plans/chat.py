@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..defaults import PARTS_FOLLOW_UP, REWRITE_INSTRUCTIONS, SYSTEM_TEMPLATE, TOOLS_FOLLOW_UP
 from ..functions import chat as ch
-from ..operators import chat as ops, feedback
+from ..operators import chat as ops, feedback, vector_index
 from ..operators.documents import chunk_windows, embed, normalise_path
+from ..session import scratch_path
 from ..sources import load
 from . import fixtures as fx
 
@@ -60,12 +61,23 @@ def g6_query_text(spark, sf):
     return ops.query_text(ops.fan_out(parsed(spark, sf))).select("conv_id", "kind", "query")
 
 
-def g7_retrieve(spark, sf):
-    return _found(spark, sf).select(
+def _ranks(found):
+    return found.select(
         "conv_id", "kind", "id", F.col("rank").cast("bigint").alias("rank"), "score", "url"
     )
 
 
+def g7_retrieve(spark, sf):
+    return _ranks(_found(spark, sf))
+
+
+def g7_retrieve_indexed(spark, sf):
+    """The same from a stored index of the chunks."""
+    chunks, root = chunk_table(spark, sf), scratch_path(spark, "index")
+    vector_index.create_index(chunks.select("id", "embedding"), root)
+    return _ranks(ops.retrieve(parsed(spark, sf), chunks, index=root))
+
+
 def g8_context(spark, sf):
     return ops.context(_found(spark, sf))
 
@@ -109,7 +121,7 @@ def f6_eval_rows(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     g1_last_question, g2_history, g3_prompt_history, g4_append_turn, g5_fan_out, g6_query_text,
-    g7_retrieve, g8_context, g9_prompt, g10_references, g11_response_json, g12_reference_lines,
+    g7_retrieve, g7_retrieve_indexed, g8_context, g9_prompt, g10_references, g11_response_json, g12_reference_lines,
     f6_eval_rows,
 )}
 
@@ -183,6 +195,7 @@ from histories""",
     "g5_fan_out": fx.with_ctes("select conv_id, kind, question from fan", _PARSED, _FAN),
     "g6_query_text": fx.with_ctes("select conv_id, kind, query from asked", _PARSED, _FAN),
     "g7_retrieve": fx.with_ctes("select conv_id, kind, id, rank, score, url from found", *_FOUND),
+    "g7_retrieve_indexed": fx.with_ctes("select conv_id, kind, id, rank, score, url from found", *_FOUND),
     "g8_context": fx.with_ctes("select conv_id, context from contexts", *_FOUND, _CONTEXT),
     "g9_prompt": fx.with_ctes(
         f"""select conv_id, concat_ws(chr(10), 'system: ' || replace({_sql_text(SYSTEM_TEMPLATE + REWRITE_INSTRUCTIONS)},

@@ -101,14 +101,6 @@ def test_parts_of_takes_a_parameter(spark):
     assert set(questions) == {7, 8} and questions[7].endswith("- bolt\n- nut") and "fix the part n" in questions[7]
 
 
-def test_hot_assembly_is_asked_in_parts(spark):
-    df = spark.range(1000).selectExpr("id item_number", "concat('d', id) designation", "'n' part_name", "1L assembly_id")
-    out = parts.guided_questions(df, limit=100).collect()
-    assert len(out) == 10
-    bullets = [b for r in out for b in r["question"].split("\n")[2:]]
-    assert sorted(bullets) == sorted(f"- d{i}" for i in range(1000))
-
-
 def test_assembly_ids(spark):
     df = spark.createDataFrame([("http://h/12",), ("http://h/x",)], "qr_code_url string")
     assert [r["assembly_id"] for r in parts.with_assembly(df).collect()] == [12, None]
