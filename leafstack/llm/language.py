@@ -82,6 +82,7 @@ class Lattice:
         row = np.where(inner, np.cumsum(inner), 0)
         self.next = np.zeros((int(inner.sum()) + 1, width), np.int32)
         self.next[row[keys // width], keys % width] = to
+        row[0] = 0  # no match leads nowhere, only a first letter starts at the root
         self.row, self.piece = row.astype(np.int32), np.array(piece, np.int32)
 
     def pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
