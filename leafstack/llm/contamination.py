@@ -27,6 +27,8 @@ WINDOW = 10
 GRAM = 5
 #: Up to so many benchmark windows (some 200 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 100_000
+#: Up to so many distinct kept hashes of the benchmark, documents' others are left out before they become rows.
+FILTER_HASHES = 20_000
 _PLACES = 1023
 
 
@@ -70,8 +72,13 @@ def occurrences(
         ).select("run_id", "run", F.col("kept").bitwiseAND(F.lit(~_PLACES)).alias("hash"),
                  F.col("kept").bitwiseAND(F.lit(_PLACES)).cast("int").alias("place"))
         rows = segments(documents, keys, F.col(text_col), window - 1)
+        rows = rows.withColumn("hashes", kept_hashes(F.col("words"), window, gram))
+        wanted = full.select("hash").distinct().limit(FILTER_HASHES + 1).toArrow().column("hash").to_pylist()
+        if len(wanted) <= FILTER_HASHES:
+            listed = ", ".join(f"{h}L" for h in sorted(wanted))
+            rows = rows.withColumn("hashes", F.expr(f"filter(hashes, k -> (k & {~_PLACES}L) in ({listed}))"))
         hits = rows.select("doc_id", "text_key", "first", F.explode(let(F.col("words"), lambda w: F.transform(
-            kept_hashes(w, window, gram),
+            F.col("hashes"),
             lambda k: let(k.bitwiseAND(F.lit(_PLACES)).cast("int"), lambda p: F.struct(
                 k.bitwiseAND(F.lit(~_PLACES)).alias("hash"), p.alias("at"),
                 # the words around the hash, and how many of them stand before it
