@@ -2,11 +2,12 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from leafstack.plans import all_oracles, all_queries
 from tests.conftest import SMALL
 from tools.compare import connect, difference
 
-QUERIES, ORACLES = queries(), oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +23,7 @@ def test_query(spark, con, name):
         assert difference(ours, con.execute(ORACLES[name]).to_arrow_table()) == ""
 
 
-def test_oracles_have_queries():
+def test_oracles_have_all_queries():
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {"d7_ann_topk"}
 
