@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.parts import PART_KEYS, extract_listing
 from ..schemas import PARTS
 from ..session import scratch_path
 from ..sources import load, qualified, read_table_stream, write_stream
 from ..streaming import (
-    ingest_numbered_chunks, ingest_raw, ingest_rejects, load_all, read_version, upsert_stream,
+    ingest_numbered_chunks, ingest_raw, ingest_rejects, load_all, read_version, upsert_stream, write_version,
 )
 from . import fixtures as fx
 from .parts import LISTING
@@ -109,13 +110,19 @@ def j3_load_all(spark, sf):
 
 
 def j4_upsert_stream(spark, sf):
-    """Part lists of the page stream merged into an older list."""
+    """Part lists of a page stream merged into an older list, over several files and micro-batches.
+
+    The older list has the English pages' parts, outdated, and parts of pages
+    that are gone: rows are updated, added and left alone.
+    """
     root = scratch_path(spark, "parts")
-    source = load(spark, sf, "pages")
-    stream = (
-        spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 100)
-        .option("pathGlobFilter", "pages.parquet").parquet(sf)
-    )
+    pages = load(spark, sf, "pages")
+    pages.repartition(6, "page_id").write.parquet(f"{root}/pages")
+    known = extract_listing(pages.filter(F.col("html").contains('<html lang="en">')))
+    known = known.withColumn("designation", F.lit("outdated"))
+    gone = known.withColumn("qr_code_url", F.concat("qr_code_url", F.lit("#gone")))
+    write_version(known.unionByName(gone).select(*PARTS.fieldNames()), f"{root}/table", 0, PART_KEYS[0], 8)
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/pages")
     upsert_stream(stream, f"{root}/table", f"{root}/progress", buckets=8)
     # A second stream over the same pages: every row is matched and nothing is added.
     upsert_stream(stream, f"{root}/table", f"{root}/again", buckets=8)
@@ -149,6 +156,8 @@ ORACLES = {
     ),
     "j3_load_all": _CHUNKS,
     "j4_upsert_stream": fx.with_ctes(
-        "select item_number, part_number, designation, part_code, part_name, qr_code_url from listing", LISTING
+        """select item_number, part_number, designation, part_code, part_name, qr_code_url from listing
+union all select item_number, part_number, 'outdated', part_code, part_name, qr_code_url || '#gone' from listing where lang = 'en'""",
+        LISTING
     ),
 }
