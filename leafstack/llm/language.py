@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -32,9 +33,9 @@ DOC_BYTES = 20_000
 ROUNDS = 2
 RUN = 48
 PIECE = 8
-SLICE_BYTES = 4 << 20
-CACHED_WORDS = 300_000
-BATCH_WORDS = 20_000
+SLICE_BYTES = 2 << 20
+CACHED_WORDS = 150_000
+BATCH_WORDS = 8_000
 SMOOTHING = 0.1
 UNKNOWN = 1e-7
 START = "▁"
@@ -267,16 +268,25 @@ def learn_languages(
 def tagged(
     documents: DataFrame, vocab_path: str, *passed: Column, modulus: int = 4, held: int = 2, id_col: str = "doc_id",
     text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, doc_bytes: int = DOC_BYTES,
+    inside: bool = False,
 ) -> DataFrame:
-    """The columns ``passed`` of every row, with ``lang_pred`` and ``score``."""
+    """The columns ``passed`` of every row, with ``lang_pred`` and ``score``.
+
+    With ``inside`` the first column passed is a struct that holds the text, which then travels once.
+    """
     vocab = vocabulary(vocab_path)
     names, probs = learn_languages(
         documents, vocab, modulus, held, id_col, text_col, lang_col, docs_per_language, doc_bytes
     )
 
+    def with_body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pc.struct_field(batch.column(0), [text_col]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pc.fill_null(text, b""), *batch.columns], ["body", *batch.schema.names])
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Lattice(vocab), probs) if names else None
-        for batch in slices(batches, "body", SLICE_BYTES):
+        for batch in slices(with_body(batches) if inside else batches, "body", SLICE_BYTES):
             texts, found, scores = batch.column("body").to_pylist(), [], []
             if scorer:
                 scorer.prepare(texts)
@@ -295,8 +305,8 @@ def tagged(
             )
 
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = documents.select(text.alias("body"), *passed)
-    schema = StructType([*rows.schema.fields[1:], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    rows = documents.select(*([] if inside else [text.alias("body")]), *passed)
+    schema = StructType([*rows.schema.fields[0 if inside else 1:], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return rows.mapInArrow(predict, schema)
 
 
@@ -322,7 +332,7 @@ def languages(
 
 def recognised(documents: DataFrame, vocab_path: str, least: float = 0.5) -> DataFrame:
     """The rows of ``documents`` whose language is recognised with a score of ``least`` or more, with all columns."""
-    found = tagged(documents, vocab_path, F.struct("*").alias("row"))
+    found = tagged(documents, vocab_path, F.struct("*").alias("row"), inside=True)
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
 
 
