@@ -39,10 +39,9 @@ CELLS = 1 << 22
 
 def shingle_hashes(body: bytes, words: int = WORDS, seed: int = SEED, piece: int = PIECE_BYTES) -> Iterator[list[int]]:
     """Hashes of all word shingles, a list per piece; a text of fewer words has one, without words none."""
-    digest, kept, seen = xxhash.xxh64_intdigest, [], 0
+    digest, kept, yielded = xxhash.xxh64_intdigest, [], False
     for part in pieces(body, piece):
         kept += part.lower().split()
-        seen += len(kept)
         if len(kept) >= words:
             joined = b" ".join(kept)
             sizes = np.fromiter(map(len, kept), np.int64, len(kept)) + 1
@@ -50,8 +49,8 @@ def shingle_hashes(body: bytes, words: int = WORDS, seed: int = SEED, piece: int
             starts = (stops - sizes + 1).tolist()
             yield [digest(joined[a:b], seed) for a, b in zip(starts, stops[words - 1:].tolist())]
             kept = kept[len(kept) - words + 1:]
-            seen = words
-    if kept and seen < words:
+            yielded = True
+    if kept and not yielded:
         yield [digest(b" ".join(kept), seed)]
 
 

@@ -56,6 +56,17 @@ def test_shingles_over_pieces(piece):
     assert [h for part in simhash.shingle_hashes(text, piece=piece) for h in part] == whole and len(whole) == 48
 
 
+@pytest.mark.parametrize("text", [
+    b"abcdefghijkl b", b"aaaaaaaaa bbbbbbbbb\n", b"a" + b" " * 40, b" " * 40 + b"a", b"abcdefgh" * 3 + b"\n", b" " * 40, b"One two three" + b" " * 40,
+])
+def test_few_words_over_pieces(text):
+    """A text of fewer words than a shingle has the hash of all its words, however many pieces it spans."""
+    whole = [h for part in simhash.shingle_hashes(text) for h in part]
+    assert len(whole) == (1 if text.strip() else 0)
+    assert [h for part in simhash.shingle_hashes(text, piece=7) for h in part] == whole
+    assert simhash.fingerprints_of([text]).any() == bool(whole)
+
+
 def test_anchors_cover_one_bit():
     rng = np.random.default_rng(1)
     halves = np.concatenate([rng.integers(0, 1 << 32, 500, dtype=np.uint64), np.array([0, 1, 1 << 31, (1 << 32) - 1], np.uint64)])
