@@ -87,9 +87,13 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees=TREES, depth=DEPTH, bins=BINS, rate=RATE, penalty=PENALTY) -> Trees:
-    """Fit logistic loss; without both classes the score is constant (0.5 without rows)."""
-    p = (y.sum() + 0.5) / (len(y) + 1.0)
+def fit(
+    x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None,
+    trees=TREES, depth=DEPTH, bins=BINS, rate=RATE, penalty=PENALTY,
+) -> Trees:
+    """Fit logistic loss, a row counting as often as its weight says; without both classes the score is constant (0.5 without rows)."""
+    w = np.ones(len(y)) if weights is None else weights
+    p = (w @ y + 0.5) / (w.sum() + 1.0)
     base, n_features, inner = float(np.log(p / (1 - p))), x.shape[1], (1 << depth) - 1
     empty = Trees(base, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1)))
     if len(np.unique(y)) < 2:
@@ -104,7 +108,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees=TREES, depth=DEPTH, bins=BINS, rate=
     kept = ([], [], [])
     for _ in range(trees):
         prob = 1 / (1 + np.exp(-total))
-        grad, hess = prob - y, prob * (1 - prob)
+        grad, hess = w * (prob - y), w * prob * (1 - prob)
         node = np.zeros(len(y), np.int64)
         features, values = np.zeros(inner, np.int64), np.full(inner, np.inf)
         for level in range(depth):
@@ -145,6 +149,14 @@ def document_statistics(documents: DataFrame, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(read, f"doc_id {kind}, features array<float>")
 
 
+def class_weights(allowed: DataFrame, chosen: DataFrame, y: np.ndarray) -> np.ndarray:
+    """For each label of ``y`` the inverse of the rate its class was sampled at; their mean is 1."""
+    totals, drawn = ({r["label"]: r["count"] for r in rows.groupBy("label").count().collect()} for rows in (allowed, chosen))
+    rates = np.array([totals.get(k, 0) / max(1, drawn.get(k, 0)) for k in (0, 1)])
+    weights = rates[y.astype(np.int64)]
+    return weights / weights.mean() if len(weights) else weights
+
+
 def quality_scores(
     documents: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held: int = 1,
     id_col: str = "doc_id", text_col: str = "text", most_per_class: int = MOST_PER_CLASS,
@@ -152,7 +164,8 @@ def quality_scores(
     """One row per input row: ``doc_id, held_out, score, predicted``.
 
     Learns from at most about ``most_per_class`` labelled rows of each class
-    whose ids are not held out. NULL and empty texts are scored by their
+    whose ids are not held out; weights give the classes back the shares they
+    have among all such rows, so scores do not depend on the bound. NULL and empty texts are scored by their
     (zero) statistics. NULL ids are scored, never learned from and not held
     out. Without labels of both classes the score is constant. An empty table
     gives no rows; other columns are ignored.
@@ -164,7 +177,7 @@ def quality_scores(
     x = np.array(rows.column("features").to_pylist(), np.float64).reshape(-1, len(NAMES))
     y = rows.column("label").to_numpy().astype(np.float64)
     order = np.lexsort((*x.T, y))
-    model = fit(x[order], y[order])
+    model = fit(x[order], y[order], class_weights(allowed, chosen, y[order]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

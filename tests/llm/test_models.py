@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leafstack.llm import language, llm_queries, quality, toxicity
 
@@ -66,6 +67,30 @@ def test_trees_split_and_stay_flat():
     assert quality.fit(x[:0], y[:0]).score(x[:3]).tolist() == [0.5] * 3
 
 
+def test_quality_does_not_depend_on_the_bound_of_the_sample(spark):
+    """Labels of 80 % ones, of which the text tells a little: a sample of equal classes must not halve the odds."""
+    docs = spark.range(4000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("some words and "), F.expr("repeat('x', int(id % 13))")).alias("text")
+    )
+    share = F.when(F.col("doc_id") % 13 < 6, 70).otherwise(90)
+    labels = docs.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(100)) < share).cast("int").alias("quality"))
+    whole, capped = (
+        quality.quality_scores(docs, labels, most_per_class=n).toPandas().sort_values("doc_id") for n in (10_000, 250)
+    )
+    assert (whole.predicted == 1).mean() > 0.95
+    assert (whole.predicted.values == capped.predicted.values).mean() > 0.95
+    assert abs(whole.score.mean() - capped.score.mean()) < 0.04
+
+
+def test_weights_count_as_copies():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 20, (600, 3)).astype(float)
+    y = (rng.random(600) < 0.2 + 0.03 * x[:, 0]).astype(float)
+    copies = np.where(y == 1, 3, 1)
+    weighted, repeated = quality.fit(x, y, copies.astype(float)), quality.fit(x.repeat(copies, axis=0), y.repeat(copies))
+    assert np.isclose(weighted.base, repeated.base) and np.abs(weighted.score(x) - repeated.score(x)).max() < 0.05
+
+
 def test_network_gradients(monkeypatch):
     rng = np.random.default_rng(0)
     net = toxicity.Network({b"aa": 0, b"bb": 1}, np.zeros(2))
