@@ -14,7 +14,7 @@ from ..functions.text import file_name
 from ..functions.udfs import hash_embed
 from . import vector_index
 from .documents import embed
-from .similarity import PROBES, ann_topk, topk
+from .similarity import RECALL, ann_topk, topk
 
 
 def recent_requests(turns: DataFrame, keep: int = HISTORY_TURNS) -> DataFrame:
@@ -83,7 +83,7 @@ def retrieve(
     vectors = embed(distinct, "query", fn, batch_size).select("query_id", "embedding")
     payload = ["content", "url", "path", "page_number"]
     if index is not None:
-        found = vector_index.search(vectors, index, k, PROBES if approximate else None)
+        found = vector_index.search(vectors, index, k, recall=RECALL if approximate else None)
         found = found.join(chunks.select("id", *payload), "id")
     else:
         found = (ann_topk if approximate else topk)(vectors, chunks, k, payload=payload)

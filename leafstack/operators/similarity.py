@@ -8,7 +8,8 @@ Three plans give it. If the query vectors are known to be few, they travel to
 the scan of the chunks, which keeps k per query and task and shuffles only
 these. Otherwise chunks are grouped around sampled leader vectors, each query
 visits cells of this grouping, and the visits run as a cogroup whose groups
-are split to a fixed size. Visiting a fixed number of cells is approximate;
+are split to a fixed size. Visiting a number of cells is approximate, by
+default as many as reach a recall measured on a sample of the queries;
 visiting every cell that a distance bound cannot rule out is exact.
 """
 
@@ -25,7 +26,10 @@ from ..functions.vectors import TopK, matrix, pack, prepare, squared, unpack
 from ..session import settled
 
 _METRICS = ("l2", "cosine")
+#: Cells of the first visit of an exact search, which only bounds the distance.
 PROBES = 32
+#: Of the true neighbours of so many sampled queries, an approximate search finds at least this share.
+RECALL, RECALL_QUERIES, RECALL_SEED = 0.95, 256, 17
 
 
 def _vectors(df: DataFrame, id_col: str) -> DataFrame:
@@ -200,6 +204,50 @@ def _probes(queries: DataFrame, shipped, stats, count: int | None, metric: str)
     return queries.mapInArrow(visit, schema)
 
 
+def probes_for_recall(
+    asked: DataFrame, held: DataFrame, leaders: np.ndarray, k: int, metric: str, skip_same: bool, recall: float,
+) -> int:
+    """The least number of nearest cells that hold the share ``recall`` of the neighbours of a sample of the queries.
+
+    The neighbours are found by comparing the sample (at most
+    ``RECALL_QUERIES``) with all vectors in one pass, which shuffles k rows
+    per query and task.
+    """
+    # Another hash than the leaders': vectors that are leaders find their neighbours in fewer cells.
+    some = asked.orderBy(F.xxhash64(F.lit(RECALL_SEED), "query_id"), "query_id").limit(RECALL_QUERIES).toArrow()
+    if not len(some):
+        return 1
+    vectors, ids = matrix(some.column("embedding")), some.column("query_id").to_pylist()
+    shipped = asked.sparkSession.sparkContext.broadcast((ids, vectors))
+
+    def scan(batches):
+        ids, vectors = shipped.value
+        best = TopK(vectors, ids, k, metric, skip_same)
+        known = np.zeros((0, 2), np.int64)
+        for batch in batches:
+            found = np.asarray(batch.column(0), dtype=np.int64)
+            best.add(found, unpack(batch.column(1)))
+            new = np.stack([found, np.asarray(batch.column(2), dtype=np.int64)], 1)
+            known = np.concatenate([known, new[np.isin(found, best.id)]])
+            known = known[np.isin(known[:, 0], best.id)]
+        found = best.table()
+        cell = dict(known.tolist())
+        yield pa.RecordBatch.from_arrays(
+            [*found.columns, pa.array([cell[i] for i in found.column(1).to_pylist()], pa.int32())],
+            names=["q", "id", "key", "cell"],
+        )
+
+    nearest = Window.partitionBy("q").orderBy("key", "id")
+    partial = held.select("id", "vector", "cell").mapInArrow(scan, "q int, id bigint, key double, cell int")
+    truth = partial.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= k).select("q", "cell").toArrow()
+    if not len(truth):
+        return 1
+    d = squared(prepare(vectors, metric), leaders)
+    rows, cells = truth.column("q").to_numpy(), truth.column("cell").to_numpy()
+    needed = np.sort((d[rows] <= d[rows, cells][:, None]).sum(1))
+    return int(needed[max(0, math.ceil(recall * len(needed)) - 1)])
+
+
 def _search(
     probes: DataFrame, cells: DataFrame, stats, k: int, metric: str, skip_same: bool, block: int
 ) -> DataFrame:
@@ -276,25 +324,29 @@ def ann_topk(
     queries: DataFrame, chunks: DataFrame, k: int = TOP_K, where: Column | str | None = None,
     metric: str = "l2", skip_same: bool = False, payload: list[str] | None = None,
     probes: int | None = None, cells: int | None = None, block: int = SEARCH_BLOCK_ROWS,
+    recall: float = RECALL,
 ) -> DataFrame:
     """Approximate top-k: each query looks into the ``probes`` nearest cells.
 
-    About sqrt(n) cells are made unless ``cells`` says otherwise. Vectors with
-    structure need few visits; on vectors spread evenly over a sphere no
-    grouping helps, and ``probes`` has to be a large share of the cells for
-    the same recall. A query whose cells hold fewer than k vectors visits all.
+    About sqrt(n) cells are made unless ``cells`` says otherwise. Without
+    ``probes``, as many cells are visited as hold the share ``recall`` of the
+    true neighbours of a sample of the queries. Vectors with structure need
+    few visits; on vectors spread evenly over a sphere no grouping helps, and
+    a large share of the cells is visited. A query whose cells hold fewer than k vectors visits all.
     """
     assert metric in _METRICS, metric
     if where is not None:
         chunks = chunks.filter(where)
     asked = settled(_vectors(queries, "query_id"))
     grouped = _grouped(chunks, k, metric, cells, skip_same)
-    return _attach(visit_cells(asked, grouped, k, metric, skip_same, probes, block, exact=False), chunks, payload)
+    return _attach(visit_cells(asked, grouped, k, metric, skip_same, probes, block, exact=False, recall=recall), chunks, payload)
 
 
-def visit_cells(asked, grouped, k, metric, skip_same, probes, block, exact):
+def visit_cells(asked, grouped, k, metric, skip_same, probes, block, exact, recall=RECALL):
     """Visit the nearest cells; with ``exact``, then all that the answer so far leaves possible.
 
+    Without ``exact`` and ``probes``, the number of cells follows from ``recall``.
+
     ``grouped`` has the leaders, the vectors with their cells, and per cell its
     number, size and radius.
     """
@@ -305,6 +357,8 @@ def visit_cells(asked, grouped, k, metric, skip_same, probes, block, exact):
             .limit(0), k, metric,
         )
     shipped = asked.sparkSession.sparkContext.broadcast(leaders)
+    if not exact and probes is None:
+        probes = probes_for_recall(asked, held, leaders, k, metric, skip_same, recall)
     count = min(len(leaders), probes or PROBES)
     near = settled(
         _probes(asked.withColumn("most", F.lit(float("inf"))), shipped, stats, count, metric)

@@ -107,13 +107,14 @@ def sync(spark: SparkSession, root: str, changes: DataFrame) -> int:
 
 def search(
     queries: DataFrame, root: str, k: int = TOP_K, probes: int | None = None, version: int | None = None,
-    skip_same: bool = False, block: int = SEARCH_BLOCK_ROWS,
+    skip_same: bool = False, block: int = SEARCH_BLOCK_ROWS, recall: float | None = None,
 ) -> DataFrame:
-    """Top-k of the stored vectors: exact, or of the ``probes`` nearest cells."""
+    """Top-k of the stored vectors: exact, or of the ``probes`` nearest cells, or of as many as ``recall`` needs."""
     spark = queries.sparkSession
     manifest = _manifest(spark, root, versions(spark, root)[-1] if version is None else version)
     leaders, metric = _leaders(spark, root)
     held = _cells(spark, root, manifest).select("id", "vector", "cell", "distance")
     stats = [(c, n, radius) for c, (_, n, radius) in sorted(manifest.items())]
     asked = settled(_vectors(queries, "query_id"))
-    return visit_cells(asked, (leaders, held, stats), k, metric, skip_same, probes, block, exact=probes is None)
+    return visit_cells(asked, (leaders, held, stats), k, metric, skip_same, probes, block,
+                       exact=probes is None and recall is None, recall=recall)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafstack.operators import similarity as sim
+from leafstack.operators import similarity as sim, vector_index
 
 SCHEMA = "id bigint, embedding array<float>"
 
@@ -103,6 +103,28 @@ def test_approximate_recall_on_vectors(spark):
     assert recall(spark, vectors) >= 0.9
 
 
+@pytest.mark.parametrize("shape", ["stored", "stored in 200 cells", "even"])
+def test_default_probes_reach_the_recall(spark, monkeypatch, shape):
+    """More cells than a fixed number of probes covers; fewer visits than cells, also on a stored index."""
+    if shape != "even":
+        df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id")
+        vectors, cells = np.array([r["embedding"] for r in df.collect()]), 200 if "200" in shape else None
+    else:
+        vectors, cells = np.random.default_rng(8).normal(size=(2000, 8)), 500
+    found, measure = [], sim.probes_for_recall
+    monkeypatch.setattr(sim, "probes_for_recall", lambda *a: found.append((measure(*a), len(a[2]))) or found[-1][0])
+    assert recall(spark, vectors, cells=cells) >= 0.9
+    assert len(found) == 1 and found[0][0] < found[0][1]
+
+
+def test_index_visits_as_many_cells_as_the_recall_needs(spark, tmp_path):
+    vectors = np.random.default_rng(9).normal(size=(1500, 16))
+    vector_index.create_index(frame(spark, vectors), str(tmp_path), cells=300)
+    found = vector_index.search(frame(spark, vectors, name="query_id"), str(tmp_path), 3, skip_same=True, recall=0.95)
+    got, want = ({x[:2] for x in rows} for rows in (answer(found), brute(vectors, vectors, 3, skip_same=True)))
+    assert len(got & want) / len(want) >= 0.9
+
+
 def test_few_probes_suffice_on_clusters(spark):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(40, 16))[rng.integers(0, 40, 1500)] * 4 + rng.normal(size=(1500, 16))
