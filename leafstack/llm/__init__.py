@@ -1,8 +1,8 @@
 """Operators for training-data corpora and their registered queries."""
 
-from . import contamination, exact_dedup, language, licenses, manifest, mixing, quality, secrets, simhash, suffix_dedup, token_files, toxicity
+from . import alignment, contamination, exact_dedup, language, licenses, manifest, mixing, quality, secrets, simhash, suffix_dedup, token_files, toxicity
 
-_MODULES = (contamination, exact_dedup, language, licenses, manifest, mixing, quality, secrets, simhash, suffix_dedup, token_files, toxicity)
+_MODULES = (alignment, contamination, exact_dedup, language, licenses, manifest, mixing, quality, secrets, simhash, suffix_dedup, token_files, toxicity)
 
 
 def llm_queries() -> dict:
