@@ -100,6 +100,19 @@ def _frame(docs: list[int], ids: list[np.ndarray], ends: list[np.ndarray]) -> pd
     })
 
 
+def _groups(ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray, common: np.ndarray) -> str:
+    """``a1,a2|b1;a3|b2,b3``: per group its A ids, then its B ids; every group has some of both."""
+    group = np.concatenate([np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)])
+    side = np.repeat([0, 1], [len(ids_a), len(ids_b)])
+    order = np.lexsort((side, group))
+    group, side, ids = group[order], side[order], np.concatenate([ids_a, ids_b])[order]
+    same = np.zeros(len(ids), bool)
+    same[:-1] = (group[1:] == group[:-1]) & (side[1:] == side[:-1])
+    seps = np.where(same, ",", np.where(side == 0, "|", ";"))
+    seps[-1] = ""
+    return "".join([f"{i}{s}" for i, s in zip(ids.tolist(), seps.tolist())])
+
+
 def align_batch(texts: list[str | None], a_path: str, b_path: str) -> tuple[list[tuple], pd.DataFrame]:
     """Per text ``(n_a, n_b, n_groups, n_links, groups)``, and the distinct linked id pairs of all texts.
 
@@ -128,19 +141,15 @@ def align_batch(texts: list[str | None], a_path: str, b_path: str) -> tuple[list
     fa, fb = _frame(docs, a_ids, a_ends), _frame(docs, b_ids, b_ends)
     fa, fb = fa.sort_values("start", kind="stable"), fb.sort_values("start", kind="stable")
     a_in_b = pd.merge_asof(fa, fb, on="start", by="doc", suffixes=("_a", "_b"))
-    b_in_a = pd.merge_asof(fb, fa, on="start", by="doc", suffixes=("_b", "_a"))
+    b_in_a = pd.merge_asof(fb, fa.assign(start_a=fa["start"]), on="start", by="doc", suffixes=("_b", "_a"))
     cols = ["doc", "pos_a", "pos_b", "id_a", "id_b"]
-    links = pd.concat([a_in_b[cols], b_in_a[cols]]).drop_duplicates(["doc", "pos_a", "pos_b"])
+    # A pair whose tokens start together is found from both sides; keep it once.
+    links = pd.concat([a_in_b[cols], b_in_a.loc[b_in_a["start"] != b_in_a["start_a"], cols]])
     per_doc = links.groupby("doc").size()
     pairs = links.groupby(["doc", "id_a", "id_b"]).size().reset_index(name="n")
     for d, ids_a, ends_a, ids_b, ends_b in zip(docs, a_ids, a_ends, b_ids, b_ends):
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        cut_a = np.searchsorted(ends_a, common, side="right")[:-1]
-        cut_b = np.searchsorted(ends_b, common, side="right")[:-1]
-        groups = ";".join(
-            ",".join(map(str, ga.tolist())) + "|" + ",".join(map(str, gb.tolist()))
-            for ga, gb in zip(np.split(ids_a, cut_a), np.split(ids_b, cut_b))
-        )
+        groups = _groups(ids_a, ends_a, ids_b, ends_b, common)
         out[d] = (len(ids_a), len(ids_b), len(common), int(per_doc[d]), groups)
     return out, pairs
 
