@@ -207,16 +207,31 @@ def _probes(queries: DataFrame, shipped, stats, count: int | None, metric: str)
 def probes_for_recall(
     asked: DataFrame, held: DataFrame, leaders: np.ndarray, k: int, metric: str, skip_same: bool, recall: float,
 ) -> int:
-    """The least number of nearest cells that hold the share ``recall`` of the neighbours of a sample of the queries.
+    """The least number of nearest cells that hold the share ``recall`` of the neighbours of a sample of the queries."""
+    return probes_from_curve(needed_cells(asked, held, leaders, k, metric, skip_same), recall)
 
-    The neighbours are found by comparing the sample (at most
-    ``RECALL_QUERIES``) with all vectors in one pass, which shuffles k rows
-    per query and task.
+
+def probes_from_curve(needed: np.ndarray, recall: float) -> int:
+    """The entry of a sorted curve that covers the share ``recall`` of its queries (1 for an empty one)."""
+    if not len(needed):
+        return 1
+    return int(needed[max(0, math.ceil(recall * len(needed)) - 1)])
+
+
+def needed_cells(
+    asked: DataFrame, held: DataFrame, leaders: np.ndarray, k: int, metric: str, skip_same: bool,
+    sample: int = RECALL_QUERIES,
+) -> np.ndarray:
+    """Sorted: per true neighbour of a sampled query, how many of the query's nearest cells reach its cell.
+
+    The neighbours are found by comparing the sample (at most ``sample``
+    queries) with all vectors in one pass, which shuffles k rows per query
+    and task.
     """
     # Another hash than the leaders': vectors that are leaders find their neighbours in fewer cells.
-    some = asked.orderBy(F.xxhash64(F.lit(RECALL_SEED), "query_id"), "query_id").limit(RECALL_QUERIES).toArrow()
+    some = asked.orderBy(F.xxhash64(F.lit(RECALL_SEED), "query_id"), "query_id").limit(sample).toArrow()
     if not len(some):
-        return 1
+        return np.zeros(0, np.int64)
     vectors, ids = matrix(some.column("embedding")), some.column("query_id").to_pylist()
     shipped = asked.sparkSession.sparkContext.broadcast((ids, vectors))
 
@@ -241,11 +256,10 @@ def probes_for_recall(
     partial = held.select("id", "vector", "cell").mapInArrow(scan, "q int, id bigint, key double, cell int")
     truth = partial.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= k).select("q", "cell").toArrow()
     if not len(truth):
-        return 1
+        return np.zeros(0, np.int64)
     d = squared(prepare(vectors, metric), leaders)
     rows, cells = truth.column("q").to_numpy(), truth.column("cell").to_numpy()
-    needed = np.sort((d[rows] <= d[rows, cells][:, None]).sum(1))
-    return int(needed[max(0, math.ceil(recall * len(needed)) - 1)])
+    return np.sort((d[rows] <= d[rows, cells][:, None]).sum(1))
 
 
 def _search(

@@ -8,21 +8,35 @@ its size and its radius; it is written last, so a version is there once its
 manifest is complete. Syncing rewrites the cells that changes touch and no
 others; searching reads the leaders, the manifest and the cells it visits, and
 groups nothing anew.
+
+A search first finds, per query, the cells to visit; only the directories of
+the visited cells are then given to the scan (the probe set is one row per
+cell at most). An exact search does so twice: the nearest cells give a bound,
+and the cells that the bound cannot rule out are read next.
+
+Recall is kept with the index: at create and at each sync a sample of
+``CURVE_VECTORS`` stored vectors is compared with all vectors once, and for
+each of them the number of nearest cells that hold its true neighbours is
+written to ``root/curve/version=N``. A search for a recall reads that curve
+and visits as many cells as it names, without a pass over the vectors.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..defaults import BROADCAST_VECTOR_BYTES, SEARCH_BLOCK_ROWS, TOP_K
 from ..functions.vectors import matrix, prepare
 from ..session import settled
 from ..sources.paths import levels
-from .similarity import _vectors, assign_cells, sample_leaders, visit_cells
+from .similarity import PROBES, _probes, _rank, _search, _vectors, assign_cells, sample_leaders
+from .similarity import needed_cells, probes_for_recall, probes_from_curve
 
 _CELL = "id bigint, vector binary, distance double"
+#: Stored vectors whose neighbours give the recall curve, and the k it is measured for.
+CURVE_VECTORS, CURVE_K = 256, TOP_K
 
 
 def versions(spark: SparkSession, root: str) -> list[int]:
@@ -72,9 +86,42 @@ def create_index(vectors: DataFrame, root: str, metric: str = "l2", cells: int |
     frame.withColumn("metric", F.lit(metric)).write.mode("overwrite").parquet(f"{root}/leaders")
     rows = assign_cells(held, prepare(leaders, metric), metric)
     _write(rows, root, 0, {}, ())
+    _write_curve(spark, root, 0)
     return 0
 
 
+def _write_curve(spark: SparkSession, root: str, version: int) -> None:
+    """Measure and store the recall curve of a version: one pass over its vectors."""
+    leaders, metric = _leaders(spark, root)
+    held = _cells(spark, root, _manifest(spark, root, version)).select("id", "vector", "cell")
+    needed = needed_cells(_stored_vectors(held), held, leaders, CURVE_K, metric, True, CURVE_VECTORS)
+    spark.createDataFrame([(int(n),) for n in needed], "needed int").coalesce(1).write.mode("overwrite").parquet(
+        f"{root}/curve/version={version}")
+
+
+def _stored_vectors(held: DataFrame) -> DataFrame:
+    """``query_id, embedding`` of stored rows, decoded from their packed floats."""
+    from ..functions.vectors import unpack
+
+    def decode(batches):
+        import pyarrow as pa
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(list(unpack(batch.column(1))), pa.list_(pa.float32()))],
+                names=["query_id", "embedding"])
+
+    return held.select("id", "vector").mapInArrow(decode, "query_id bigint, embedding array<float>")
+
+
+def curve(spark: SparkSession, root: str, version: int):
+    """The stored recall curve of a version, sorted; None for an index made before curves were kept."""
+    import numpy as np
+
+    if not levels(spark, f"{root}/curve/version={version}/_SUCCESS"):
+        return None
+    return np.sort(spark.read.parquet(f"{root}/curve/version={version}").toArrow().column("needed").to_numpy())
+
+
 def _leaders(spark: SparkSession, root: str):
     rows = spark.read.parquet(f"{root}/leaders").orderBy("cell").toArrow()
     metric = rows.column("metric")[0].as_py()
@@ -82,26 +129,32 @@ def _leaders(spark: SparkSession, root: str):
 
 
 def sync(spark: SparkSession, root: str, changes: DataFrame) -> int:
-    """Apply a change feed of ``id, embedding``; returns the version that holds the result.
-
-    Removed ids are looked up in the index by a join that reads ids only. The
-    cells they were in and the cells that new vectors fall into are written
-    anew. Without changes there is no new version.
+    """Apply a change feed of ``id, change, embedding``; returns the version that holds the result.
+
+    Every id that the feed names leaves its cell first; the rows after the
+    change (``insert``, ``update_post``; one per id) come in. Ids are looked
+    up in the index by a join that reads ids only. The cells they were in and
+    the cells that new vectors fall into are written anew, and the recall
+    curve is measured again. A feed that changes nothing, such as one applied
+    twice, gives no new version.
     """
     version = versions(spark, root)[-1]
     manifest = _manifest(spark, root, version)
     leaders, metric = _leaders(spark, root)
     changes = settled(changes)
-    gone = changes.filter(F.col("change").isin("update_pre", "delete")).select("id").distinct()
-    live = changes.filter(F.col("change").isin("insert", "update_post"))
+    named = changes.select("id").distinct()
+    live = changes.filter(F.col("change").isin("insert", "update_post")).dropDuplicates(["id"])
     fresh = settled(assign_cells(_vectors(live, "id"), leaders, metric))
-    lost = _cells(spark, root, manifest).select("id", "cell").join(gone, "id", "left_semi")
+    lost = _cells(spark, root, manifest).select("id", "cell").join(named, "id", "left_semi")
     touched = {r["cell"] for r in lost.select("cell").union(fresh.select("cell")).distinct().collect()}
     if not touched:
         return version
     old = _cells(spark, root, manifest, touched).select("id", "vector", "cell", "distance")
-    rows = old.join(gone, "id", "left_anti").unionByName(fresh)
+    rows = settled(old.join(named, "id", "left_anti").unionByName(fresh))
+    if rows.exceptAll(old).isEmpty() and old.exceptAll(rows).isEmpty():
+        return version
     _write(rows, root, version + 1, manifest, touched)
+    _write_curve(spark, root, version + 1)
     return version + 1
 
 
@@ -109,12 +162,44 @@ def search(
     queries: DataFrame, root: str, k: int = TOP_K, probes: int | None = None, version: int | None = None,
     skip_same: bool = False, block: int = SEARCH_BLOCK_ROWS, recall: float | None = None,
 ) -> DataFrame:
-    """Top-k of the stored vectors: exact, or of the ``probes`` nearest cells, or of as many as ``recall`` needs."""
+    """Top-k of the stored vectors: exact, or of the ``probes`` nearest cells, or of as many as ``recall`` needs.
+
+    Only the directories of visited cells are read. With ``recall``, the
+    number of cells comes from the curve stored with the version.
+    """
     spark = queries.sparkSession
-    manifest = _manifest(spark, root, versions(spark, root)[-1] if version is None else version)
+    version = versions(spark, root)[-1] if version is None else version
+    manifest = _manifest(spark, root, version)
     leaders, metric = _leaders(spark, root)
-    held = _cells(spark, root, manifest).select("id", "vector", "cell", "distance")
     stats = [(c, n, radius) for c, (_, n, radius) in sorted(manifest.items())]
     asked = settled(_vectors(queries, "query_id"))
-    return visit_cells(asked, (leaders, held, stats), k, metric, skip_same, probes, block,
-                       exact=probes is None and recall is None, recall=recall)
+    if not stats:
+        return _rank(asked.select("query_id", F.lit(0).cast("bigint").alias("id"), F.lit(0.0).alias("key")).limit(0), k, metric)
+    if probes is None and recall is not None:
+        stored = curve(spark, root, version)
+        probes = probes_from_curve(stored, recall) if stored is not None else probes_for_recall(
+            asked, _cells(spark, root, manifest).select("id", "vector", "cell"), leaders, k, metric, skip_same, recall)
+    shipped = spark.sparkContext.broadcast(leaders)
+
+    def visit(probed: DataFrame) -> DataFrame:
+        cells = sorted(r["cell"] for r in probed.select("cell").distinct().collect())
+        held = _cells(spark, root, manifest, cells).select("id", "vector", "cell", "distance")
+        return _search(probed, held, stats, k, metric, skip_same, block)
+
+    unbounded = asked.withColumn("most", F.lit(float("inf")))
+    count = min(len(leaders), probes or PROBES)
+    first = visit(settled(_probes(unbounded, shipped, stats, count, metric)))
+    if probes is not None:
+        first = settled(first)
+        full = first.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
+        short = settled(asked.join(full, "query_id", "left_anti"))
+        if count < len(leaders) and not short.isEmpty():
+            every = settled(_probes(short.withColumn("most", F.lit(float("inf"))), shipped, stats, len(leaders), metric))
+            first = first.join(full, "query_id", "left_semi").unionByName(visit(every))
+        return _rank(first, k, metric)
+    nearest = Window.partitionBy("query_id").orderBy("key", "id")
+    bounds = first.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") == k).select(
+        "query_id", F.col("key").alias("most"))
+    bounded = asked.join(bounds, "query_id", "left").select(
+        "query_id", "embedding", F.coalesce("most", F.lit(float("inf"))).alias("most"))
+    return _rank(visit(settled(_probes(bounded, shipped, stats, None, metric))), k, metric)

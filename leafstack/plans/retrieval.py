@@ -61,6 +61,29 @@ def d7_ann_all_cells(spark, sf):
     return _answer(similarity.ann_topk(label_queries(spark, sf), vectors(spark, sf), probes=1 << 30))
 
 
+def d7_ann_recall(spark, sf):
+    """A stored index searched for its default recall by every vector whose id is divisible by 50.
+
+    One row: the number of queries, whether at least 0.9 of their true
+    neighbours (all vectors, exact) were found, and whether the search
+    visits fewer cells than the index holds. The number of cells comes from
+    the curve stored with the index, so the search reads no other cell.
+    """
+    rows = vectors(spark, sf).select("id", "embedding")
+    root = scratch_path(spark, "index")
+    version = vector_index.create_index(rows, root)
+    queries = rows.filter(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), "embedding")
+    truth = similarity.topk(queries, rows, skip_same=True).select("query_id", "id")
+    found = vector_index.search(queries, root, recall=similarity.RECALL, skip_same=True)
+    probes = similarity.probes_from_curve(vector_index.curve(spark, root, version), similarity.RECALL)
+    cells = len(vector_index._manifest(spark, root, version))
+    hits = truth.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return hits.agg(
+        F.countDistinct("query_id").alias("n_queries"),
+        (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_ok"),
+    ).withColumn("fewer_cells", F.lit(probes < cells))
+
+
 def e6_sync_vectors(spark, sf):
     """A stored index brought from one version of the vectors to the next, then searched exactly.
 
@@ -96,7 +119,7 @@ def f7_mean_metrics(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    d6_topk, d6_topk_cosine, d6_topk_filtered, d6_topk_grouped, d7_ann_topk, d7_ann_all_cells, e6_sync_vectors, f7_retriever_metrics,
+    d6_topk, d6_topk_cosine, d6_topk_filtered, d6_topk_grouped, d7_ann_topk, d7_ann_all_cells, d7_ann_recall, e6_sync_vectors, f7_retriever_metrics,
     f7_mean_metrics,
 )}
 
@@ -133,6 +156,8 @@ ORACLES = {
     "d6_topk": _L2_TOPK,
     "d6_topk_grouped": _L2_TOPK,
     "d7_ann_all_cells": _L2_TOPK,
+    "d7_ann_recall": """select count(*) as n_queries, true as recall_ok, true as fewer_cells
+from embeddings where vec_id % 50 = 0""",
     "e6_sync_vectors": fx.with_ctes(
         _TOPK.format(score="1 / (1 + key)"), _QUERY,
         """changed as (select vec_id, label, case when label = 5 then list_transform(embedding, lambda x: -x) else embedding end as embedding

@@ -48,3 +48,51 @@ def test_cell_that_loses_all_its_vectors(spark):
     vi.create_index(old, root, cells=3)
     vi.sync(spark, root, old.filter("id = 2").selectExpr("'delete' change", "id", "embedding"))
     assert {x[1] for x in answer(vi.search(frame(spark, [[9, 9]], name="query_id"), root, 3))} == {0, 1}
+
+
+def _cell_dirs(df):
+    return {p.split("cell=")[1].split("/")[0] for p in df.inputFiles() if "cell=" in p}
+
+
+def test_search_reads_only_visited_cells(spark, data, monkeypatch):
+    root = scratch_path(spark, "index")
+    vi.create_index(frame(spark, data), root, cells=20)
+    queries = frame(spark, data[[3, 200, 400]], name="query_id")
+    scans, read = [], vi._cells
+
+    def listed(*args, **kwargs):
+        df = read(*args, **kwargs)
+        scans.append(_cell_dirs(df))
+        return df
+
+    monkeypatch.setattr(vi, "_cells", listed)
+    answer(vi.search(queries, root, 2, probes=2))
+    assert len(scans) == 1 and 1 <= len(scans[0]) <= 6
+    exact = vi.search(queries, root, 2)
+    assert answer(exact) == answer(similarity.topk(queries, frame(spark, data), 2))
+
+
+def test_recall_curve_is_stored_and_kept(spark, data):
+    root = scratch_path(spark, "index")
+    old = frame(spark, data)
+    vi.create_index(old, root, cells=20)
+    stored = vi.curve(spark, root, 0)
+    assert stored is not None and 0 < len(stored) <= vi.CURVE_VECTORS * vi.CURVE_K and list(stored) == sorted(stored)
+    queries = frame(spark, data[::10], name="query_id")
+    truth = {(q, i) for q, i, *_ in answer(similarity.topk(queries, old, 3))}
+    got = {(q, i) for q, i, *_ in answer(vi.search(queries, root, 3, recall=0.9))}
+    assert len(truth & got) >= 0.9 * len(truth)
+    gone = old.filter("id < 5").selectExpr("'delete' change", "id", "embedding")
+    assert vi.sync(spark, root, gone) == 1 and vi.curve(spark, root, 1) is not None
+
+
+def test_a_feed_applied_twice_gives_one_version(spark, data):
+    root = scratch_path(spark, "index")
+    old = frame(spark, data[:300])
+    vi.create_index(old, root, cells=10)
+    new = frame(spark, np.vstack([data[:300], data[300:320]]), list(range(320)))
+    feed = changes.change_feed(old, new, ["id"])
+    assert vi.sync(spark, root, feed) == 1
+    assert vi.sync(spark, root, feed) == 1
+    found = answer(vi.search(frame(spark, data[305:306], name="query_id"), root, 3))
+    assert len({x[1] for x in found}) == 3 and 305 in {x[1] for x in found}
