@@ -77,14 +77,16 @@ class Lattice:
             piece[node] = k
         edges = [(n * width + c, to) for n, kids in enumerate(children) for c, to in kids.items()]
         keys, to = np.array(sorted(edges), np.int64).T
+        # sparse edges: one sorted key (node, letter) per edge, found by binary search
         self.width, self.unknown = width, len(vocab)
-        # a dense table for the nodes, those without children share one row
-        inner = np.array([bool(kids) for kids in children])
-        row = np.where(inner, np.cumsum(inner), 0)
-        self.next = np.zeros((int(inner.sum()) + 1, width), np.int32)
-        self.next[row[keys // width], keys % width] = to
-        row[0] = 0  # no match leads nowhere, only a first letter starts at the root
-        self.row, self.piece = row.astype(np.int32), np.array(piece, np.int32)
+        self.keys, self.to = keys, to.astype(np.int32)
+        self.piece = np.array(piece, np.int32)
+
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The child of each node by each letter; 0 where there is none."""
+        wanted = node.astype(np.int64) * self.width + code
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.to[at], 0)
 
     def pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``[length - 1, place, word]`` piece numbers, -1 where there is none, and the words' lengths.
@@ -102,7 +104,9 @@ class Lattice:
         found = np.empty((self.depth, longest, len(words)), np.int32)
         node = np.zeros((longest, len(words)), np.int32)
         for length in range(self.depth):
-            node = self.next[self.row[node] if length else 1, codes[length:length + longest]]
+            letters = codes[length:length + longest]
+            # only a first letter starts at the root; no match leads nowhere
+            node = self.step(node, letters) if not length else np.where(node > 0, self.step(node, letters), 0)
             found[length] = np.where(node > 0, self.piece[node], -1)
         inside = np.arange(longest)[:, None] < sizes[None, :]
         found[0] = np.where(inside & (found[0] < 0), self.unknown, found[0])
