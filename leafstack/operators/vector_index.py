@@ -50,18 +50,32 @@ def _manifest(spark: SparkSession, root: str, version: int) -> dict[int, tuple[i
     return {r["cell"]: (r["held"], r["n"], r["radius"]) for r in rows}
 
 
+def payload_schema(spark: SparkSession, root: str) -> str:
+    """DDL of the payload columns stored beside the vectors ('' for none)."""
+    if not levels(spark, f"{root}/payload/_SUCCESS"):
+        return ""
+    found = spark.read.parquet(f"{root}/payload").schema
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.fields)
+
+
+def _schema(spark: SparkSession, root: str) -> str:
+    extra = payload_schema(spark, root)
+    return f"{_CELL}, {extra}" if extra else _CELL
+
+
 def _cells(spark: SparkSession, root: str, manifest: dict, cells=None) -> DataFrame:
     chosen = [(c, manifest[c][0]) for c in (manifest if cells is None else cells) if c in manifest]
     paths = [f"{root}/data/version={v}/cell={c}" for c, v in chosen]
+    schema = f"{_schema(spark, root)}, version int, cell int"
     if not paths:
-        return spark.createDataFrame([], f"{_CELL}, version int, cell int")
-    return spark.read.option("basePath", f"{root}/data").schema(f"{_CELL}, version int, cell int").parquet(*paths)
+        return spark.createDataFrame([], schema)
+    return spark.read.option("basePath", f"{root}/data").schema(schema).parquet(*paths)
 
 
 def _write(rows: DataFrame, root: str, version: int, manifest: dict, touched) -> None:
     spark = rows.sparkSession
     rows.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{root}/data/version={version}")
-    written = spark.read.schema(f"{_CELL}, cell int").parquet(f"{root}/data/version={version}") if not rows.isEmpty() else rows
+    written = spark.read.schema(f"{_schema(spark, root)}, cell int").parquet(f"{root}/data/version={version}") if not rows.isEmpty() else rows
     stats = written.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius")).collect()
     kept = {c: held for c, held in manifest.items() if c not in touched}
     kept |= {r["cell"]: (version, r["n"], r["radius"]) for r in stats}
@@ -71,10 +85,31 @@ def _write(rows: DataFrame, root: str, version: int, manifest: dict, touched) ->
     )
 
 
-def create_index(vectors: DataFrame, root: str, metric: str = "l2", cells: int | None = None) -> int:
-    """Make the index from ``id, embedding``; about sqrt(n) cells unless ``cells`` says otherwise."""
+def _with_payload(vectors: DataFrame, payload) -> DataFrame:
+    """``id, embedding`` and the payload columns, rows without either left out."""
+    return _vectors(vectors, "id") if not payload else vectors.select(
+        "id", F.col("embedding").cast("array<float>").alias("embedding"), *payload
+    ).filter(F.col("id").isNotNull() & F.col("embedding").isNotNull())
+
+
+def _placed(vectors: DataFrame, leaders, metric: str, payload) -> DataFrame:
+    """Rows of cells: the nearest leader of each vector, and its payload beside it (ids are unique)."""
+    rows = assign_cells(vectors.select("id", "embedding"), leaders, metric)
+    return rows.join(vectors.select("id", *payload), "id") if payload else rows
+
+
+def create_index(
+    vectors: DataFrame, root: str, metric: str = "l2", cells: int | None = None, payload: tuple[str, ...] = (),
+) -> int:
+    """Make the index from ``id, embedding``; about sqrt(n) cells unless ``cells`` says otherwise.
+
+    ``payload`` names columns stored in the cells beside the vectors, so a
+    search can filter on them at the scan and return them without a join.
+    """
     spark = vectors.sparkSession
-    held = settled(_vectors(vectors, "id"))
+    held = settled(_with_payload(vectors, payload))
+    if payload:
+        held.select(*payload).limit(0).write.mode("overwrite").parquet(f"{root}/payload")
     total = held.count()
     if not total:
         raise ValueError("an index needs a vector to start from")
@@ -84,7 +119,7 @@ def create_index(vectors: DataFrame, root: str, metric: str = "l2", cells: int |
     table = [(k, [float(x) for x in v]) for k, v in enumerate(leaders)]
     frame = spark.createDataFrame(table, "cell int, embedding array<float>")
     frame.withColumn("metric", F.lit(metric)).write.mode("overwrite").parquet(f"{root}/leaders")
-    rows = assign_cells(held, prepare(leaders, metric), metric)
+    rows = _placed(held, prepare(leaders, metric), metric, list(payload))
     _write(rows, root, 0, {}, ())
     _write_curve(spark, root, 0)
     return 0
@@ -144,12 +179,13 @@ def sync(spark: SparkSession, root: str, changes: DataFrame) -> int:
     changes = settled(changes)
     named = changes.select("id").distinct()
     live = changes.filter(F.col("change").isin("insert", "update_post")).dropDuplicates(["id"])
-    fresh = settled(assign_cells(_vectors(live, "id"), leaders, metric))
+    payload = [c.split("`")[1] for c in payload_schema(spark, root).split(", ") if c]
+    fresh = settled(_placed(_with_payload(live, payload), leaders, metric, payload))
     lost = _cells(spark, root, manifest).select("id", "cell").join(named, "id", "left_semi")
     touched = {r["cell"] for r in lost.select("cell").union(fresh.select("cell")).distinct().collect()}
     if not touched:
         return version
-    old = _cells(spark, root, manifest, touched).select("id", "vector", "cell", "distance")
+    old = _cells(spark, root, manifest, touched).drop("version")
     rows = settled(old.join(named, "id", "left_anti").unionByName(fresh))
     if rows.exceptAll(old).isEmpty() and old.exceptAll(rows).isEmpty():
         return version
@@ -161,11 +197,16 @@ def sync(spark: SparkSession, root: str, changes: DataFrame) -> int:
 def search(
     queries: DataFrame, root: str, k: int = TOP_K, probes: int | None = None, version: int | None = None,
     skip_same: bool = False, block: int = SEARCH_BLOCK_ROWS, recall: float | None = None,
+    where: str | None = None, payload: list[str] | None = None,
 ) -> DataFrame:
     """Top-k of the stored vectors: exact, or of the ``probes`` nearest cells, or of as many as ``recall`` needs.
 
     Only the directories of visited cells are read. With ``recall``, the
-    number of cells comes from the curve stored with the version.
+    number of cells comes from the curve stored with the version. ``where``
+    filters on stored payload columns inside the scan (Parquet skips row
+    groups whose ranges cannot match); an exact search stays exact, as its
+    bound comes from the filtered answer. ``payload`` names stored columns
+    to return with each answer.
     """
     spark = queries.sparkSession
     version = versions(spark, root)[-1] if version is None else version
@@ -181,10 +222,20 @@ def search(
             asked, _cells(spark, root, manifest).select("id", "vector", "cell"), leaders, k, metric, skip_same, recall)
     shipped = spark.sparkContext.broadcast(leaders)
 
+    seen: set[int] = set()
+
     def visit(probed: DataFrame) -> DataFrame:
         cells = sorted(r["cell"] for r in probed.select("cell").distinct().collect())
-        held = _cells(spark, root, manifest, cells).select("id", "vector", "cell", "distance")
-        return _search(probed, held, stats, k, metric, skip_same, block)
+        seen.update(cells)
+        held = _cells(spark, root, manifest, cells)
+        held = held.filter(where) if where is not None else held
+        return _search(probed, held.select("id", "vector", "cell", "distance"), stats, k, metric, skip_same, block)
+
+    def attach(found: DataFrame) -> DataFrame:
+        """Payload of the answers, from the cells visited (the answers lie in them)."""
+        if not payload:
+            return found
+        return found.join(_cells(spark, root, manifest, sorted(seen)).select("id", *payload), "id")
 
     unbounded = asked.withColumn("most", F.lit(float("inf")))
     count = min(len(leaders), probes or PROBES)
@@ -196,10 +247,10 @@ def search(
         if count < len(leaders) and not short.isEmpty():
             every = settled(_probes(short.withColumn("most", F.lit(float("inf"))), shipped, stats, len(leaders), metric))
             first = first.join(full, "query_id", "left_semi").unionByName(visit(every))
-        return _rank(first, k, metric)
+        return attach(_rank(first, k, metric))
     nearest = Window.partitionBy("query_id").orderBy("key", "id")
     bounds = first.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") == k).select(
         "query_id", F.col("key").alias("most"))
     bounded = asked.join(bounds, "query_id", "left").select(
         "query_id", "embedding", F.coalesce("most", F.lit(float("inf"))).alias("most"))
-    return _rank(visit(settled(_probes(bounded, shipped, stats, None, metric))), k, metric)
+    return attach(_rank(visit(settled(_probes(bounded, shipped, stats, None, metric))), k, metric))

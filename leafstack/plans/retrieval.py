@@ -61,6 +61,21 @@ def d7_ann_all_cells(spark, sf):
     return _answer(similarity.ann_topk(label_queries(spark, sf), vectors(spark, sf), probes=1 << 30))
 
 
+def d6_index_filtered(spark, sf):
+    """The filtered top-5 of ``d6_topk_filtered``, searched in a stored index whose cells hold the label."""
+    root = scratch_path(spark, "index")
+    vector_index.create_index(vectors(spark, sf), root, payload=("label",))
+    return _answer(vector_index.search(label_queries(spark, sf), root, k=5, where="label >= 3"))
+
+
+def d6_index_payload(spark, sf):
+    """Exact top-3 from a stored index, with the label read from the index's own cells."""
+    root = scratch_path(spark, "index")
+    vector_index.create_index(vectors(spark, sf), root, payload=("label",))
+    found = vector_index.search(label_queries(spark, sf), root, payload=["label"])
+    return _answer(found).join(found.select("query_id", "id", F.col("label").cast("bigint").alias("label")), ["query_id", "id"])
+
+
 def d7_ann_recall(spark, sf):
     """A stored index searched for its default recall by every vector whose id is divisible by 50.
 
@@ -119,7 +134,7 @@ def f7_mean_metrics(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    d6_topk, d6_topk_cosine, d6_topk_filtered, d6_topk_grouped, d7_ann_topk, d7_ann_all_cells, d7_ann_recall, e6_sync_vectors, f7_retriever_metrics,
+    d6_topk, d6_topk_cosine, d6_topk_filtered, d6_topk_grouped, d7_ann_topk, d7_ann_all_cells, d7_ann_recall, d6_index_filtered, d6_index_payload, e6_sync_vectors, f7_retriever_metrics,
     f7_mean_metrics,
 )}
 
@@ -168,6 +183,12 @@ from embeddings where vec_id % 50 = 0""",
     "d6_topk_filtered": fx.with_ctes(
         _TOPK.format(score="1 / (1 + key)"), _QUERY, _ranked(_L2, 5, "c.label >= 3")
     ),
+    "d6_index_filtered": fx.with_ctes(
+        _TOPK.format(score="1 / (1 + key)"), _QUERY, _ranked(_L2, 5, "c.label >= 3")
+    ),
+    "d6_index_payload": fx.with_ctes(
+        "select query_id::bigint as query_id, id, rank, round(1 / (1 + key), 6) as score, label::bigint as label from ranked",
+        _QUERY, _ranked(_L2, 3)),
     "f7_retriever_metrics": fx.with_ctes(
         "select question, round(precision, 6) as precision, recall, round(ndcg, 6) as ndcg from metrics", _QUERY, _ranked(_L2, 3), _METRICS),
     "f7_mean_metrics": fx.with_ctes(

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from leafstack.operators import changes, similarity, vector_index as vi
@@ -96,3 +97,19 @@ def test_a_feed_applied_twice_gives_one_version(spark, data):
     assert vi.sync(spark, root, feed) == 1
     found = answer(vi.search(frame(spark, data[305:306], name="query_id"), root, 3))
     assert len({x[1] for x in found}) == 3 and 305 in {x[1] for x in found}
+
+
+def test_payload_and_filter_inside_the_index(spark, data):
+    root = scratch_path(spark, "index")
+    rows = frame(spark, data).withColumn("label", (F.col("id") % 7).cast("int"))
+    vi.create_index(rows, root, cells=20, payload=("label",))
+    queries = frame(spark, data[::60], name="query_id")
+    got = answer(vi.search(queries, root, 4, where="label >= 3"))
+    assert got == answer(similarity.topk(queries, rows, 4, where="label >= 3"))
+    found = vi.search(queries, root, 4, payload=["label"]).collect()
+    assert found and all(r.label == r.id % 7 for r in found)
+    feed = changes.change_feed(rows.filter("id < 590"), rows, ["id"])
+    vi.sync(spark, root, changes.change_feed(rows, rows.filter("id < 590"), ["id"]))
+    assert vi.sync(spark, root, feed) == 2
+    again = vi.search(queries, root, 4, where="label >= 3")
+    assert answer(again) == got
