@@ -21,6 +21,7 @@ both back to the documents' links.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -41,6 +43,8 @@ OUT = f"n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, l
 # Fixed values of the public formats: sentencepiece's space mark and byte pieces.
 SPACE_MARK = "▁"
 BYTE_PIECE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
+#: Fixed values of the contract's group format: within a side, between sides, between groups, at the end.
+SEPARATORS = pa.array([",", "|", ";", ""])
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -65,7 +69,7 @@ def tokenizer_a(path: str):
     pieces = [b""] * size
     for text, i in tok.get_vocab(with_added_tokens=True).items():
         pieces[i] = bytes(alphabet[c] for c in text) if all(c in alphabet for c in text) else text.encode()
-    return tok, pieces
+    return tok, pieces, np.fromiter(map(len, pieces), np.int64, len(pieces))
 
 
 @lru_cache(maxsize=1)
@@ -78,48 +82,51 @@ def tokenizer_b(path: str):
         piece = sp.id_to_piece(i)
         hexed = BYTE_PIECE.fullmatch(piece) if sp.is_byte(i) else None
         pieces.append(bytes([int(hexed.group(1), 16)]) if hexed else piece.replace(SPACE_MARK, " ").encode())
-    return sp, pieces
+    return sp, pieces, np.fromiter(map(len, pieces), np.int64, len(pieces))
 
 
-def _tokens(ids: list[int], pieces: list[bytes], target: bytes) -> np.ndarray | None:
+def _tokens(ids: list[int], pieces: list[bytes], sizes: np.ndarray, target: bytes) -> np.ndarray | None:
     """Token ends, or None when the tokens' bytes are not the target."""
-    parts = [pieces[i] for i in ids]
-    if b"".join(parts) != target:
+    if b"".join(map(pieces.__getitem__, ids)) != target:
         return None
-    return np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
+    return np.cumsum(sizes[np.asarray(ids, np.int64)])
 
 
-def _frame(docs: list[int], ids: list[np.ndarray], ends: list[np.ndarray]) -> pd.DataFrame:
-    if not docs:
-        return pd.DataFrame({"doc": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "pos": np.zeros(0, np.int64)})
+def _frame(docs: list[int], ids: list[np.ndarray], ends: list[np.ndarray], offsets: np.ndarray) -> pd.DataFrame:
+    """Tokens of all texts: ``start`` counts bytes from the batch's first text, so it ascends without a sort."""
     lengths = [len(e) for e in ends]
-    starts = np.concatenate([np.concatenate([[0], e[:-1]]) for e in ends])
+    starts = np.concatenate([np.concatenate([[0], e[:-1]]) for e in ends]) + np.repeat(offsets, lengths)
     return pd.DataFrame({
         "doc": np.repeat(np.asarray(docs, np.int64), lengths), "start": starts,
         "pos": np.concatenate([np.arange(n) for n in lengths]), "id": np.concatenate(ids),
     })
 
 
-def _groups(ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray, common: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``: per group its A ids, then its B ids; every group has some of both."""
+def _groups(ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray, common: np.ndarray) -> bytes:
+    """``a1,a2|b1;a3|b2,b3`` as UTF-8: per group its A ids, then its B ids; every group has some of both."""
     group = np.concatenate([np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)])
     side = np.repeat([0, 1], [len(ids_a), len(ids_b)])
     order = np.lexsort((side, group))
     group, side, ids = group[order], side[order], np.concatenate([ids_a, ids_b])[order]
     same = np.zeros(len(ids), bool)
     same[:-1] = (group[1:] == group[:-1]) & (side[1:] == side[:-1])
-    seps = np.where(same, ",", np.where(side == 0, "|", ";"))
-    seps[-1] = ""
-    return "".join([f"{i}{s}" for i, s in zip(ids.tolist(), seps.tolist())])
+    code = np.where(same, 0, np.where(side == 0, 1, 2))
+    code[-1] = 3
+    # each id with its separator, then the values' bytes as Arrow holds them: one after the other
+    seps = SEPARATORS.take(pa.array(code))
+    joined = pc.binary_join_element_wise(pc.cast(pa.array(ids), pa.string()), seps, "")
+    offsets = np.frombuffer(joined.buffers()[1], np.int32)
+    return joined.buffers()[2].to_pybytes()[offsets[0]:offsets[len(joined)]]
 
 
 def align_batch(texts: list[str | None], a_path: str, b_path: str) -> tuple[list[tuple], pd.DataFrame]:
-    """Per text ``(n_a, n_b, n_groups, n_links, groups)``, and the distinct linked id pairs of all texts.
+    """Per text ``(n_a, n_b, n_groups, n_links, groups_sha256)``, and the distinct linked id pairs of all texts.
 
     The pairs (``doc, id_a, id_b, n``: text, ids, occurrences) are sorted by text.
     """
-    tok_a, pieces_a = tokenizer_a(a_path)
-    sp, pieces_b = tokenizer_b(b_path)
+    tok_a, pieces_a, sizes_a = tokenizer_a(a_path)
+    sp, pieces_b, sizes_b = tokenizer_b(b_path)
+    assert max(len(pieces_a), len(pieces_b)) <= 1 << 16, "pair keys hold ids of 16 bits"
     live = [k for k, t in enumerate(texts) if t]
     enc_a = tok_a.encode_batch([" " + texts[k] for k in live], add_special_tokens=False) if live else []
     enc_b = sp.encode([texts[k] for k in live]) if live else []
@@ -128,7 +135,7 @@ def align_batch(texts: list[str | None], a_path: str, b_path: str) -> tuple[list
     docs, a_ids, a_ends, b_ids, b_ends = [], [], [], [], []
     for k, ea, eb in zip(live, enc_a, enc_b):
         target = (" " + texts[k]).encode()
-        ends_a, ends_b = _tokens(ea.ids, pieces_a, target), _tokens(eb, pieces_b, target)
+        ends_a, ends_b = _tokens(ea.ids, pieces_a, sizes_a, target), _tokens(eb, pieces_b, sizes_b, target)
         if ends_a is None or ends_b is None or not len(ends_a):
             continue
         docs.append(k)
@@ -138,23 +145,28 @@ def align_batch(texts: list[str | None], a_path: str, b_path: str) -> tuple[list
         b_ends.append(ends_b)
     if not docs:
         return out, none
-    fa, fb = _frame(docs, a_ids, a_ends), _frame(docs, b_ids, b_ends)
-    fa, fb = fa.sort_values("start", kind="stable"), fb.sort_values("start", kind="stable")
+    offsets = np.concatenate([[0], np.cumsum([e[-1] for e in a_ends])[:-1]])
+    fa, fb = _frame(docs, a_ids, a_ends, offsets), _frame(docs, b_ids, b_ends, offsets)
     a_in_b = pd.merge_asof(fa, fb, on="start", by="doc", suffixes=("_a", "_b"))
     b_in_a = pd.merge_asof(fb, fa.assign(start_a=fa["start"]), on="start", by="doc", suffixes=("_b", "_a"))
     cols = ["doc", "pos_a", "pos_b", "id_a", "id_b"]
     # A pair whose tokens start together is found from both sides; keep it once.
     links = pd.concat([a_in_b[cols], b_in_a.loc[b_in_a["start"] != b_in_a["start_a"], cols]])
     per_doc = links.groupby("doc").size()
-    pairs = links.groupby(["doc", "id_a", "id_b"]).size().reset_index(name="n")
+    # one key per (text, A id, B id): ids fit in 16 bits each
+    key, n = np.unique((links["doc"].to_numpy() << 32) | (links["id_a"].to_numpy() << 16) | links["id_b"].to_numpy(),
+                       return_counts=True)
+    pairs = pd.DataFrame({"doc": key >> 32, "id_a": (key >> 16) & 0xFFFF, "id_b": key & 0xFFFF, "n": n})
     for d, ids_a, ends_a, ids_b, ends_b in zip(docs, a_ids, a_ends, b_ids, b_ends):
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         groups = _groups(ids_a, ends_a, ids_b, ends_b, common)
-        out[d] = (len(ids_a), len(ids_b), len(common), int(per_doc[d]), groups)
+        out[d] = (len(ids_a), len(ids_b), len(common), int(per_doc[d]), hashlib.sha256(groups).hexdigest())
     return out, pairs
 
 
 def _aligned(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
+    # A task has its cores; the tokenizer's own thread pool would only contend for them.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     for batch in slices(batches, "text", SLICE_BYTES):
         texts = batch.column("text").to_pylist()
         rows, pairs = align_batch(texts, a_path, b_path)
@@ -165,7 +177,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Ite
             "doc_id": batch.column("doc_id"), "row": batch.column("row"),
             "n_a": pa.array([r[0] for r in rows], pa.int64()), "n_b": pa.array([r[1] for r in rows], pa.int64()),
             "n_groups": pa.array([r[2] for r in rows], pa.int64()), "n_links": pa.array([r[3] for r in rows], pa.int64()),
-            "groups_sha256": pa.array([hashlib.sha256(r[4].encode()).hexdigest() if r[0] else "" for r in rows]),
+            "groups_sha256": pa.array([r[4] for r in rows], pa.string()),
             "links": links,
         })
 
