@@ -30,6 +30,8 @@ _METRICS = ("l2", "cosine")
 PROBES = 32
 #: Of the true neighbours of so many sampled queries, an approximate search finds at least this share.
 RECALL, RECALL_QUERIES, RECALL_SEED = 0.95, 256, 17
+#: Chunks that give each query of the broadcast plan a bound on its k-th key.
+BOUND_CHUNKS = 2048
 
 
 def _vectors(df: DataFrame, id_col: str) -> DataFrame:
@@ -70,23 +72,32 @@ def few_queries(asked: DataFrame, max_bytes: int = BROADCAST_VECTOR_BYTES) -> pa
 
 
 def scan_topk(
-    rows: pa.Table, id_type: T.DataType, chunks: DataFrame, k: int, metric: str, skip_same: bool
+    rows: pa.Table, id_type: T.DataType, chunks: DataFrame, k: int, metric: str, skip_same: bool,
+    most: np.ndarray | None = None,
 ) -> DataFrame:
     """Queries sent to the chunks: one pass over the chunks, no shuffle of vectors."""
+    return _rank(scan_partial(rows, id_type, chunks, k, metric, skip_same, most), k, metric)
+
+
+def scan_partial(
+    rows: pa.Table, id_type: T.DataType, chunks: DataFrame, k: int, metric: str, skip_same: bool,
+    most: np.ndarray | None = None,
+) -> DataFrame:
+    """Each task's candidates: at most k per query, and none beyond ``most`` (per query) where given."""
     spark = chunks.sparkSession
     schema = T.StructType([
         T.StructField("query_id", id_type), T.StructField("id", T.LongType()),
         T.StructField("key", T.DoubleType()),
     ])
     if not len(rows):
-        return _rank(spark.createDataFrame([], schema), k, metric)
+        return spark.createDataFrame([], schema)
     shipped = spark.sparkContext.broadcast(
-        (rows.column("query_id").to_pylist(), matrix(rows.column("embedding")))
+        (rows.column("query_id").to_pylist(), matrix(rows.column("embedding")), np.inf if most is None else most)
     )
 
     def search(batches):
-        ids, vectors = shipped.value
-        best = TopK(vectors, ids, k, metric, skip_same)
+        ids, vectors, bound = shipped.value
+        best = TopK(vectors, ids, k, metric, skip_same, bound)
         for batch in batches:
             best.add(np.asarray(batch.column(0), dtype=np.int64), matrix(batch.column(1)))
         found = best.table()
@@ -95,7 +106,21 @@ def scan_topk(
             [query, found.column(1), found.column(2)], names=["query_id", "id", "key"]
         )
 
-    return _rank(_vectors(chunks, "id").mapInArrow(search, schema), k, metric)
+    return _vectors(chunks, "id").mapInArrow(search, schema)
+
+
+def sample_bound(rows: pa.Table, chunks: DataFrame, k: int, metric: str, skip_same: bool, size: int = BOUND_CHUNKS) -> np.ndarray:
+    """Per query, the k-th key among the first ``size`` chunks: no answer lies beyond it.
+
+    Any chunks give an upper bound on the true k-th key, so the first ones
+    are taken (Spark reads no more than it needs for them); where they hold
+    fewer than k, the bound is infinite.
+    """
+    some = _vectors(chunks, "id").limit(size).toArrow()
+    best = TopK(matrix(rows.column("embedding")), rows.column("query_id").to_pylist(), k, metric, skip_same)
+    if len(some):
+        best.add(np.asarray(some.column("id"), dtype=np.int64), matrix(some.column("embedding")))
+    return best.key.max(axis=1) if len(rows) else np.zeros(0)
 
 
 # Grouping around leaders
@@ -417,7 +442,8 @@ def topk(
     if rows is None:
         grouped = _grouped(chunks, k, metric, None, skip_same)
         return _attach(visit_cells(asked, grouped, k, metric, skip_same, None, block, exact=True), chunks, payload)
-    found = scan_topk(rows, asked.schema["query_id"].dataType, chunks, k, metric, skip_same)
+    most = sample_bound(rows, chunks, k, metric, skip_same)
+    found = scan_topk(rows, asked.schema["query_id"].dataType, chunks, k, metric, skip_same, most)
     return _attach(found, chunks, payload)
 
 

@@ -159,3 +159,22 @@ def test_short_answers_visit_more_cells(spark, data):
     _, c = data
     found = sim.ann_topk(frame(spark, c[:5], name="query_id"), frame(spark, c[600:]), 30, probes=1, cells=150)
     assert found.groupBy("query_id").count().filter("count < 30").count() == 0
+
+
+def test_bound_keeps_shuffled_rows_flat_over_tasks(spark):
+    rng = np.random.default_rng(5)
+    chunks_np, queries_np = rng.normal(size=(4000, 8)), rng.normal(size=(10, 8))
+    queries = frame(spark, queries_np, name="query_id")
+    asked = sim._vectors(queries, "query_id").toArrow()
+    id_type = queries.schema["query_id"].dataType
+    sizes = {}
+    for tasks in (4, 64):
+        chunks = frame(spark, chunks_np).repartition(tasks)
+        most = sim.sample_bound(asked, chunks, 3, "l2", False)
+        free = sim.scan_partial(asked, id_type, chunks, 3, "l2", False).count()
+        bounded = sim.scan_partial(asked, id_type, chunks, 3, "l2", False, most).count()
+        sizes[tasks] = (free, bounded)
+        found = sim.scan_topk(asked, id_type, chunks, 3, "l2", False, most)
+        assert answer(found) == brute(queries_np, chunks_np, 3)
+    assert sizes[64][0] >= 10 * sizes[4][0] / 2
+    assert sizes[64][1] <= 10 * 3 * 4 and sizes[64][1] < sizes[64][0] / 4
