@@ -130,3 +130,68 @@ def tables(text: Column) -> Column:
 
 def has_heading(text: Column) -> Column:
     return F.regexp_extract(text, r"(?m)^#+\s.*$", 0) != ""
+
+
+# The break after a sentence, and the white space that Python's str.split() cuts at.
+SENTENCE_BREAK = r"(?<=[.!?])[ \t\n\r\f\x0b]+"
+WORD_SPACE = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_SPAN = "array<struct<a:int,b:int>>"
+
+
+def _places(values: Column, queries: Column, ties_first: bool) -> Column:
+    """For each query (ascending), its place in the sorted union with ``values`` (ascending, distinct)."""
+    value_kind, query_kind = (1, 0) if ties_first else (0, 1)
+    merged = F.array_sort(F.concat(
+        F.transform(values, lambda v: F.struct(v.alias("v"), F.lit(value_kind).alias("kind"))),
+        F.transform(queries, lambda q: F.struct(q.alias("v"), F.lit(query_kind).alias("kind"))),
+    ))
+    placed = F.transform(merged, lambda x, p: F.struct(x["kind"].alias("kind"), p.alias("p")))
+    return F.transform(F.filter(placed, lambda x: x["kind"] == query_kind), lambda x: x["p"])
+
+
+def sentence_chunks(text: Column, size: int, overlap: int) -> Column:
+    """Sentences packed greedily into chunks of at most ``size`` words, as a fold in the JVM.
+
+    A new chunk starts with the closing sentences of the one before, as many
+    as fit into ``overlap`` words, unless the next sentence would then no
+    longer fit. Sentences above ``size`` words are cut first. NULL has no
+    chunks. Word counts are summed once; the end of a chunk from any start,
+    and the start of the overlap before any end, come from one sort of the
+    sums with their shifted copies, so no search runs per step.
+    """
+    empty_units = F.array().cast("array<array<string>>")
+
+    def cut(sentence: Column) -> Column:
+        return let(F.filter(F.split(sentence, WORD_SPACE, -1), lambda w: w != ""), lambda words: F.when(
+            F.size(words) > 0,
+            F.transform(F.sequence(F.lit(0), F.ceil(F.size(words) / size).cast("int") - 1),
+                        lambda i: F.slice(words, i * size + 1, F.lit(size))),
+        ).otherwise(empty_units))
+
+    units = F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_BREAK, -1), cut))
+
+    def packed(units: Column) -> Column:
+        n = F.size(units)
+        total = F.aggregate(units, F.array(F.lit(0)), lambda acc, u: F.concat(acc, F.array(F.element_at(acc, -1) + F.size(u))))
+        return let(total, lambda total: let(
+            F.transform(_places(total, F.transform(total, lambda t: t + size), False), lambda p, s: p - s - 1),
+            lambda fwd: let(
+                F.transform(_places(total, F.transform(total, lambda t: t - overlap), True), lambda p, e: p - e),
+                lambda back: F.aggregate(
+                    F.sequence(F.lit(1), n),
+                    F.struct(F.lit(0).alias("s"), F.lit(0).alias("f"), F.array().cast(_SPAN).alias("out")),
+                    lambda st, _: F.when(st["f"] >= n, st).otherwise(let(
+                        F.when(F.get(total, st["f"] + 1) - F.get(total, st["s"]) > size, st["f"]).otherwise(st["s"]),
+                        lambda s: let(F.get(fwd, s), lambda e: F.struct(
+                            F.get(back, e).alias("s"), e.alias("f"),
+                            F.concat(st["out"], F.array(F.struct(s.alias("a"), e.alias("b")))).alias("out"),
+                        )),
+                    )),
+                )["out"],
+            ),
+        ))
+
+    return let(units, lambda us: F.transform(
+        F.when(F.size(us) == 0, F.array().cast(_SPAN)).otherwise(packed(us)),
+        lambda c: F.concat_ws(" ", F.flatten(F.slice(us, c["a"] + 1, c["b"] - c["a"]))),
+    ))

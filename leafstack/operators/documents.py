@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..defaults import CHUNK_OVERLAP, CHUNK_SIZE, EMBED_BATCH, PATH_SCHEME
 from ..functions import text as tx
-from ..functions.udfs import chunker_udf, embedding_udf, hash_embed, parser_error_udf, parser_udf, sentence_chunks
+from ..functions.udfs import chunker_udf, embedding_udf, hash_embed, parser_error_udf, parser_udf
 from .skew import number_rows
 
 
@@ -70,9 +70,8 @@ def chunk_sections(df: DataFrame, text: str = "text", strip_marks: bool = False)
 def chunk_sentences(
     df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, text: str = "text"
 ) -> DataFrame:
-    """One row per chunk of whole sentences."""
-    udf = chunker_udf(lambda t: sentence_chunks(t, size, overlap))
-    return _explode_chunks(df, udf(text), text)
+    """One row per chunk of whole sentences; the packing is a fold of column functions, no Python."""
+    return _explode_chunks(df, tx.sentence_chunks(F.col(text), size, overlap), text)
 
 
 def chunk_windows(

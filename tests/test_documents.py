@@ -163,3 +163,20 @@ def test_ids_are_consecutive(spark):
 def test_headings(spark):
     df = spark.createDataFrame([("# a",), ("x\n## b",), ("#c",), ("d",)], "text string")
     assert sorted(r["text"] for r in ops.with_headings(df).collect()) == ["# a", "x\n## b"]
+
+
+def test_sentence_packing_is_a_fold_equal_to_the_python_one(spark):
+    import random
+
+    from leafstack.functions import text as tx
+
+    rng = random.Random(3)
+    words = ["alpha", "be", "c.", "d!", "eee?", "f", "g.\n", "h", " i."]
+    texts = [None, "", "   ", "One. Two three! Four?"] + [
+        " ".join(rng.choice(words) for _ in range(rng.randint(1, 400))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for size, overlap in ((20, 5), (7, 3), (3, 0)):
+        got = df.select("i", tx.sentence_chunks(F.col("text"), size, overlap).alias("c"))
+        assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+        rows = {r.i: r.c for r in got.collect()}
+        assert all(rows[i] == ([] if t is None else sentence_chunks(t, size, overlap)) for i, t in enumerate(texts))
