@@ -37,7 +37,9 @@ from .common import table
 FRAME_BYTES = 1 << 18
 END_ID = 2
 SLICE_BYTES = 4 << 20
-CACHED_WORDS = 1_000_000
+#: Bytes of remembered words and their codes (counted with a fixed cost per entry) before they are let go.
+CACHED_BYTES = 64 << 20
+ENTRY_BYTES = 120
 SUFFIX = ".tokens.zst"
 
 # Fixed values of the public seekable zstandard format.
@@ -56,7 +58,7 @@ class Encoder:
     with special tokens, take the tokenizer's own way.
     """
 
-    def __init__(self, path: str, cached: int = CACHED_WORDS):
+    def __init__(self, path: str, cached: int = CACHED_BYTES):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -66,7 +68,7 @@ class Encoder:
         vocab = self.whole.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words, self.tokens, self.cached = {}, {}, cached
+        self.words, self.tokens, self.cached, self.held = {}, {}, cached, 0
         self.pattern = regex.compile(PRE_TOKEN)
 
     def _learn(self, words: list[bytes]) -> None:
@@ -77,6 +79,7 @@ class Encoder:
                 cut[w] = self.pattern.findall(text.lower())
             else:
                 self.words[w] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                self.held += 2 * ENTRY_BYTES + len(w) + len(self.words[w])
         new = list({t for parts in cut.values() for t in parts if t not in self.tokens})
         if new:
             groups = [new[i:i + 500] for i in range(0, len(new), 500)]
@@ -88,14 +91,21 @@ class Encoder:
             start, raw = 0, flat.tobytes()
             for t, stop in zip(new, (stops * 4).tolist()):
                 self.tokens[t] = raw[start:stop]
+                self.held += 2 * ENTRY_BYTES + len(t) + stop - start
                 start = stop
         for w, parts in cut.items():
             self.words[w] = b"".join([self.tokens[t] for t in parts])
+            self.held += 2 * ENTRY_BYTES + len(w) + len(self.words[w])
+
+    def forget(self) -> None:
+        """Let go of all remembered words."""
+        self.words.clear()
+        self.tokens.clear()
+        self.held = 0
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.words) > self.cached:
-            self.words.clear()
-            self.tokens.clear()
+        if self.held > self.cached:
+            self.forget()
         cut = [t.split() for t in texts]
         new = set()
         for words in cut:
@@ -107,12 +117,14 @@ class Encoder:
         return [b"".join(map(get, words)) for words in cut]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def encoder(path: str) -> Encoder:
-    """The process's encoder: a reused Python worker keeps its words from task to task."""
-    held = public_tokenizers.__dict__.setdefault("_leafstack_encoders", {})
-    if path not in held:
-        held[path] = Encoder(path)
-    return held[path]
+    """The process's encoder; its remembered words are bounded by bytes and let go at the end of each task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 class FrameWriter:
@@ -228,6 +240,7 @@ def write_tokens(
                 ids.cast(pa.int64()), pa.array(sizes, pa.int64()),
             ], ["file", "place", "doc_id", "n_tokens"])
             place += len(sizes)
+        code.forget()
         if out is not None:
             writer.close()
             out.close()
