@@ -92,3 +92,13 @@ def test_special_strings_null_and_repeats(spark):
 
 def test_empty_table(spark, nothing):
     assert alignment.alignments(nothing).count() == 0
+
+
+def test_odd_rows(spark, odd):
+    got = alignment.alignments(odd).collect()
+    assert len(got) == odd.count()
+    for r in got:
+        assert (r.n_a == 0) == (r.groups_sha256 == "")
+    empty = [r for r in got if r.doc_id in (2, 3)]
+    assert empty and all(r.n_a == r.n_b == r.n_links == r.count_sum == 0 for r in empty)
+    assert max(r.n_a for r in got) > 100_000
