@@ -140,4 +140,55 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op12_secret_scan": op12_secret_scan}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op12_secret_scan": r"""
+with docs as (select doc_id, coalesce(text, '') as t, row_number() over () as rid from documents),
+pats(kind, ord, pat, grp) as (values
+  ('assign', 1, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2),
+  ('access', 2, 'AKIA[A-Z0-9]{16,}', 0), ('hex', 3, '[0-9a-f]{24,}', 0), ('run', 0, '[A-Za-z0-9+/_=-]{16,}', 0)),
+found as (
+  select rid, doc_id, kind, ord, regexp_extract_all(t, pat, 0) as ms, regexp_extract_all(t, pat, grp) as vs,
+    regexp_split_to_array(t, pat) as ps
+  from docs, pats),
+placed as (
+  select rid, doc_id, kind, ord, j, length(ps[j]) as plen, length(ms[j]) as mlen, vs[j] as value
+  from (select *, unnest(generate_series(1, len(ms))) as j from found)),
+spans as (
+  select rid, doc_id, kind, ord, sum(plen + mlen) over (partition by rid, kind order by j) - mlen as s, mlen, value
+  from placed),
+kept as (select rid, doc_id, kind, ord, s, s + mlen as e, value from spans where kind <> 'assign' or length(value) >= 6),
+base as (select * from kept where kind <> 'run'),
+runs as (
+  select r.* from kept r where r.kind = 'run'
+  and not exists (select 1 from base b where b.rid = r.rid and b.s < r.e and r.s < b.e)),
+samples as (select value, 1 as label from base union all select value, 0 as label from runs),
+chars as (select label, ['^'] || string_split(value, '') || ['$'] as cs from samples),
+trans as (select label, cs[i] as prev, cs[i + 1] as nxt from (select *, unnest(generate_series(1, len(cs) - 1)) as i from chars)),
+counts as (
+  select prev, nxt, count(*) filter (where label = 1) as c1, count(*) filter (where label = 0) as c0
+  from trans group by prev, nxt),
+model as (
+  select prev, nxt,
+    ln((c1 + 1) / (sum(c1) over (partition by prev) + 67)) - ln((c0 + 1) / (sum(c0) over (partition by prev) + 67)) as llr,
+    ln(1 / (sum(c1) over (partition by prev) + 67)) - ln(1 / (sum(c0) over (partition by prev) + 67)) as dflt
+  from counts),
+defaults as (select distinct prev, dflt from model),
+run_chars as (select rid, s, e, ['^'] || string_split(value, '') || ['$'] as cs from runs),
+run_trans as (select rid, s, e, cs[i] as prev, cs[i + 1] as nxt from (select *, unnest(generate_series(1, len(cs) - 1)) as i from run_chars)),
+scored as (
+  select t.rid, t.s, t.e, avg(coalesce(m.llr, d.dflt, 0.0)) as llr
+  from run_trans t left join model m on m.prev = t.prev and m.nxt = t.nxt left join defaults d on d.prev = t.prev
+  group by t.rid, t.s, t.e),
+every as (
+  select rid, kind, ord, s, e from base
+  union all select rid, 'random', 4, s, e from scored where llr >= 1.0),
+joined as (
+  select rid,
+    string_agg(kind || ':' || s || ':' || e, ',' order by s, ord) filter (where kind <> 'random') as base_text,
+    string_agg(kind || ':' || s || ':' || e, ',' order by s, ord) as all_text,
+    count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access,
+    count(*) filter (where kind = 'hex') as n_hex
+  from every group by rid)
+select d.doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access,
+  coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base_text, '')) as base_sha256, coalesce(all_text, '') as spans
+from docs d left join joined j using (rid)
+"""}
