@@ -184,4 +184,76 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op13_merkle_manifest": op13_merkle_manifest}
-ORACLES: dict[str, str] = {}
+#: The same in DuckDB SQL: crc32 by its table, levels by recursion, proofs from siblings, the fold by recursion.
+ORACLES = {"op13_merkle_manifest": r"""
+with recursive
+t as (select list_transform(range(256), lambda b: list_reduce(range(8),
+  lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end, b::ubigint)) as tbl),
+src as (
+  select d.*, row_number() over () as rid,
+    xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda ch: ascii(ch)::ubigint),
+      lambda acc, ch: xor(tbl[((xor(acc, ch) & 255) + 1)::bigint], acc >> 8), 4294967295::ubigint), 4294967295::ubigint) as crc
+  from documents d, t),
+rows as (
+  select rid, doc_id, lang,
+    sha256(case when doc_id is null then '-' else strlen(doc_id::varchar) || ':' || doc_id::varchar end
+      || case when source is null then '-' else strlen(source) || ':' || source end
+      || case when lang is null then '-' else strlen(lang) || ':' || lang end
+      || case when n_chars is null then '-' else strlen(n_chars::varchar) || ':' || n_chars::varchar end
+      || case when text is null then '-' else strlen(text) || ':' || text end) as leaf,
+    case when doc_id is not null and text is not null and crc % 3 = 0
+      then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as ttext,
+    source, n_chars
+  from src),
+leaves as (
+  select rid, doc_id, lang, leaf,
+    sha256(case when doc_id is null then '-' else strlen(doc_id::varchar) || ':' || doc_id::varchar end
+      || case when source is null then '-' else strlen(source) || ':' || source end
+      || case when lang is null then '-' else strlen(lang) || ':' || lang end
+      || case when n_chars is null then '-' else strlen(n_chars::varchar) || ':' || n_chars::varchar end
+      || case when ttext is null then '-' else strlen(ttext) || ':' || ttext end) as tleaf,
+    row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i,
+    count(*) over (partition by lang) as n
+  from rows),
+tree(lang, lvl, i, d, n) as (
+  select lang, 0, i, leaf, n from leaves
+  union all
+  select lang, lvl + 1, i // 8, sha256(string_agg(d, '' order by i)), (n + 7) // 8
+  from tree where n > 1 group by lang, lvl, i // 8, n),
+subroots as (select lang, d as subroot from tree where n = 1),
+tops as (select lang, subroot, row_number() over (order by lang nulls first) - 1 as i, count(*) over () as n from subroots),
+top(lvl, i, d, n) as (
+  select 0, i, subroot, n from tops
+  union all
+  select lvl + 1, i // 8, sha256(string_agg(d, '' order by i)), (n + 7) // 8 from top where n > 1 group by lvl, i // 8, n),
+root as (select d as root from top where n = 1),
+lpath as (
+  select l.rid, 0 as phase, k.lvl as step,
+    coalesce(string_agg(s.d, '' order by s.i) filter (where s.i < l.i >> (3 * k.lvl)), '') as lft,
+    coalesce(string_agg(s.d, '' order by s.i) filter (where s.i > l.i >> (3 * k.lvl)), '') as rgt
+  from leaves l join (select distinct lang, lvl from tree where n > 1) k on k.lang is not distinct from l.lang
+  join tree s on s.lang is not distinct from l.lang and s.lvl = k.lvl and s.i // 8 = (l.i >> (3 * k.lvl)) // 8
+  group by l.rid, k.lvl),
+tpath as (
+  select g.lang, 1 as phase, k.lvl as step,
+    coalesce(string_agg(s.d, '' order by s.i) filter (where s.i < g.i >> (3 * k.lvl)), '') as lft,
+    coalesce(string_agg(s.d, '' order by s.i) filter (where s.i > g.i >> (3 * k.lvl)), '') as rgt
+  from tops g join (select distinct lvl from top where n > 1) k on true
+  join top s on s.lvl = k.lvl and s.i // 8 = (g.i >> (3 * k.lvl)) // 8
+  group by g.lang, g.i, k.lvl),
+steps as (
+  select rid, phase, step, lft, rgt from lpath
+  union all
+  select l.rid, p.phase, p.step, p.lft, p.rgt from leaves l join tpath p on p.lang is not distinct from l.lang),
+path as (select rid, row_number() over (partition by rid order by phase, step) as pos, lft, rgt from steps),
+fold(rid, pos, h) as (
+  select rid, 0, tleaf from leaves
+  union all
+  select f.rid, f.pos + 1, sha256(p.lft || f.h || p.rgt) from fold f join path p on p.rid = f.rid and p.pos = f.pos + 1),
+folded as (select rid, arg_max(h, pos) as folded_root from fold group by rid),
+proofs as (select rid, string_agg(lft || rgt, '' order by pos) as sibs from path group by rid)
+select l.doc_id, l.leaf, s.subroot, r.root, sha256(coalesce(p.sibs, '')) as proof_sha256, f.folded_root,
+  f.folded_root = r.root as verified
+from leaves l join subroots s on s.lang is not distinct from l.lang cross join root r
+join folded f on f.rid = l.rid left join proofs p on p.rid = l.rid
+"""}
