@@ -126,7 +126,12 @@ def clean_documents(
     documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM,
 ) -> DataFrame:
-    """The rows of ``documents`` without a window of the benchmark, with all columns."""
+    """The rows of ``documents`` without a window of the benchmark, with all columns.
+
+    NULL and empty texts have no words and stay. Repeated rows stay or leave
+    together. An empty benchmark keeps every row; an empty table gives an
+    empty table. Other columns are carried as they are.
+    """
     _, _, _, hits = _hits(documents, benchmark, id_col, text_col, item_col, item_text_col, window, gram)
     if hits is None:
         return documents

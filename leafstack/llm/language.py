@@ -335,7 +335,13 @@ def languages(
 
 
 def recognised(documents: DataFrame, vocab_path: str, least: float = 0.5) -> DataFrame:
-    """The rows of ``documents`` whose language is recognised with a score of ``least`` or more, with all columns."""
+    """The rows of ``documents`` whose language is recognised with a score of ``least`` or more, with all columns.
+
+    NULL and empty texts, and texts without a letter, are ``und`` and leave. A
+    score of exactly ``least`` stays. Repeated rows are judged alike and stay
+    or leave together. An empty table gives an empty table; other columns,
+    clashing names included, are carried in a struct and come back as they were.
+    """
     found = tagged(documents, vocab_path, F.struct("*").alias("row"), inside=True)
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
 

@@ -164,7 +164,13 @@ def mixed_documents(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weight_col: str | None = None, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: int = 7,
 ) -> DataFrame:
-    """The rows of the mix with all columns, each as often as it is taken."""
+    """The rows of the mix with all columns, each as often as it is taken.
+
+    A NULL text has size 0 and adds no words. Repeated rows are drawn as
+    separate rows; a NULL source is a source of its own, ordered last. The
+    draw depends on ``seed`` and the ids only, so reruns agree. An empty table
+    gives no rows. Other columns are carried with every copy.
+    """
     sizes = settled(_drawn(documents, id_col, text_col, source_col, weight_col, seed))
     plan, few = source_plan(sizes, weights, share, most)
     rows = _drawn(documents, id_col, text_col, source_col, weight_col, seed, F.struct("*").alias("row"))
