@@ -98,7 +98,7 @@ def j2_rejects(spark, sf):
 
 
 def j3_load_all(spark, sf):
-    """French manuals first, then the others: each run takes up its new files only."""
+    """Manuals of source src0 first, then the others: each run takes up its new files only."""
     root = scratch_path(spark, "load")
     pages = fx.manual_text(spark, sf)
     raw, chunks = _name("raw"), _name("chunks")
