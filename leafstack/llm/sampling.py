@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import remainder
 
-GRAIN = 1_000_000
+#: Tickets are 62 bits of a hash, so that a rate as low as 2^-62 is still kept exactly.
+TICKETS = 1 << 62
 
 
 def labelled(labels: DataFrame, label: str, allowed: Column, id_col: str = "doc_id") -> DataFrame:
@@ -23,13 +24,16 @@ def labelled(labels: DataFrame, label: str, allowed: Column, id_col: str = "doc_
 def sample(rows: DataFrame, by: str, bound: int, seed: int = 11) -> DataFrame:
     """About ``bound`` rows of each value of ``by``, or all where there are fewer, chosen by a hash of the id.
 
-    The driver holds one rate per value of ``by``.
+    The driver holds one rate per value of ``by``; a rate is a whole number of
+    tickets out of 2^62, rounded up, so the sample is within a ticket of
+    ``bound`` rows in expectation at any size.
     """
     counts = rows.groupBy(by).count().collect()
     keep = F.lit(False)
-    ticket = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(GRAIN))
+    ticket = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(TICKETS))
     for row in counts:
-        keep = keep | ((F.col(by) == row[by]) & (ticket < max(1, int(GRAIN * bound / row["count"]))))
+        limit = min(TICKETS, -(-TICKETS * bound // row["count"]))
+        keep = keep | ((F.col(by) == row[by]) & (ticket < F.lit(limit)))
     return rows.filter(keep)
 
 

@@ -131,3 +131,11 @@ def test_toxic_words_at_any_place_of_a_long_text():
     texts = [body, body + b" idiot scum", body[:50_000] + b" awful idiot " + body[50_000:]]
     scores = model.scores(toxicity.Scorer(model.net).highest(texts))
     assert scores[0] < 0.5 <= min(scores[1:])
+
+
+def test_sample_of_a_billion_rows_stays_near_its_bound(spark):
+    from leafstack.llm.sampling import sample
+
+    rows = spark.range(1_000_000_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("label"))
+    got = {r["label"]: r["count"] for r in sample(rows, "label", 800).groupBy("label").count().collect()}
+    assert set(got) == {0, 1} and all(400 <= n <= 1600 for n in got.values())
