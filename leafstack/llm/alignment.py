@@ -37,6 +37,8 @@ from .arrow import slices
 from .common import landed, table
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+#: The same vocabulary as A's, as ranks: ids are equal (tested against A), and encoding is some three times faster.
+A_RANKS = "byte_bpe_50k.tiktoken"
 SLICE_BYTES = 1 << 20
 LINKS = "array<struct<a:int,b:int,n:int>>"
 OUT = f"n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links {LINKS}"
@@ -72,6 +74,18 @@ def tokenizer_a(path: str):
     return tok, pieces, np.fromiter(map(len, pieces), np.int64, len(pieces))
 
 
+@lru_cache(maxsize=1)
+def ranked_a(path: str):
+    """A's vocabulary as a tiktoken encoding, with the split pattern that goes with it; no special tokens."""
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 @lru_cache(maxsize=1)
 def tokenizer_b(path: str):
     import sentencepiece
@@ -119,7 +133,9 @@ def _groups(ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np
     return joined.buffers()[2].to_pybytes()[offsets[0]:offsets[len(joined)]]
 
 
-def align_batch(texts: list[str | None], a_path: str, b_path: str) -> tuple[list[tuple], pd.DataFrame]:
+def align_batch(
+    texts: list[str | None], a_path: str, b_path: str, ranks_path: str | None = None,
+) -> tuple[list[tuple], pd.DataFrame]:
     """Per text ``(n_a, n_b, n_groups, n_links, groups_sha256)``, and the distinct linked id pairs of all texts.
 
     The pairs (``doc, id_a, id_b, n``: text, ids, occurrences) are sorted by text.
@@ -128,18 +144,22 @@ def align_batch(texts: list[str | None], a_path: str, b_path: str) -> tuple[list
     sp, pieces_b, sizes_b = tokenizer_b(b_path)
     assert max(len(pieces_a), len(pieces_b)) <= 1 << 16, "pair keys hold ids of 16 bits"
     live = [k for k, t in enumerate(texts) if t]
-    enc_a = tok_a.encode_batch([" " + texts[k] for k in live], add_special_tokens=False) if live else []
+    spaced = [" " + texts[k] for k in live]
+    if ranks_path:
+        enc_a = ranked_a(ranks_path).encode_ordinary_batch(spaced, num_threads=1) if live else []
+    else:
+        enc_a = [e.ids for e in tok_a.encode_batch(spaced, add_special_tokens=False)] if live else []
     enc_b = sp.encode([texts[k] for k in live]) if live else []
     out: list[tuple] = [(0, 0, 0, 0, "")] * len(texts)
     none = pd.DataFrame({"doc": np.zeros(0, np.int64), "id_a": np.zeros(0, np.int64), "id_b": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
     docs, a_ids, a_ends, b_ids, b_ends = [], [], [], [], []
     for k, ea, eb in zip(live, enc_a, enc_b):
         target = (" " + texts[k]).encode()
-        ends_a, ends_b = _tokens(ea.ids, pieces_a, sizes_a, target), _tokens(eb, pieces_b, sizes_b, target)
+        ends_a, ends_b = _tokens(ea, pieces_a, sizes_a, target), _tokens(eb, pieces_b, sizes_b, target)
         if ends_a is None or ends_b is None or not len(ends_a):
             continue
         docs.append(k)
-        a_ids.append(np.asarray(ea.ids, np.int64))
+        a_ids.append(np.asarray(ea, np.int64))
         a_ends.append(ends_a)
         b_ids.append(np.asarray(eb, np.int64))
         b_ends.append(ends_b)
@@ -164,12 +184,12 @@ def align_batch(texts: list[str | None], a_path: str, b_path: str) -> tuple[list
     return out, pairs
 
 
-def _aligned(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
+def _aligned(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, ranks_path: str | None) -> Iterator[pa.RecordBatch]:
     # A task has its cores; the tokenizer's own thread pool would only contend for them.
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     for batch in slices(batches, "text", SLICE_BYTES):
         texts = batch.column("text").to_pylist()
-        rows, pairs = align_batch(texts, a_path, b_path)
+        rows, pairs = align_batch(texts, a_path, b_path, ranks_path)
         offsets = np.searchsorted(pairs["doc"].to_numpy(), np.arange(len(texts) + 1), side="left").astype(np.int32)
         links = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(
             [pa.array(pairs[c].to_numpy().astype(np.int32)) for c in ("id_a", "id_b", "n")], names=["a", "b", "n"]))
@@ -184,7 +204,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Ite
 
 def alignments(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    a_path: str | None = None, b_path: str | None = None,
+    a_path: str | None = None, b_path: str | None = None, ranks_path: str | None = "",
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` (all counts long).
 
@@ -196,11 +216,13 @@ def alignments(
     encoded whole. An empty table gives no rows; other columns are ignored.
     """
     a_path = a_path or public_tokenizers.path(A_FILE)
+    # the ranks of A's vocabulary encode A; None keeps the tokenizers library for A
+    ranks_path = public_tokenizers.path(A_RANKS) if ranks_path == "" else ranks_path
     b_path = b_path or public_tokenizers.path(B_FILE)
     rows = documents.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     schema = f"doc_id {documents.schema[id_col].dataType.simpleString()}, row long, {OUT}"
-    done = landed(rows.mapInArrow(lambda it: _aligned(it, a_path, b_path), schema), "aligned")
+    done = landed(rows.mapInArrow(lambda it: _aligned(it, a_path, b_path, ranks_path), schema), "aligned")
     links = done.select("row", F.explode("links").alias("l")).select("row", "l.a", "l.b", "l.n")
     counts = links.groupBy("a", "b").agg(F.count(F.lit(1)).alias("docs"))
     best = counts.groupBy("a").agg(F.max("docs").alias("best"))
