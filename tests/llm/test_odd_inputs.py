@@ -94,3 +94,11 @@ def test_stages_on_odd_rows(odd, nothing, benchmark):
     for stage in (lambda d: language.recognised(d, PIECES), simhash.drop_near_duplicates,
                   lambda d: contamination.clean_documents(d, benchmark), mixing.mixed_documents):
         assert stage(nothing).count() == 0
+
+
+def test_token_stage_on_odd_rows(odd, nothing):
+    """The last stage: every row gets its tokens, the end id included, NULL ids first; no rows give no digests."""
+    got = tokens(odd).collect()
+    assert len(got) == odd.count() and all(r["n_tokens"] >= 1 for r in got)
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])][:2] == [None, None]
+    assert tokens(nothing).count() == 0
