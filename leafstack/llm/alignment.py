@@ -71,7 +71,7 @@ def tokenizer_a(path: str):
     pieces = [b""] * size
     for text, i in tok.get_vocab(with_added_tokens=True).items():
         pieces[i] = bytes(alphabet[c] for c in text) if all(c in alphabet for c in text) else text.encode()
-    return tok, pieces, np.fromiter(map(len, pieces), np.int64, len(pieces))
+    return tok, _table(pieces)
 
 
 @lru_cache(maxsize=1)
@@ -96,14 +96,28 @@ def tokenizer_b(path: str):
         piece = sp.id_to_piece(i)
         hexed = BYTE_PIECE.fullmatch(piece) if sp.is_byte(i) else None
         pieces.append(bytes([int(hexed.group(1), 16)]) if hexed else piece.replace(SPACE_MARK, " ").encode())
-    return sp, pieces, np.fromiter(map(len, pieces), np.int64, len(pieces))
+    return sp, _table(pieces)
+
+
+def _tokens(ids: list[int], table: tuple, target: bytes) -> np.ndarray | None:
+    """Token ends, or None when the tokens' bytes are not the target; bytes are gathered from one buffer."""
+    _, sizes, flat, first = table
+    ids = np.asarray(ids, np.int64)
+    lengths = sizes[ids]
+    ends = np.cumsum(lengths)
+    if not len(ids) or ends[-1] != len(target):
+        return None if len(ids) or target else ends
+    shift = np.repeat(first[ids] - (ends - lengths), lengths)
+    if not np.array_equal(flat[shift + np.arange(ends[-1])], np.frombuffer(target, np.uint8)):
+        return None
+    return ends
 
 
-def _tokens(ids: list[int], pieces: list[bytes], sizes: np.ndarray, target: bytes) -> np.ndarray | None:
-    """Token ends, or None when the tokens' bytes are not the target."""
-    if b"".join(map(pieces.__getitem__, ids)) != target:
-        return None
-    return np.cumsum(sizes[np.asarray(ids, np.int64)])
+def _table(pieces: list[bytes]) -> tuple:
+    """Pieces, their sizes, all their bytes in one buffer and where each starts in it."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    return pieces, sizes, np.frombuffer(b"".join(pieces), np.uint8), first
 
 
 def _frame(docs: list[int], ids: list[np.ndarray], ends: list[np.ndarray], offsets: np.ndarray) -> pd.DataFrame:
@@ -140,9 +154,9 @@ def align_batch(
 
     The pairs (``doc, id_a, id_b, n``: text, ids, occurrences) are sorted by text.
     """
-    tok_a, pieces_a, sizes_a = tokenizer_a(a_path)
-    sp, pieces_b, sizes_b = tokenizer_b(b_path)
-    assert max(len(pieces_a), len(pieces_b)) <= 1 << 16, "pair keys hold ids of 16 bits"
+    tok_a, table_a = tokenizer_a(a_path)
+    sp, table_b = tokenizer_b(b_path)
+    assert max(len(table_a[0]), len(table_b[0])) <= 1 << 16, "pair keys hold ids of 16 bits"
     live = [k for k, t in enumerate(texts) if t]
     spaced = [" " + texts[k] for k in live]
     if ranks_path:
@@ -155,7 +169,7 @@ def align_batch(
     docs, a_ids, a_ends, b_ids, b_ends = [], [], [], [], []
     for k, ea, eb in zip(live, enc_a, enc_b):
         target = (" " + texts[k]).encode()
-        ends_a, ends_b = _tokens(ea, pieces_a, sizes_a, target), _tokens(eb, pieces_b, sizes_b, target)
+        ends_a, ends_b = _tokens(ea, table_a, target), _tokens(eb, table_b, target)
         if ends_a is None or ends_b is None or not len(ends_a):
             continue
         docs.append(k)

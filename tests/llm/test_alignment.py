@@ -15,8 +15,8 @@ def _pieces(ids, table):
 
 def brute(rows):
     """Per document by plain loops: every A-B pair tested for overlap, groups cut by walking both sides."""
-    tok_a, table_a, _ = alignment.tokenizer_a(public_tokenizers.path(alignment.A_FILE))
-    sp, table_b, _ = alignment.tokenizer_b(public_tokenizers.path(alignment.B_FILE))
+    tok_a, (table_a, *_) = alignment.tokenizer_a(public_tokenizers.path(alignment.A_FILE))
+    sp, (table_b, *_) = alignment.tokenizer_b(public_tokenizers.path(alignment.B_FILE))
     per = []
     for doc_id, text in rows:
         if not text:
