@@ -36,9 +36,9 @@ from .common import table
 
 FRAME_BYTES = 1 << 18
 END_ID = 2
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes of remembered words and their codes (counted with a fixed cost per entry) before they are let go.
-CACHED_BYTES = 64 << 20
+CACHED_BYTES = 16 << 20
 ENTRY_BYTES = 120
 SUFFIX = ".tokens.zst"
 
