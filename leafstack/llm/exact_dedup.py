@@ -4,7 +4,10 @@ A text is cut into fixed-size byte blocks. The distinct blocks are sorted and
 named by their places, so equal blocks and only those share a name. Adjacent
 names are then paired and the distinct pairs named in the same way, level by
 level, until one name is left per document. Texts are identical exactly when
-both the level and the name are; no hash decides.
+both the level and the name are; no hash decides between documents. Rows
+that repeat one id with different texts are told apart by a 64-bit hash of
+the text (with the SHA-256 kept beside it), which two different texts of the
+same id could share.
 
 Block texts are shuffled once, combined before the shuffle. Documents find
 the name of a block by its 64-bit key; blocks that share a key with a
