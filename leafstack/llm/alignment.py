@@ -99,10 +99,9 @@ def tokenizer_b(path: str):
     return sp, _table(pieces)
 
 
-def _tokens(ids: list[int], table: tuple, target: bytes) -> np.ndarray | None:
+def _tokens(ids: np.ndarray, table: tuple, target: bytes) -> np.ndarray | None:
     """Token ends, or None when the tokens' bytes are not the target; bytes are gathered from one buffer."""
     _, sizes, flat, first = table
-    ids = np.asarray(ids, np.int64)
     lengths = sizes[ids]
     ends = np.cumsum(lengths)
     if not len(ids) or ends[-1] != len(target):
@@ -163,19 +162,20 @@ def align_batch(
         enc_a = ranked_a(ranks_path).encode_ordinary_batch(spaced, num_threads=1) if live else []
     else:
         enc_a = [e.ids for e in tok_a.encode_batch(spaced, add_special_tokens=False)] if live else []
-    enc_b = sp.encode([texts[k] for k in live]) if live else []
+    enc_b = sp.encode([texts[k] for k in live], num_threads=1) if live else []
     out: list[tuple] = [(0, 0, 0, 0, "")] * len(texts)
     none = pd.DataFrame({"doc": np.zeros(0, np.int64), "id_a": np.zeros(0, np.int64), "id_b": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
     docs, a_ids, a_ends, b_ids, b_ends = [], [], [], [], []
     for k, ea, eb in zip(live, enc_a, enc_b):
         target = (" " + texts[k]).encode()
+        ea, eb = np.asarray(ea, np.int64), np.asarray(eb, np.int64)
         ends_a, ends_b = _tokens(ea, table_a, target), _tokens(eb, table_b, target)
         if ends_a is None or ends_b is None or not len(ends_a):
             continue
         docs.append(k)
-        a_ids.append(np.asarray(ea, np.int64))
+        a_ids.append(ea)
         a_ends.append(ends_a)
-        b_ids.append(np.asarray(eb, np.int64))
+        b_ids.append(eb)
         b_ends.append(ends_b)
     if not docs:
         return out, none
