@@ -23,6 +23,24 @@ def _any_null(keys: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
 
 
+def _salt(columns: list[str], keys: list[str]) -> Column:
+    """A further key: zero, or the hash of a row whose key has a NULL, which so meets no other row of its key's hash."""
+    return F.when(_any_null(keys), F.xxhash64(*columns)).otherwise(F.lit(0).cast("bigint"))
+
+
+def replace_by_key(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
+    """The target after its rows give way to the source's rows of the same key; keys may repeat on either side.
+
+    All source rows are in the result, as often as they come, and the target's
+    rows of other keys. A NULL in a key matches nothing. Only the target and
+    the distinct keys of the source are shuffled.
+    """
+    columns = target.columns
+    named = source.select(*keys).filter(~_any_null(keys)).distinct().withColumn("__salt", F.lit(0).cast("bigint"))
+    kept = target.withColumn("__salt", _salt(columns, keys)).join(named, [*keys, "__salt"], "left_anti")
+    return kept.select(*columns).unionByName(source.select(*columns))
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """The target after a merge: matched rows take all source values, others are added.
 
@@ -33,7 +51,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """
     columns = target.columns
     lost = _any_null(keys)
-    salt = F.when(lost, F.xxhash64(*columns)).otherwise(F.lit(0).cast("bigint"))
+    salt = _salt(columns, keys)
     place = [*keys, "__salt"]
     copies = F.count(F.lit(1)).over(Window.partitionBy(*place))
     # The marks are columns of their own, so that NULL values update too.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..defaults import GUIDED_TEMPLATE
 from ..functions.text import file_name, file_stem
-from .joins import upsert
+from .joins import replace_by_key
 
 _LINK = 'href="([^"]*)"'
 _ITEM = r'<li><a href="([^"]*)">([^<]*)</a></li>'
@@ -45,9 +45,12 @@ PART_KEYS = ["qr_code_url", "part_code", "item_number"]
 
 
 def scrape(pages: DataFrame, target: DataFrame | None = None) -> DataFrame:
-    """Part rows of all pages in one plan, merged into ``target`` if there is one."""
+    """Part rows of all pages in one plan, merged into ``target`` if there is one.
+
+    Pages that share an address and a heading all keep their rows.
+    """
     found = extract_listing(pages)
-    return found if target is None else upsert(target, found, PART_KEYS)
+    return found if target is None else replace_by_key(target, found, PART_KEYS)
 
 
 def with_assembly(parts: DataFrame) -> DataFrame:

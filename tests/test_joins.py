@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from leafstack.operators import feedback
 from leafstack.operators.changes import change_feed, sync_index
-from leafstack.operators.joins import lookup, upsert
+from leafstack.operators.joins import lookup, replace_by_key, upsert
 from leafstack.operators.parts import guided_questions
 from leafstack.operators.windows import collect_retrieval, latest_per_key, latest_version
 
@@ -111,3 +111,14 @@ def test_double_source_rows_fail_whatever_is_read(spark):
     source = spark.createDataFrame([(1, "b"), (1, "c")], "k int, v string")
     with pytest.raises(Exception, match="more than one source row"):
         upsert(target, source, ["k"]).count()
+
+
+def test_replace_by_key_keeps_repeated_keys(spark):
+    target = spark.createDataFrame([(1, "a", "old"), (1, "a", "older"), (2, "a", "keep"), (2, "a", "keep"), (None, "a", "t")], T)
+    source = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (4, "a", "z"), (4, "a", "z"), (None, "a", "s")], T)
+    assert rows(replace_by_key(target, source, ["k", "j"])) == sorted([
+        (1, "a", "x"), (1, "a", "y"), (2, "a", "keep"), (2, "a", "keep"), (4, "a", "z"), (4, "a", "z"),
+        (None, "a", "t"), (None, "a", "s"),
+    ], key=str)
+    assert rows(replace_by_key(target.limit(0), source, ["k", "j"])) == rows(source)
+    assert rows(replace_by_key(target, source.limit(0), ["k", "j"])) == rows(target)
