@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.joins import upsert
+from ..operators.joins import replace_by_key
 from ..operators.parts import PART_KEYS, extract_listing
 from ..schemas import PARTS
 from ..session import settled
@@ -114,8 +114,10 @@ def upsert_stream(
     """Merge what ``extract`` finds in each micro-batch into the table at ``root``.
 
     A batch reads the buckets it touches and writes them as the next version.
-    If its version is complete, a repeated batch does nothing; if it was cut
-    off, it is replaced. ``keep`` versions of a bucket stay, for readers.
+    All rows that it has for a key take the place of the table's rows for it,
+    so pages that share their keys should come in one batch. If its version is
+    complete, a repeated batch does nothing; if it was cut off, it is replaced.
+    ``keep`` versions of a bucket stay, for readers.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -129,7 +131,7 @@ def upsert_stream(
         target = read_version(spark, root, schema, [r["b"] for r in touched])
         version = max(done, default=-1) + 1
         write_version(
-            upsert(target, source, keys), root, version, keys[0], buckets, stream, batch_id
+            replace_by_key(target, source, keys), root, version, keys[0], buckets, stream, batch_id
         )
         expire_versions(spark, root, max(keep, 2))
 
