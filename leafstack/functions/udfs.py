@@ -7,7 +7,6 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
@@ -16,6 +15,8 @@ from pyspark.sql.types import ArrayType, FloatType, StringType
 from ..defaults import CHUNK_OVERLAP, CHUNK_SIZE, EMBED_BATCH, EMBED_BUCKETS
 from ..schemas import PAGE_STRUCTS
 
+#: Of an Arrow batch, so many bytes are Python objects at a time.
+PIECE_BYTES = 2 * 1024 * 1024
 _TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 _SENTENCE_BREAK = re.compile(r"(?<=[.!?])[ \t\n\r\f\v]+")
 
@@ -40,21 +41,32 @@ def hash_embed(texts: Sequence[str], buckets: int = EMBED_BUCKETS) -> list[np.nd
     return list(np.divide(counts, norm, out=counts, where=norm > 0).astype(np.float32))
 
 
+def _pieces(batches: Iterator[pa.Array]) -> Iterator[list]:
+    """The values in order as Python objects, about ``PIECE_BYTES`` of them at a time (one at least)."""
+    for values in batches:
+        step = max(1, len(values) * PIECE_BYTES // max(1, values.nbytes))
+        for start in range(0, len(values), step):
+            yield values.slice(start, step).to_pylist()
+
+
 def embedding_udf(
     fn: Callable[[Sequence[str]], Sequence] = hash_embed, batch_size: int = EMBED_BATCH
 ):
-    """Series-to-series function; ``fn`` sees at most ``batch_size`` texts at a time.
+    """Iterator function; ``fn`` sees at most ``batch_size`` texts at a time.
 
     Order is kept and an error of ``fn`` fails the task. It is marked as not
     deterministic, so that a filter on the vector does not run it a second time.
     """
+    vectors = pa.list_(pa.float32())
 
-    @F.pandas_udf(ArrayType(FloatType()))
-    def embed(contents: pd.Series) -> pd.Series:
-        vectors: list = []
-        for start in range(0, len(contents), batch_size):
-            vectors.extend(fn(contents.iloc[start:start + batch_size].tolist()))
-        return pd.Series(vectors, dtype=object)
+    @F.arrow_udf(ArrayType(FloatType()))
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for contents in batches:
+            parts = [
+                pa.array(list(fn(contents.slice(start, batch_size).to_pylist())), vectors)
+                for start in range(0, len(contents), batch_size)
+            ]
+            yield pa.concat_arrays(parts) if parts else pa.array([], vectors)
 
     return embed.asNondeterministic()
 
@@ -62,10 +74,10 @@ def embedding_udf(
 def chunker_udf(chunker: Callable[[str], list[str]]):
     """Iterator function: text to chunks; a NULL text has none."""
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: [] if t is None else list(chunker(t)))
+    @F.arrow_udf(ArrayType(StringType()))
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in _pieces(batches):
+            yield pa.array([[] if t is None else list(chunker(t)) for t in texts], pa.list_(pa.string()))
 
     return split
 
@@ -75,17 +87,20 @@ def parser_udf(parser: Callable[[object], list[tuple]]):
 
     A document that fails gives NULL, so that the others go on.
     """
+    rows = pa.list_(pa.struct([("title", pa.string()), ("page_number", pa.int32()), ("text", pa.string())]))
 
     def guarded(content):
         try:
-            return [(title, int(number), text) for title, number, text in parser(content)]
+            return [
+                {"title": title, "page_number": int(number), "text": text} for title, number, text in parser(content)
+            ]
         except Exception:
             return None
 
-    @F.pandas_udf(PAGE_STRUCTS)
-    def pages(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for contents in batches:
-            yield contents.map(guarded)
+    @F.arrow_udf(PAGE_STRUCTS)
+    def pages(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for contents in _pieces(batches):
+            yield pa.array([guarded(c) for c in contents], rows)
 
     return pages
 
@@ -101,10 +116,10 @@ def parser_error_udf(parser: Callable[[object], list[tuple]]):
             return f"{type(e).__name__}: {e}"
         return None
 
-    @F.pandas_udf("string")
-    def errors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for contents in batches:
-            yield contents.map(error)
+    @F.arrow_udf("string")
+    def errors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for contents in _pieces(batches):
+            yield pa.array([error(c) for c in contents], pa.string())
 
     return errors
 
