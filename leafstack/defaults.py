@@ -27,4 +27,6 @@ GUIDED_TEMPLATE = (
 # Bounds behind size checks. Each one switches to another exact plan when passed.
 BROADCAST_VECTOR_BYTES = 64 * 1024 * 1024
 SEARCH_BLOCK_ROWS = 8_192
+GRID_BYTES = 64 * 1024 * 1024
 EMBED_BUCKETS = 64
+BATCH_BYTES = 1024 * 1024 * 1024

@@ -8,25 +8,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..defaults import BATCH_BYTES
 from ..schemas import RAW_FILES
+from ..session import few_listing_tasks
 
 
 def read_files_stream(
-    spark: SparkSession, folder: str, glob: str = "*.pdf", max_files: int = 1000
+    spark: SparkSession, folder: str, glob: str = "*.pdf", max_files: int | None = None,
+    max_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """Stream of files below ``folder``: each matching file is delivered once.
 
-    ``max_files`` bounds a micro-batch, so that a first run over a large
-    folder is cut into batches of a steady size.
+    ``max_bytes`` bounds a micro-batch, so that a first run over a large
+    folder is cut into batches of a steady size, however small its files are;
+    ``max_files``, if given, bounds it by their number instead.
     """
-    return (
-        spark.readStream.format("binaryFile")
-        .schema(RAW_FILES)
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", max_files)
-        .load(folder)
-    )
+    bound = ("maxBytesPerTrigger", max_bytes) if max_files is None else ("maxFilesPerTrigger", max_files)
+    with few_listing_tasks(spark):
+        return (
+            spark.readStream.format("binaryFile")
+            .schema(RAW_FILES)
+            .option("pathGlobFilter", glob)
+            .option("recursiveFileLookup", "true")
+            .option(*bound)
+            .load(folder)
+        )
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..schemas import CHUNKS, PARTS, ddl
+from ..session import few_listing_tasks
 
 
 def qualified(name: str) -> str:
@@ -59,6 +60,7 @@ def write_stream(
     )
     if path:
         writer = writer.option("path", path)
-    query = writer.toTable(qualified(table))
-    query.awaitTermination()
+    with few_listing_tasks(df.sparkSession):
+        query = writer.toTable(qualified(table))
+        query.awaitTermination()
     return query

@@ -12,6 +12,7 @@ from ..operators.documents import (
     assign_ids, chunk_sections, embed, explode_pages, hash_ids, known_paths, normalise_path, reject_rows,
 )
 from ..schemas import CHUNKS
+from ..session import few_listing_tasks
 from ..sources import qualified, read_files_stream, read_table_stream, write_stream
 from ..sources.paths import levels, stream_number
 
@@ -20,7 +21,7 @@ _PLACE = ["path", "page_number", "chunk_no"]
 
 def ingest_raw(
     spark: SparkSession, folder: str, table: str, checkpoint: str, glob: str = "*.pdf",
-    location: str | None = None, max_files: int = 1000,
+    location: str | None = None, max_files: int | None = None,
 ) -> StreamingQuery:
     """New files of a folder to the raw table, each once."""
     stream = read_files_stream(spark, folder, glob, max_files)
@@ -84,11 +85,12 @@ def ingest_numbered_chunks(
         written = session.read.schema(CHUNKS).parquet(f"{folder}/{place}")
         written.agg(F.coalesce(F.max("id"), F.lit(last)).alias("last")).write.mode("overwrite").parquet(f"{folder}/_last/{place}")
 
-    query = (
-        read_table_stream(spark, raw).writeStream.trigger(availableNow=True)
-        .option("checkpointLocation", checkpoint).foreachBatch(write).start()
-    )
-    query.awaitTermination()
+    with few_listing_tasks(spark):
+        query = (
+            read_table_stream(spark, raw).writeStream.trigger(availableNow=True)
+            .option("checkpointLocation", checkpoint).foreachBatch(write).start()
+        )
+        query.awaitTermination()
     return query
 
 

@@ -3,6 +3,7 @@ import uuid
 import pytest
 
 from leafstack.schemas import CHUNKS, EVAL_QUESTIONS, PARTS
+from leafstack.session import few_listing_tasks
 from leafstack.sources import ensure_chunks, ensure_parts, ensure_schema, from_rows, qualified
 from leafstack.streaming import (
     bucket_of, committed_version, expire_versions, ingest_numbered_chunks, ingest_raw, load_all, read_version, upsert_stream,
@@ -168,3 +169,18 @@ def test_from_rows(spark):
     a = from_rows(spark, rows, EVAL_QUESTIONS)
     b = from_rows(spark, pd.DataFrame(rows, columns=["question", "source"]), EVAL_QUESTIONS)
     assert a.schema == b.schema == EVAL_QUESTIONS and a.exceptAll(b).count() == 0
+
+
+def test_many_small_files_are_one_batch(spark, tmp_path):
+    folder = tmp_path / "in"
+    for i in range(1200):
+        (folder / f"d{i % 40}").mkdir(parents=True, exist_ok=True)
+        (folder / f"d{i % 40}" / f"{i}.txt").write_text(str(i))
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, raw = spark.conf.get(key), name("raw")
+    ingest_raw(spark, str(folder), raw, str(tmp_path / "progress"), "*.txt", str(tmp_path / "raw"))
+    assert spark.table(raw).select("path").distinct().count() == spark.table(raw).count() == 1200
+    assert [p.name for p in (tmp_path / "progress" / "commits").glob("[0-9]*")] == ["0"]
+    assert spark.conf.get(key) == before
+    with few_listing_tasks(spark):
+        assert int(spark.conf.get(key)) <= 4 * spark.sparkContext.defaultParallelism
