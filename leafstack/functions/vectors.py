@@ -116,7 +116,10 @@ class TopK:
             # Copies of one vector tie for every query; only the lowest ids can be answers.
             keep = first_copies(ids, vectors, self.k + self.skip_same)
             ids, vectors = ids[keep], vectors[keep]
-        vectors = prepare(vectors, self.metric)
+        self.add_prepared(ids, prepare(vectors, self.metric))
+
+    def add_prepared(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """As ``add``, for vectors that are prepared for the metric and of which few are the same."""
         step = max(1, _CELLS // len(self.q))
         for i in range(0, len(ids), step):
             self._add(ids[i:i + step], vectors[i:i + step])

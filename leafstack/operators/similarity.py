@@ -4,13 +4,16 @@
 and ``embedding``. The answer has ``query_id, id, rank, score``; equal scores
 are ordered by id.
 
-Three plans give it. If the query vectors are known to be few, they travel to
+Four plans give it. If the query vectors are known to be few, they travel to
 the scan of the chunks, which keeps k per query and task and shuffles only
 these. Otherwise chunks are grouped around sampled leader vectors, each query
 visits cells of this grouping, and the visits run as a cogroup whose groups
 are split to a fixed size. Visiting a number of cells is approximate, by
 default as many as reach a recall measured on a sample of the queries;
-visiting every cell that a distance bound cannot rule out is exact.
+visiting every cell that a distance bound cannot rule out is exact. Where that
+bound rules out little (a sample of the queries tells), an exact search meets
+large blocks of queries with large blocks of chunks instead, which sends a
+vector to a few blocks and not to most of the cells.
 """
 
 from __future__ import annotations
@@ -19,13 +22,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from ..defaults import BROADCAST_VECTOR_BYTES, SEARCH_BLOCK_ROWS, TOP_K
+from ..defaults import BROADCAST_VECTOR_BYTES, GRID_BYTES, SEARCH_BLOCK_ROWS, TOP_K
 from ..functions.vectors import TopK, matrix, pack, prepare, squared, unpack
 from ..session import settled
 
 _METRICS = ("l2", "cosine")
+#: Queries of a grid block that are compared at a time.
+GRID_QUERIES = 1024
 #: Cells of the first visit of an exact search, which only bounds the distance.
 PROBES = 32
 #: Of the true neighbours of so many sampled queries, an approximate search finds at least this share.
@@ -340,6 +345,96 @@ def _search(
     return left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(compare, schema)
 
 
+def visits_left(asked: DataFrame, held: DataFrame, leaders: np.ndarray, stats, k: int, metric: str, skip_same: bool) -> float:
+    """How many cells a query has to visit at least, on average over a sample of the queries and their true k-th keys.
+
+    The sample is compared with all vectors in one pass, which shuffles k rows per query and task.
+    """
+    some = asked.orderBy(F.xxhash64(F.lit(RECALL_SEED), "query_id"), "query_id").limit(RECALL_QUERIES).toArrow()
+    if not len(some):
+        return 0.0
+    vectors, ids = matrix(some.column("embedding")), some.column("query_id").to_pylist()
+    shipped = asked.sparkSession.sparkContext.broadcast((ids, vectors))
+
+    def scan(batches):
+        ids, vectors = shipped.value
+        best = TopK(vectors, ids, k, metric, skip_same)
+        for batch in batches:
+            best.add(np.asarray(batch.column(0), dtype=np.int64), unpack(batch.column(1)))
+        yield best.table()
+
+    nearest = Window.partitionBy("q").orderBy("key", "id")
+    last = held.select("id", "vector").mapInArrow(scan, "q int, id bigint, key double").withColumn(
+        "n", F.row_number().over(nearest)).filter(F.col("n") == k).select("q", "key").toArrow()
+    bound = np.full(len(ids), np.inf)
+    bound[last.column("q").to_numpy()] = last.column("key").to_numpy()
+    radius = np.full(len(leaders), -np.inf)
+    for cell, _, r in stats:
+        radius[cell] = r
+    reach = np.sqrt(bound * (1.0 if metric == "l2" else 2.0))[:, None] + radius[None, :] + 1e-6
+    return float((np.sqrt(squared(prepare(vectors, metric), leaders)) <= reach).sum(1).mean())
+
+
+def grid_blocks(spark: SparkSession, queries: int, chunks: int, width: int, block: int, limit: int = GRID_BYTES) -> tuple[int, int]:
+    """Blocks of queries and of chunks: of ``limit`` bytes at most, and enough of them for all cores unless they are under ``block`` rows."""
+    rows = max(1, limit // (4 * max(1, width)))
+    q_blocks = max(1, math.ceil(queries / rows))
+    spread = math.ceil(2 * spark.sparkContext.defaultParallelism / q_blocks)
+    return q_blocks, max(1, math.ceil(chunks / rows), min(spread, math.ceil(chunks / block)))
+
+
+def grid_search(
+    asked: DataFrame, held: DataFrame, k: int, metric: str, skip_same: bool, q_blocks: int, c_blocks: int,
+) -> DataFrame:
+    """Every block of queries against every block of ``held`` (``id, vector``): exact, whatever the vectors look like.
+
+    A task holds one block of either side. A query goes to ``c_blocks`` tasks,
+    a vector to ``q_blocks``, and a task gives out at most k rows per query.
+    """
+    schema = T.StructType([
+        T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("id", T.LongType()),
+        T.StructField("key", T.DoubleType()),
+    ])
+
+    def packed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pack(matrix(batch.column(1)))], names=["query_id", "vector"])
+
+    dealt = lambda name, n, salt: F.pmod(F.xxhash64(F.lit(salt), name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("query_id", "embedding").mapInArrow(
+        packed, T.StructType([schema["query_id"], T.StructField("vector", T.BinaryType())])
+    ).select(dealt("query_id", q_blocks, 1).alias("qb"), every(c_blocks).alias("cb"), "query_id", "vector")
+    right = held.select(every(q_blocks).alias("qb"), dealt("id", c_blocks, 2).alias("cb"), "id", "vector")
+
+    def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = [pa.Table.from_batches([], pa.schema([("query_id", asked.schema.field("query_id").type), ("id", pa.int64()), ("key", pa.float64())]))]
+        if len(asked) and len(held):
+            vectors = prepare(unpack(held.column("vector")), metric)
+            ids = np.asarray(held.column("id"), dtype=np.int64)
+            for i in range(0, len(asked), GRID_QUERIES):
+                some = asked.slice(i, GRID_QUERIES)
+                names = some.column("query_id").combine_chunks()
+                best = TopK(unpack(some.column("vector")), names.to_pylist() if skip_same else names, k, metric, skip_same)
+                best.add_prepared(ids, vectors)
+                found = best.table()
+                out.append(pa.Table.from_arrays(
+                    [names.take(found.column(0)), found.column(1), found.column(2)], names=["query_id", "id", "key"]))
+        return pa.concat_tables(out)
+
+    tasks = q_blocks * c_blocks
+    place = lambda df: df.repartition(tasks, "qb", "cb").groupBy("qb", "cb")
+    return place(left).cogroup(place(right)).applyInArrow(compare, schema)
+
+
+def grid_pays(asked: DataFrame, held: DataFrame, leaders, stats, k: int, metric: str, skip_same: bool, block: int) -> tuple[int, int] | None:
+    """The blocks of a grid if it sends fewer vectors than an exact visit of cells would, else None."""
+    queries, chunks = asked.count(), sum(n for _, n, _ in stats)
+    q_blocks, c_blocks = grid_blocks(asked.sparkSession, queries, chunks, leaders.shape[1], block)
+    visits = min(PROBES, len(leaders)) + visits_left(asked, held, leaders, stats, k, metric, skip_same)
+    return (q_blocks, c_blocks) if queries * c_blocks + chunks * q_blocks < queries * visits else None
+
+
 def _grouped(chunks, k, metric, cells, skip_same):
     """Leaders, the chunks assigned to them, and per cell its size and radius."""
     distinct = settled(first_copies(chunks, k + 1 if skip_same else k))
@@ -440,7 +535,10 @@ def topk(
     asked = settled(_vectors(queries, "query_id"))
     rows = few_queries(asked, max_bytes)
     if rows is None:
-        grouped = _grouped(chunks, k, metric, None, skip_same)
+        grouped = leaders, held, stats = _grouped(chunks, k, metric, None, skip_same)
+        blocks = grid_pays(asked, held, leaders, stats, k, metric, skip_same, block) if stats else None
+        if blocks:
+            return _attach(_rank(grid_search(asked, held, k, metric, skip_same, *blocks), k, metric), chunks, payload)
         return _attach(visit_cells(asked, grouped, k, metric, skip_same, None, block, exact=True), chunks, payload)
     most = sample_bound(rows, chunks, k, metric, skip_same)
     found = scan_topk(rows, asked.schema["query_id"].dataType, chunks, k, metric, skip_same, most)

@@ -31,7 +31,7 @@ from ..defaults import BROADCAST_VECTOR_BYTES, SEARCH_BLOCK_ROWS, TOP_K
 from ..functions.vectors import matrix, prepare
 from ..session import settled
 from ..sources.paths import levels
-from .similarity import PROBES, _probes, _rank, _search, _vectors, assign_cells, sample_leaders
+from .similarity import PROBES, _probes, _rank, _search, _vectors, assign_cells, grid_pays, grid_search, sample_leaders
 from .similarity import needed_cells, probes_for_recall, probes_from_curve
 
 _CELL = "id bigint, vector binary, distance double"
@@ -194,6 +194,13 @@ def sync(spark: SparkSession, root: str, changes: DataFrame) -> int:
     return version + 1
 
 
+def _first_copies(held: DataFrame, copies: int) -> DataFrame:
+    """The lowest ids of each distinct stored vector; of others none can be an answer."""
+    same = Window.partitionBy("__digest", "vector").orderBy("id")
+    return held.withColumn("__digest", F.xxhash64("vector")).withColumn("__n", F.row_number().over(same)).filter(
+        F.col("__n") <= copies).drop("__n", "__digest")
+
+
 def search(
     queries: DataFrame, root: str, k: int = TOP_K, probes: int | None = None, version: int | None = None,
     skip_same: bool = False, block: int = SEARCH_BLOCK_ROWS, recall: float | None = None,
@@ -206,7 +213,9 @@ def search(
     filters on stored payload columns inside the scan (Parquet skips row
     groups whose ranges cannot match); an exact search stays exact, as its
     bound comes from the filtered answer. ``payload`` names stored columns
-    to return with each answer.
+    to return with each answer. An exact search of more than ``block``
+    queries compares blocks of queries with blocks of all vectors if a sample
+    shows that the bound would leave most cells to visit anyway.
     """
     spark = queries.sparkSession
     version = versions(spark, root)[-1] if version is None else version
@@ -220,8 +229,6 @@ def search(
         stored = curve(spark, root, version)
         probes = probes_from_curve(stored, recall) if stored is not None else probes_for_recall(
             asked, _cells(spark, root, manifest).select("id", "vector", "cell"), leaders, k, metric, skip_same, recall)
-    shipped = spark.sparkContext.broadcast(leaders)
-
     seen: set[int] = set()
 
     def visit(probed: DataFrame) -> DataFrame:
@@ -237,6 +244,14 @@ def search(
             return found
         return found.join(_cells(spark, root, manifest, sorted(seen)).select("id", *payload), "id")
 
+    if probes is None and asked.count() > block:
+        held = _cells(spark, root, manifest)
+        held = (held.filter(where) if where is not None else held).select("id", "vector")
+        blocks = grid_pays(asked, held, leaders, stats, k, metric, skip_same, block)
+        if blocks:
+            seen.update(manifest)
+            return attach(_rank(grid_search(asked, _first_copies(held, k + skip_same), k, metric, skip_same, *blocks), k, metric))
+    shipped = spark.sparkContext.broadcast(leaders)
     unbounded = asked.withColumn("most", F.lit(float("inf")))
     count = min(len(leaders), probes or PROBES)
     first = visit(settled(_probes(unbounded, shipped, stats, count, metric)))
