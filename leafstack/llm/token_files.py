@@ -15,13 +15,17 @@ never read.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 import xxhash
@@ -37,91 +41,207 @@ from .common import table
 FRAME_BYTES = 1 << 18
 END_ID = 2
 SLICE_BYTES = 4 << 20
-#: Bytes of remembered words and their codes (counted with a fixed cost per entry) before they are let go.
-CACHED_BYTES = 64 << 20
-ENTRY_BYTES = 120
+#: Bytes of remembered pieces of words and their codes; those of the last slice alone stay when there are more.
+CACHED_BYTES = 32 << 20
+#: Pieces given to the tokenizer at once.
+LEARNED = 20_000
 SUFFIX = ".tokens.zst"
 
 # Fixed values of the public seekable zstandard format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 
-# Fixed value: how the vocabulary's pre-tokenizer cuts lower-case text.
+# Fixed value: how the vocabulary's pre-tokenizer cuts lower-case text, and its short forms.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SHORT_FORMS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+NOT_LATIN = re.compile(r"[\u0250-\U0010ffff]|<\|")
+ASCII_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
 class Encoder:
     """Ids of texts as bytes, equal to encoding the whole text at once.
 
     White space always parts tokens here, so texts are cut at ASCII white
-    space and each distinct word is encoded once. Latin words are cut as the
-    pre-tokenizer does and encoded in large batches; all others, and words
-    with special tokens, take the tokenizer's own way.
+    space and each distinct word of a slice is encoded once. Latin words are
+    cut as the pre-tokenizer does, and each distinct piece is encoded once, in
+    large batches; all others, and words with special tokens, are pieces of
+    their own and take the tokenizer's own way. Texts, words, pieces and codes
+    are Arrow arrays, with no object per word of a text. Pieces and their codes
+    are remembered up to ``cached`` bytes.
     """
 
     def __init__(self, path: str, cached: int = CACHED_BYTES):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        # The task has its core; threads would only add their own heaps.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.parts = Tokenizer.from_file(path)
-        self.parts.normalizer = normalizers.Sequence([])
+        self.parts = Tokenizer(self.whole.model)
         self.parts.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         vocab = self.whole.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words, self.tokens, self.cached, self.held = {}, {}, cached, 0
-        self.pattern = regex.compile(PRE_TOKEN)
-
-    def _learn(self, words: list[bytes]) -> None:
-        cut = {}
-        for w in words:
-            text = w.decode("utf-8", "replace")
-            if max(text) < "ɐ" and "<|" not in text:
-                cut[w] = self.pattern.findall(text.lower())
+        self.cached = cached
+        self.forget()
+
+    def forget(self) -> None:
+        """Let go of all remembered pieces."""
+        self.keys, self.codes = pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+    @property
+    def held(self) -> int:
+        """Bytes of the remembered pieces and their codes."""
+        return self.keys.nbytes + self.codes.nbytes
+
+    def _pieces(self, words: pa.Array) -> pa.Array:
+        """The pieces of the words (binary) in order; a line end, as a piece of its own, follows each word."""
+        data = _joined(words)
+        if data.isascii() and b"<|" not in data:
+            return _cut(data.lower())
+        text = data.decode("utf-8", "replace")
+        if _latin(text):
+            return _cut(text.lower().encode())
+        pieces, plain = [], []
+        for word in text[:-1].split("\n"):
+            if _latin(word):
+                plain.append(word)
             else:
-                self.words[w] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                self.held += 2 * ENTRY_BYTES + len(w) + len(self.words[w])
-        new = list({t for parts in cut.values() for t in parts if t not in self.tokens})
-        if new:
-            groups = [new[i:i + 500] for i in range(0, len(new), 500)]
+                pieces += [_cut("".join(f"{w}\n" for w in plain).lower().encode()), pa.array([word, "\n"])]
+                plain = []
+        return pa.concat_arrays([*pieces, _cut("".join(f"{w}\n" for w in plain).lower().encode())])
+
+    def _learn(self, new: list[str]) -> pa.Array:
+        """Codes of pieces."""
+        codes, blank, latin = [b""] * len(new), _blank(), _latin("\n".join(new))
+        plain = []
+        for k, piece in enumerate(new):
+            if latin or _latin(piece):
+                if piece[0] not in blank:
+                    plain.append(k)
+            else:
+                codes[k] = np.array(self.whole.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        for at in range(0, len(plain), LEARNED):
+            some = plain[at:at + LEARNED]
+            groups = [[new[k] for k in some[i:i + 500]] for i in range(0, len(some), 500)]
             coded = self.parts.encode_batch_fast(groups, add_special_tokens=False, is_pretokenized=True)
             flat = np.concatenate([np.array(e.ids, "<u4") for e in coded])
             stops = np.flatnonzero(self.ends[flat]) + 1
-            if len(stops) != len(new):
+            if len(stops) != len(some):
                 raise ValueError("a token of the vocabulary has no word end")
             start, raw = 0, flat.tobytes()
-            for t, stop in zip(new, (stops * 4).tolist()):
-                self.tokens[t] = raw[start:stop]
-                self.held += 2 * ENTRY_BYTES + len(t) + stop - start
+            for k, stop in zip(some, (stops * 4).tolist()):
+                codes[k] = raw[start:stop]
                 start = stop
-        for w, parts in cut.items():
-            self.words[w] = b"".join([self.tokens[t] for t in parts])
-            self.held += 2 * ENTRY_BYTES + len(w) + len(self.words[w])
-
-    def forget(self) -> None:
-        """Let go of all remembered words."""
-        self.words.clear()
-        self.tokens.clear()
-        self.held = 0
+        return pa.array(codes, pa.large_binary())
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, memoryview]:
+        """Where each text's ids start and end in bytes, and all ids; ``texts`` is a binary array without NULLs."""
+        words, firsts = _words(texts)
+        words = words.dictionary_encode()
+        pieces = self._pieces(words.dictionary).dictionary_encode()
+        seen = pieces.dictionary
+        at = pc.index_in(seen, self.keys)
+        if at.null_count:
+            unknown = np.asarray(at.is_null())
+            at = np.asarray(at.fill_null(0)).copy()
+            at[unknown] = len(self.keys) + np.arange(np.count_nonzero(unknown))
+            new = seen.filter(pa.array(unknown))
+            self.codes = pa.concat_arrays([self.codes, self._learn(new.to_pylist())])
+            self.keys = pa.concat_arrays([self.keys, new])
+        found = self.codes.take(pa.array(at))
+        if self.held > self.cached:
+            self.keys, self.codes = seen, found
+            if self.held > self.cached:
+                self.forget()
+        offsets, raw = _contents(found.take(pieces.indices))
+        stops = np.flatnonzero(np.asarray(pc.equal(pieces.indices, pc.index(seen, "\n")))) + 1
+        by_word = pa.Array.from_buffers(
+            pa.large_binary(), len(words.dictionary),
+            [None, pa.py_buffer(np.concatenate([[0], offsets[stops]]).astype("i8")), pa.py_buffer(raw)])
+        offsets, raw = _contents(by_word.take(words.indices))
+        return offsets[firsts], raw
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if self.held > self.cached:
-            self.forget()
-        cut = [t.split() for t in texts]
-        new = set()
-        for words in cut:
-            new.update(words)
-        new.difference_update(self.words)
-        if new:
-            self._learn(list(new))
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+        offsets, raw = self.encode_array(pa.array(texts, pa.binary()))
+        return [bytes(raw[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+
+
+# Classes of characters: white space, letters, those that stand alone (digits, and the line end after a word), others.
+SPACE, LETTER, ALONE, OTHER = range(4)
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """The class of every character up to U+2FFF, which holds the Latin ones and their lower case."""
+    classes, every = np.full(0x3000, OTHER, "u1"), "".join(map(chr, range(0x3000)))
+    for kind, pattern in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (ALONE, r"\p{N}|\n")):
+        classes[[ord(c) for c in regex.findall(pattern, every)]] = kind
+    return classes
+
+
+@lru_cache(maxsize=1)
+def _blank() -> frozenset:
+    return frozenset([*map(chr, np.flatnonzero(_classes() == SPACE).tolist()), "\n"])
+
+
+def _latin(text: str) -> bool:
+    return not NOT_LATIN.search(text)
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (binary) between ASCII white space, and the number of words before each text's end."""
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, "i4")[texts.offset:texts.offset + len(texts) + 1].astype("i8") if len(texts) else np.zeros(1, "i8")
+    data = np.frombuffer(data or b"", "u1")[offsets[0]:offsets[-1]]
+    offsets -= offsets[0]
+    inside = ~ASCII_SPACE[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    heads = offsets[:-1][offsets[:-1] < len(data)]
+    first[heads] = inside[heads]
+    at = np.flatnonzero(first)
+    places = np.concatenate([np.cumsum(inside, dtype="i4")[at] - 1, [np.count_nonzero(inside)]]).astype("i4")
+    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(places), pa.py_buffer(data[inside])])
+    return words, np.searchsorted(at, offsets)
+
+
+def _joined(words: pa.Array) -> bytes:
+    """The words with a line end after each."""
+    joined = pc.binary_join_element_wise(words, pa.scalar(b"\n"), pa.scalar(b""))
+    return joined.buffers()[2].to_pybytes() if len(words) else b""
+
+
+def _cut(data: bytes) -> pa.Array:
+    """The pieces of lower-case Latin text as ``PRE_TOKEN`` cuts it; white space and line ends are pieces too."""
+    chars = np.frombuffer(data.decode().encode("utf-32-le"), "<u4")
+    if not len(chars):
+        return pa.array([], pa.string())
+    kinds = _classes()[chars]
+    first = np.ones(len(chars) + 1, bool)
+    first[1:-1] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == ALONE)
+    # an apostrophe that starts a piece takes the letters of a short form with it
+    for form in SHORT_FORMS:
+        here = np.flatnonzero(first[:-len(form)] & (chars[:len(chars) + 1 - len(form)] == ord("'")))
+        for k, c in enumerate(form[1:], 1):
+            here = here[chars[here + k] == ord(c)]
+        first[here + 1] = False
+        first[here + len(form)] = True
+    sizes = 1 + (chars >= 0x80) + (chars >= 0x800)
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype="i4")])[first].astype("i4")
+    return pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _contents(values: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Offsets (from 0) and bytes of a large binary array that is not a slice."""
+    _, offsets, data = values.buffers()
+    offsets = np.frombuffer(offsets, "i8", len(values) + 1) if len(values) else np.zeros(1, "i8")
+    return offsets, memoryview(data if data is not None else b"")
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The process's encoder; its remembered words are bounded by bytes and let go at the end of each task."""
+    """The process's encoder; what it remembers from task to task is bounded by bytes."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -232,15 +352,15 @@ def write_tokens(
                 out = store.open_output_stream(f"{base}/{name}", compression=None)
                 writer = FrameWriter(out, frame_bytes)
             ids, sizes = batch.column("doc_id"), []
-            for doc_id, raw in zip(ids.to_pylist(), code.encode(batch.column("body").to_pylist())):
-                writer.add(doc_id, raw + end)
-                sizes.append(len(raw) // 4 + 1)
+            offsets, raw = code.encode_array(batch.column("body"))
+            for doc_id, start, stop in zip(ids.to_pylist(), offsets.tolist(), offsets[1:].tolist()):
+                writer.add(doc_id, bytes(raw[start:stop]) + end)
+                sizes.append((stop - start) // 4 + 1)
             yield pa.RecordBatch.from_arrays([
                 pa.array([name] * len(sizes)), pa.array(range(place, place + len(sizes)), pa.int64()),
                 ids.cast(pa.int64()), pa.array(sizes, pa.int64()),
             ], ["file", "place", "doc_id", "n_tokens"])
             place += len(sizes)
-        code.forget()
         if out is not None:
             writer.close()
             out.close()
@@ -264,33 +384,33 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     index = spark.read.parquet(f"{path}/index")
     shards = index.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()
     starts, total = [], 0
-    for row in sorted(shards, key=lambda r: r["file"]):
-        starts.append((row["file"], total))
+    for k, row in enumerate(sorted(shards, key=lambda r: r["file"])):
+        starts.append((k, row["file"], total))
         total += row["n"]
-    shard_table = spark.createDataFrame(starts, "file string, base bigint")
     if not starts:
         return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-    content = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(path)
-    content = content.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(F.broadcast(shard_table), "file")
+    shard_table = spark.createDataFrame(starts, "id bigint, file string, base bigint")
+    # one task per file
+    files = spark.range(0, len(starts), 1, len(starts)).join(F.broadcast(shard_table), "id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = _store(path)
         for batch in batches:
-            for k in range(batch.num_rows):
-                data = memoryview(batch.column("content")[k].as_buffer())
-                reader = FrameReader(lambda at, n, data=data: data[at:at + n], len(data))
-                sums = []
-                for i in range(len(reader.ids)):
-                    crc = 0
-                    for piece in reader.pieces(i):
-                        crc = zlib.crc32(piece, crc)
-                    sums.append(crc)
-                base = batch.column("base")[k].as_py()
+            for file, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist()):
+                with store.open_input_file(f"{folder}/{file}") as source:
+                    reader = FrameReader(lambda at, n, f=source: f.read_at(n, at), source.size())
+                    sums = []
+                    for i in range(len(reader.ids)):
+                        crc = 0
+                        for piece in reader.pieces(i):
+                            crc = zlib.crc32(piece, crc)
+                        sums.append(crc)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(reader.ids, mask=reader.known == 0), pa.array(reader.offsets[:-1] + base, pa.int64()),
                     pa.array(reader.sizes, pa.int64()), pa.array(sums, pa.int64()),
                 ], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return content.select("content", "base").mapInArrow(
+    return files.select("file", "base").mapInArrow(
         read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     )
 
