@@ -7,8 +7,9 @@ in UTF-8 with U+2581 as a space and ``<0xHH>`` as byte HH. A text whose A or
 B bytes, joined, are not the space and the text gets no tokens.
 
 Within an Arrow batch (bounded by bytes) all tokens of all documents form two
-frames; ``pandas.merge_asof`` keyed by document finds for every token start
-the other side's token that covers it, in both directions. Two byte ranges
+frames; ``pandas.merge_asof`` by document and offset, as one ascending key,
+finds for every token start the other side's token that covers it, in both
+directions. Two byte ranges
 overlap exactly when one starts inside the other, so the union of both merges
 is every overlapping (A, B) pair. Offsets where an A and a B token both end
 cut the text into groups.
@@ -124,26 +125,46 @@ def _frame(docs: list[int], ids: list[np.ndarray], ends: list[np.ndarray], offse
     lengths = [len(e) for e in ends]
     starts = np.concatenate([np.concatenate([[0], e[:-1]]) for e in ends]) + np.repeat(offsets, lengths)
     return pd.DataFrame({
-        "doc": np.repeat(np.asarray(docs, np.int64), lengths), "start": starts,
-        "pos": np.concatenate([np.arange(n) for n in lengths]), "id": np.concatenate(ids),
+        "doc": np.repeat(np.asarray(docs, np.int64), lengths), "start": starts, "id": np.concatenate(ids),
     })
 
 
-def _groups(ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray, common: np.ndarray) -> bytes:
-    """``a1,a2|b1;a3|b2,b3`` as UTF-8: per group its A ids, then its B ids; every group has some of both."""
-    group = np.concatenate([np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)])
-    side = np.repeat([0, 1], [len(ids_a), len(ids_b)])
-    order = np.lexsort((side, group))
-    group, side, ids = group[order], side[order], np.concatenate([ids_a, ids_b])[order]
-    same = np.zeros(len(ids), bool)
-    same[:-1] = (group[1:] == group[:-1]) & (side[1:] == side[:-1])
-    code = np.where(same, 0, np.where(side == 0, 1, 2))
-    code[-1] = 3
-    # each id with its separator, then the values' bytes as Arrow holds them: one after the other
-    seps = SEPARATORS.take(pa.array(code))
-    joined = pc.binary_join_element_wise(pc.cast(pa.array(ids), pa.string()), seps, "")
-    offsets = np.frombuffer(joined.buffers()[1], np.int32)
-    return joined.buffers()[2].to_pybytes()[offsets[0]:offsets[len(joined)]]
+def _groups(fa: pd.DataFrame, ends_a: np.ndarray, fb: pd.DataFrame, ends_b: np.ndarray) -> tuple[list[int], list[memoryview]]:
+    """Of all texts at once: how many groups each has, and its groups as ``a1,a2|b1;a3|b2,b3`` in UTF-8.
+
+    Ends count from the batch's first text, and ascend; every group has tokens of both sides.
+    """
+    # the last tokens of groups end where the other side's tokens end too
+    stop_a, stop_b = np.zeros(ends_a[-1] + 1, bool), np.zeros(ends_a[-1] + 1, bool)
+    stop_a[ends_a], stop_b[ends_b] = True, True
+    last_a, last_b = stop_b[ends_a], stop_a[ends_b]
+    # the group of a token is the number of groups closed before it; a group's A tokens stand before its B tokens
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    n_groups = int(group_a[-1]) + 1
+    per_a, per_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
+    at_a = np.arange(len(group_a)) + (np.cumsum(per_b) - per_b)[group_a]
+    at_b = np.arange(len(group_b)) + np.cumsum(per_a)[group_b]
+    ids, code = np.empty(len(at_a) + len(at_b), np.int32), np.zeros(len(at_a) + len(at_b), np.int8)
+    ids[at_a], ids[at_b] = fa["id"].to_numpy(), fb["id"].to_numpy()
+    code[at_a[last_a]], code[at_b[last_b]] = 1, 2
+    # the last token of each text has no separator
+    docs = fb["doc"].to_numpy()
+    text_end = np.append(docs[1:] != docs[:-1], True)
+    stops = at_b[text_end]
+    code[stops] = 3
+    # each id with its separator is looked up by one number; Arrow holds the values' bytes one after the other
+    joined = _numbers().take(pa.array(ids * np.int32(4) + code))
+    offsets = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1)
+    raw, cuts = joined.buffers()[2], offsets[np.concatenate([[0], stops + 1])].tolist()
+    counts = np.diff(np.concatenate([[0], group_b[text_end] + 1])).tolist()
+    return counts, [memoryview(raw)[x:y] for x, y in zip(cuts, cuts[1:])]
+
+
+@lru_cache(maxsize=1)
+def _numbers() -> pa.Array:
+    """Every 16-bit id followed by every separator, at ``4 * id + separator``."""
+    ids = pc.cast(pa.array(np.repeat(np.arange(1 << 16, dtype=np.int32), len(SEPARATORS))), pa.string())
+    return pc.binary_join_element_wise(ids, SEPARATORS.take(pa.array(np.tile(np.arange(len(SEPARATORS)), 1 << 16))), "")
 
 
 def align_batch(
@@ -181,20 +202,22 @@ def align_batch(
         return out, none
     offsets = np.concatenate([[0], np.cumsum([e[-1] for e in a_ends])[:-1]])
     fa, fb = _frame(docs, a_ids, a_ends, offsets), _frame(docs, b_ids, b_ends, offsets)
-    a_in_b = pd.merge_asof(fa, fb, on="start", by="doc", suffixes=("_a", "_b"))
-    b_in_a = pd.merge_asof(fb, fa.assign(start_a=fa["start"]), on="start", by="doc", suffixes=("_b", "_a"))
-    cols = ["doc", "pos_a", "pos_b", "id_a", "id_b"]
+    # Starts count from the batch's first text and every text's first tokens start together, so the
+    # last start at or before a token is one of its own document: the key names the document as well.
+    a_in_b = pd.merge_asof(fa, fb, on="start", suffixes=("_a", "_b"))
+    b_in_a = pd.merge_asof(fb, fa.assign(start_a=fa["start"]), on="start", suffixes=("_b", "_a"))
     # A pair whose tokens start together is found from both sides; keep it once.
-    links = pd.concat([a_in_b[cols], b_in_a.loc[b_in_a["start"] != b_in_a["start_a"], cols]])
-    per_doc = links.groupby("doc").size()
+    fresh = b_in_a["start"].to_numpy() != b_in_a["start_a"].to_numpy()
+    link_docs = np.concatenate([fa["doc"].to_numpy(), fb["doc"].to_numpy()[fresh]])
+    link_a = np.concatenate([a_in_b["id_a"].to_numpy(), b_in_a["id_a"].to_numpy()[fresh]])
+    link_b = np.concatenate([a_in_b["id_b"].to_numpy(), b_in_a["id_b"].to_numpy()[fresh]])
+    n_links = np.bincount(link_docs, minlength=len(texts))
     # one key per (text, A id, B id): ids fit in 16 bits each
-    key, n = np.unique((links["doc"].to_numpy() << 32) | (links["id_a"].to_numpy() << 16) | links["id_b"].to_numpy(),
-                       return_counts=True)
+    key, n = np.unique((link_docs << 32) | (link_a << 16) | link_b, return_counts=True)
     pairs = pd.DataFrame({"doc": key >> 32, "id_a": (key >> 16) & 0xFFFF, "id_b": key & 0xFFFF, "n": n})
-    for d, ids_a, ends_a, ids_b, ends_b in zip(docs, a_ids, a_ends, b_ids, b_ends):
-        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        groups = _groups(ids_a, ends_a, ids_b, ends_b, common)
-        out[d] = (len(ids_a), len(ids_b), len(common), int(per_doc[d]), hashlib.sha256(groups).hexdigest())
+    stops_a, stops_b = (np.concatenate([e + o for e, o in zip(ends, offsets)]) for ends in (a_ends, b_ends))
+    for d, ids_a, ids_b, n_groups, groups in zip(docs, a_ids, b_ids, *_groups(fa, stops_a, fb, stops_b)):
+        out[d] = (len(ids_a), len(ids_b), n_groups, int(n_links[d]), hashlib.sha256(groups).hexdigest())
     return out, pairs
 
 
@@ -237,11 +260,14 @@ def alignments(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     schema = f"doc_id {documents.schema[id_col].dataType.simpleString()}, row long, {OUT}"
     done = landed(rows.mapInArrow(lambda it: _aligned(it, a_path, b_path, ranks_path), schema), "aligned")
-    links = done.select("row", F.explode("links").alias("l")).select("row", "l.a", "l.b", "l.n")
-    counts = links.groupBy("a", "b").agg(F.count(F.lit(1)).alias("docs"))
+    # one number names a pair, so that rows are narrow and hash at once
+    links = done.select("row", F.explode("links").alias("l")).select(
+        "row", (F.shiftleft(F.col("l.a").cast("long"), 32) + F.col("l.b")).alias("pair"), "l.n")
+    counts = links.groupBy("pair").agg(F.count(F.lit(1)).alias("docs")).withColumn("a", F.shiftright("pair", 32))
     best = counts.groupBy("a").agg(F.max("docs").alias("best"))
-    info = counts.join(best, "a").select("a", "b", "docs", (F.col("docs") == F.col("best")).alias("top"))
-    per_row = links.join(info, ["a", "b"]).groupBy("row").agg(
+    info = counts.join(best, "a").select("pair", "docs", (F.col("docs") == F.col("best")).alias("top"))
+    # the many links stream past the distinct pairs of their partition, unsorted
+    per_row = links.join(info.hint("shuffle_hash"), "pair").groupBy("row").agg(
         F.sum(F.when(F.col("top"), F.col("n")).otherwise(0)).cast("long").alias("n_best"),
         F.sum(F.col("n") * F.col("docs")).cast("long").alias("count_sum"),
     )

@@ -102,3 +102,19 @@ def test_odd_rows(spark, odd):
     empty = [r for r in got if r.doc_id in (2, 3)]
     assert empty and all(r.n_a == r.n_b == r.n_links == r.count_sum == 0 for r in empty)
     assert max(r.n_a for r in got) > 100_000
+
+
+def test_texts_of_a_batch_do_not_meet():
+    texts = ["ab", None, "b", "", "Hello world", "x\u0000y", "naïve café", "Hello world"]
+    paths = [public_tokenizers.path(f) for f in (alignment.A_FILE, alignment.B_FILE, alignment.A_RANKS)]
+    rows, pairs = alignment.align_batch(texts, *paths)
+    alone = [alignment.align_batch([t], *paths) for t in texts]
+    assert rows == [r[0] for r, _ in alone]
+    assert pairs[["id_a", "id_b", "n"]].to_numpy().tolist() == [
+        p for _, one in alone for p in one[["id_a", "id_b", "n"]].to_numpy().tolist()]
+
+
+def test_links_are_not_sorted_to_meet_their_counts(spark):
+    plan = alignment.alignments(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan =="):]
+    assert "ShuffledHashJoin [pair" in physical and "SortMergeJoin [pair" not in physical
