@@ -1,8 +1,9 @@
-"""Arrow batches of documents cut to a bounded number of bytes."""
+"""Arrow batches of documents cut to a bounded number of bytes, and what tasks on them leave behind."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,3 +28,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             held += n
         if len(data):
             yield batch.slice(start)
+
+
+def releasing(work: Callable) -> Callable:
+    """``work`` (for ``mapInArrow``), after which a task gives freed memory back to the system.
+
+    Workers outlive tasks and stages; what their allocators keep counts as the executor's memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .arrow import slices
+from .arrow import releasing, slices
 from .common import remainder, table
 from .sampling import sample
 from .texts import pieces
@@ -261,7 +261,7 @@ def learn_languages(
             )
 
     counted = chosen.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(
-        count, "lang string, word string, n bigint"
+        releasing(count), "lang string, word string, n bigint"
     ).groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, dict[str, int]] = {}
     for lang, word, n in zip(*(counted.column(c).to_pylist() for c in ("lang", "word", "n"))):
@@ -311,7 +311,7 @@ def tagged(
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = documents.select(*([] if inside else [text.alias("body")]), *passed)
     schema = StructType([*rows.schema.fields[0 if inside else 1:], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(predict, schema)
+    return rows.mapInArrow(releasing(predict), schema)
 
 
 def languages(

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import settled
-from .arrow import bodies, slices
+from .arrow import bodies, releasing, slices
 from .common import table
 from .components import components
 from .texts import pieces
@@ -81,7 +81,7 @@ def fingerprints(
             )
 
     rows = bodies(documents, id_col, text_col, F.xxhash64(text_col).alias("text_key"))
-    return rows.mapInArrow(read, "doc_id bigint, text_key bigint, fp bigint")
+    return rows.mapInArrow(releasing(read), "doc_id bigint, text_key bigint, fp bigint")
 
 
 def _syndrome(bits31: np.ndarray) -> np.ndarray:
@@ -133,7 +133,7 @@ def _replicas(nodes: DataFrame) -> DataFrame:
                         [pa.array(keys), pa.array(kind), pa.array(values)], ["anchor", "visit", "fp"]
                     )
 
-    return nodes.select("fp").mapInArrow(read, "anchor bigint, visit tinyint, fp bigint")
+    return nodes.select("fp").mapInArrow(releasing(read), "anchor bigint, visit tinyint, fp bigint")
 
 
 class Tile:
@@ -207,7 +207,7 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, tile_homes: int = TIL
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     placed = tiled.repartition("anchor", "tile").sortWithinPartitions("anchor", "tile", "visit")
-    return placed.select("anchor", "tile", "visit", "fp").mapInArrow(compare, "a bigint, b bigint").filter("a != b")
+    return placed.select("anchor", "tile", "visit", "fp").mapInArrow(releasing(compare), "a bigint, b bigint").filter("a != b")
 
 
 def near_groups(

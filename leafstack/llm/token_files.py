@@ -35,14 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from .arrow import bodies, slices
+from .arrow import bodies, releasing, slices
 from .common import table
 
 FRAME_BYTES = 1 << 18
 END_ID = 2
 SLICE_BYTES = 4 << 20
 #: Bytes of remembered pieces of words and their codes; those of the last slice alone stay when there are more.
-CACHED_BYTES = 32 << 20
+CACHED_BYTES = 8 << 20
 #: Pieces given to the tokenizer at once.
 LEARNED = 20_000
 SUFFIX = ".tokens.zst"
@@ -365,7 +365,7 @@ def write_tokens(
             writer.close()
             out.close()
 
-    index = ordered.mapInArrow(write, "file string, place bigint, doc_id bigint, n_tokens bigint")
+    index = ordered.mapInArrow(releasing(write), "file string, place bigint, doc_id bigint, n_tokens bigint")
     index.write.parquet(f"{path}/index")
     return documents.sparkSession.read.parquet(f"{path}/index")
 
@@ -385,11 +385,12 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     shards = index.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()
     starts, total = [], 0
     for k, row in enumerate(sorted(shards, key=lambda r: r["file"])):
-        starts.append((k, row["file"], total))
+        starts.append({"id": k, "file": row["file"], "base": total})
         total += row["n"]
     if not starts:
         return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-    shard_table = spark.createDataFrame(starts, "id bigint, file string, base bigint")
+    # from Arrow, as rows of Python objects would pass through workers of their own
+    shard_table = spark.createDataFrame(pa.Table.from_pylist(starts))
     # one task per file
     files = spark.range(0, len(starts), 1, len(starts)).join(F.broadcast(shard_table), "id")
 
@@ -411,7 +412,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
                 ], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return files.select("file", "base").mapInArrow(
-        read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+        releasing(read), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     )
 
 
@@ -434,7 +435,7 @@ def read_documents(spark: SparkSession, path: str, wanted: DataFrame) -> DataFra
                     ["doc_id", "ids"],
                 )
 
-    return found.select("file", "place").mapInArrow(read, "doc_id bigint, ids array<bigint>")
+    return found.select("file", "place").mapInArrow(releasing(read), "doc_id bigint, ids array<bigint>")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

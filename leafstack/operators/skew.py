@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settled
@@ -28,9 +29,11 @@ def number_rows(
     sizes = placed.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect()
     offsets, total = [], start
     for row in sorted(sizes, key=lambda r: r["__pid"]):
-        offsets.append((row["__pid"], total))
+        offsets.append({"__pid": row["__pid"], "__base": total})
         total += row["n"]
-    table = spark.createDataFrame(offsets, "__pid int, __base bigint")
+    # from Arrow, as rows of Python objects would pass through Python workers
+    schema = pa.schema([("__pid", pa.int32()), ("__base", pa.int64())])
+    table = spark.createDataFrame(pa.Table.from_pylist(offsets, schema))
     return (
         placed.join(F.broadcast(table), "__pid")
         .withColumn(name, F.col("__base") + F.col("__seq"))
