@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -18,22 +19,59 @@ from ..schemas import PAGE_STRUCTS
 #: Of an Arrow batch, so many bytes are Python objects at a time.
 PIECE_BYTES = 2 * 1024 * 1024
 _TOKEN_BREAK = r"[^\p{L}\p{N}]+"
+_MD5_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_MD5_SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2 ** 32)) for i in range(64)]
+_MD5_MIXES = (
+    lambda b, c, d: d ^ (b & (c ^ d)), lambda b, c, d: c ^ (d & (b ^ c)),
+    lambda b, c, d: b ^ c ^ d, lambda b, c, d: c ^ (b | ~d),
+)
 _SENTENCE_BREAK = re.compile(r"(?<=[.!?])[ \t\n\r\f\v]+")
 
 
+def _md5_heads(tokens: pa.LargeStringArray) -> np.ndarray:
+    """The first 32 bits of the MD5 of each token, -1 for an empty one.
+
+    Tokens that fit one block of the digest are hashed together, a column of
+    numbers for each of its words.
+    """
+    out = np.full(len(tokens), -1, np.int64)
+    if not len(tokens):
+        return out
+    ends = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset:tokens.offset + len(tokens) + 1]
+    data = np.frombuffer(tokens.buffers()[2] or b"", np.uint8)
+    sizes = np.diff(ends)
+    for i in np.flatnonzero(sizes > 55):
+        out[i] = int(hashlib.md5(data[ends[i]:ends[i + 1]].tobytes()).hexdigest()[:8], 16)
+    some = np.flatnonzero((sizes > 0) & (sizes <= 55))
+    sizes, at = sizes[some], np.arange(len(some))
+    row = np.repeat(at, sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    block = np.zeros((len(some), 64), np.uint8)
+    block[row, place] = data[ends[some][row] + place]
+    block[at, sizes] = 0x80
+    word = np.ascontiguousarray(block.view("<u4").T)
+    word[14] = sizes * 8
+    a, b, c, d = (np.full(len(some), x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    for i in range(64):
+        kind = i // 16
+        mixed = _MD5_MIXES[kind](b, c, d) + a + _MD5_SINES[i] + word[(i, 5 * i + 1, 3 * i + 5, 7 * i)[kind] % 16]
+        turn = _MD5_TURNS[kind][i % 4]
+        a, b, c, d = d, b + (mixed << turn | mixed >> (32 - turn)), b, c
+    out[some] = (a + np.uint32(0x67452301)).byteswap()
+    return out
+
+
 def hash_embed(texts: Sequence[str], buckets: int = EMBED_BUCKETS) -> list[np.ndarray]:
     """Stand-in for a model: hashed token counts, scaled to unit length.
 
-    Tokens are found and encoded by Arrow; each distinct one is hashed once.
+    Tokens are found and encoded by Arrow; each distinct one is hashed once, all at a time.
     """
     lower = pc.utf8_lower(pa.array(["" if t is None else t for t in texts], pa.large_string()))
     lists = pc.split_pattern_regex(lower, _TOKEN_BREAK)
     row = pc.list_parent_indices(lists).to_numpy()
     coded = pc.list_flatten(lists).dictionary_encode()
-    slot = np.array([
-        int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % buckets if token else -1
-        for token in coded.dictionary.to_pylist()
-    ], dtype=np.int64)[coded.indices.to_numpy()]
+    number = _md5_heads(coded.dictionary)
+    slot = np.where(number < 0, -1, number % buckets)[coded.indices.to_numpy()]
     row, slot = row[slot >= 0], slot[slot >= 0]
     counts = np.bincount(row * buckets + slot, minlength=len(texts) * buckets).astype(float)
     counts = counts.reshape(len(texts), buckets)

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..defaults import BROADCAST_VECTOR_BYTES, GRID_BYTES, SEARCH_BLOCK_ROWS, TOP_K
-from ..functions.vectors import TopK, matrix, pack, prepare, squared, unpack
+from ..functions.vectors import Tiles, TopK, matrix, pack, prepare, squared, tileable, unpack, unpack_single
 from ..session import settled
 
 _METRICS = ("l2", "cosine")
-#: Queries of a grid block that are compared at a time.
-GRID_QUERIES = 1024
+#: Queries of a grid block that are compared at a time, by tiles and by whole products.
+GRID_QUERIES, PRODUCT_QUERIES = 1 << 16, 1024
 #: Cells of the first visit of an exact search, which only bounds the distance.
 PROBES = 32
 #: Of the true neighbours of so many sampled queries, an approximate search finds at least this share.
@@ -410,16 +410,25 @@ def grid_search(
     def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
         out = [pa.Table.from_batches([], pa.schema([("query_id", asked.schema.field("query_id").type), ("id", pa.int64()), ("key", pa.float64())]))]
         if len(asked) and len(held):
-            vectors = prepare(unpack(held.column("vector")), metric)
             ids = np.asarray(held.column("id"), dtype=np.int64)
-            for i in range(0, len(asked), GRID_QUERIES):
-                some = asked.slice(i, GRID_QUERIES)
-                names = some.column("query_id").combine_chunks()
-                best = TopK(unpack(some.column("vector")), names.to_pylist() if skip_same else names, k, metric, skip_same)
-                best.add_prepared(ids, vectors)
-                found = best.table()
+            vectors, q = unpack_single(held.column("vector")), unpack_single(asked.column("vector"))
+            names = asked.column("query_id").combine_chunks()
+            numbers = np.asarray(names) if skip_same else None
+            tiled = tileable(vectors) and tileable(q)
+            if tiled:
+                tiles, step = Tiles(ids, vectors, k, metric, skip_same), GRID_QUERIES
+            else:
+                doubles, step = prepare(vectors.astype(np.float64), metric), PRODUCT_QUERIES
+            for i in range(0, len(q), step):
+                some = names.slice(i, step)
+                if tiled:
+                    found = tiles.search(q[i:i + step], numbers[i:i + step] if skip_same else None)
+                else:
+                    best = TopK(q[i:i + step].astype(np.float64), some.to_pylist() if skip_same else some, k, metric, skip_same)
+                    best.add_prepared(ids, doubles)
+                    found = best.table()
                 out.append(pa.Table.from_arrays(
-                    [names.take(found.column(0)), found.column(1), found.column(2)], names=["query_id", "id", "key"]))
+                    [some.take(found.column(0)), found.column(1), found.column(2)], names=["query_id", "id", "key"]))
         return pa.concat_tables(out)
 
     tasks = q_blocks * c_blocks
