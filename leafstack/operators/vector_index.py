@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..defaults import BROADCAST_VECTOR_BYTES, SEARCH_BLOCK_ROWS, TOP_K
 from ..functions.vectors import matrix, prepare
-from ..session import settled
+from ..session import few_listing_tasks, settled
 from ..sources.paths import levels
 from .similarity import PROBES, _probes, _rank, _search, _vectors, assign_cells, grid_pays, grid_search, sample_leaders
 from .similarity import needed_cells, probes_for_recall, probes_from_curve
@@ -69,7 +69,8 @@ def _cells(spark: SparkSession, root: str, manifest: dict, cells=None) -> DataFr
     schema = f"{_schema(spark, root)}, version int, cell int"
     if not paths:
         return spark.createDataFrame([], schema)
-    return spark.read.option("basePath", f"{root}/data").schema(schema).parquet(*paths)
+    with few_listing_tasks(spark):
+        return spark.read.option("basePath", f"{root}/data").schema(schema).parquet(*paths)
 
 
 def _write(rows: DataFrame, root: str, version: int, manifest: dict, touched) -> None:

@@ -38,6 +38,19 @@ def test_stored_index(spark, spread, no_visits, tmp_path):
     assert answer(found) == brute(q, c, 3)
 
 
+def test_cells_are_listed_by_few_tasks(spark, spread, tmp_path):
+    _, c = spread
+    vector_index.create_index(frame(spark, c), str(tmp_path / "index"), cells=150)
+    sc = spark.sparkContext
+    sc.setJobGroup("listing", "cells of an index")
+    vector_index._cells(spark, str(tmp_path / "index"), vector_index._manifest(spark, str(tmp_path / "index"), 0))
+    tracker = sc.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    sizes = [tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)]
+    assert sizes and max(sizes) <= 4 * max(8, sc.defaultParallelism)
+
+
 @pytest.mark.parametrize("skip_same", [False, True])
 def test_many_blocks(spark, spread, skip_same):
     _, c = spread
