@@ -12,8 +12,8 @@ _PAIR_SLICE = 1 << 17
 _CELLS = 1 << 22
 _HALF_ULP = 2.0 ** -24
 #: Vectors of a tile, queries compared with it at a time, and pairs that wait for the second comparison.
-TILE, TILE_QUERIES, TILE_PAIRS = 512, 512, 1 << 21
-#: Main directions that tiles are cut along, and vectors that these are found from.
+TILE, TILE_QUERIES, TILE_PAIRS = 512, 512, 1 << 20
+#: Main directions that tiles are cut along, and vectors that these are found from (also those in double precision at a time).
 TILE_AXES, TILE_SAMPLE = 3, 1 << 14
 _LARGE = 1e15
 
@@ -337,8 +337,8 @@ class Tiles:
         worth = (row[kth] != row) | (near <= near[kth] + 2 * slack[row])
         row, col = row[worth], col[worth]
         key = np.empty(len(row))
-        for i in range(0, len(row), _PAIR_SLICE):
-            part = slice(i, i + _PAIR_SLICE)
+        for i in range(0, len(row), TILE_SAMPLE):
+            part = slice(i, i + TILE_SAMPLE)
             x, y = (prepare(v.astype(np.float64), self.metric) for v in (queries[row[part]], self.raw[col[part]]))
             at = np.arange(len(x))
             key[part] = _exact(x, y, at, at, self.metric)

@@ -383,6 +383,16 @@ def grid_blocks(spark: SparkSession, queries: int, chunks: int, width: int, bloc
     return q_blocks, max(1, math.ceil(chunks / rows), min(spread, math.ceil(chunks / block)))
 
 
+def block_keys(spark: SparkSession, count: int) -> list[int]:
+    """``count`` numbers that a repartition into ``count`` by them puts into one partition each."""
+    found, numbers = {}, 16 * count
+    while len(found) < count:
+        place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(count))
+        found = {r["p"]: r["n"] for r in spark.range(numbers).groupBy(place.alias("p")).agg(F.min("id").alias("n")).collect()}
+        numbers *= 2
+    return sorted(found.values())
+
+
 def grid_search(
     asked: DataFrame, held: DataFrame, k: int, metric: str, skip_same: bool, q_blocks: int, c_blocks: int,
 ) -> DataFrame:
@@ -405,6 +415,9 @@ def grid_search(
     left = asked.select("query_id", "embedding").mapInArrow(
         packed, T.StructType([schema["query_id"], T.StructField("vector", T.BinaryType())])
     ).select(dealt("query_id", q_blocks, 1).alias("qb"), every(c_blocks).alias("cb"), "query_id", "vector")
+    # A task per pair of blocks: the hash of a plain pair number would put several into some and none into others.
+    tasks = q_blocks * c_blocks
+    keys = F.lit(block_keys(asked.sparkSession, tasks))
     right = held.select(every(q_blocks).alias("qb"), dealt("id", c_blocks, 2).alias("cb"), "id", "vector")
 
     def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
@@ -431,8 +444,8 @@ def grid_search(
                     [some.take(found.column(0)), found.column(1), found.column(2)], names=["query_id", "id", "key"]))
         return pa.concat_tables(out)
 
-    tasks = q_blocks * c_blocks
-    place = lambda df: df.repartition(tasks, "qb", "cb").groupBy("qb", "cb")
+    block = F.element_at(keys, F.col("qb") * c_blocks + F.col("cb") + 1).cast("int").alias("block")
+    place = lambda df: df.select(block, *df.columns[2:]).repartition(tasks, "block").groupBy("block")
     return place(left).cogroup(place(right)).applyInArrow(compare, schema)
 
 

@@ -64,3 +64,10 @@ def test_blocks_are_bounded(spark):
     q, c = sim.grid_blocks(spark, 1_000_000, 5_000_000, 64, 8192)
     assert 1_000_000 / q * 256 <= sim.GRID_BYTES and 5_000_000 / c * 256 <= sim.GRID_BYTES
     assert sim.grid_blocks(spark, 10, 100, 64, 8192) == (1, 1)
+
+
+@pytest.mark.parametrize("count", [1, 12, 80])
+def test_each_pair_of_blocks_has_its_partition(spark, count):
+    keys = sim.block_keys(spark, count)
+    placed = spark.createDataFrame([(k,) for k in keys], "block int").repartition(count, "block")
+    assert placed.rdd.glom().map(len).collect() == [1] * count
